@@ -14,9 +14,16 @@ from notewright.llm.common import ident, text_of
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
+def lower_ascii(text: Column) -> Column:
+    """Lower-cases A-Z only; where all is ASCII, the faster general function does the same."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
+        F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    )
+
+
 def line_key(line: Column) -> Column:
     """The normalised line: white space stripped at both ends, A-Z lower-cased."""
-    return F.translate(F.btrim(line, F.lit(WHITE)), string.ascii_uppercase, string.ascii_lowercase)
+    return lower_ascii(F.btrim(line, F.lit(WHITE)))
 
 
 def dedup_lines(
@@ -51,9 +58,9 @@ def dedup_lines(
     lines = F.split("text", "\n", -1)
     keyed = (
         source.select("did", "th", F.posexplode(lines).alias("pos", "line"))
-        .select("did", "th", "pos", line_key(F.col("line")).alias("key"))
-        .where(F.char_length("key") >= min_chars)
-        .select("did", "th", "pos", F.unhex(F.md5("key")).alias("h"))
+        # Lower-casing keeps the length, so short lines go before they are lower-cased.
+        .where(F.char_length(F.btrim(F.col("line"), F.lit(WHITE))) >= min_chars)
+        .select("did", "th", "pos", F.unhex(F.md5(line_key(F.col("line")))).alias("h"))
     )
     shared = (
         keyed.groupBy("h")
