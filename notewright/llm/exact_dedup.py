@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from notewright.llm.common import col, ident, shuffle_partitions, text_of
 
-#: A digest as four big-endian words, a second hash and a length that verify it, the kept
+#: A digest as four words in native order, a second hash and a length that verify it, the kept
 #: identifier and the number of rows.
 RECORD = np.dtype(
-    [("d0", ">u8"), ("d1", ">u8"), ("d2", ">u8"), ("d3", ">u8"), ("check", "<i8"), ("size", "<i8"), ("keep", "<i8"), ("count", "<i8")]
+    [("d0", "<u8"), ("d1", "<u8"), ("d2", "<u8"), ("d3", "<u8"), ("check", "<i8"), ("size", "<i8"), ("keep", "<i8"), ("count", "<i8")]
 )
 #: Records in a block, the unit that runs are exchanged in; at most as many rows wait in a run.
 BLOCK = 4096
@@ -31,6 +31,11 @@ BLOCK_DDL = "dest int, first binary, block binary"
 MERGED_DDL = "digest binary, keep_id long, group_size long"
 
 
+def digest_bytes(records: np.ndarray) -> bytes:
+    """The records' digests as they were, 32 bytes each."""
+    return np.stack([records[f"d{i}"] for i in range(4)], axis=1).astype(">u8").tobytes()
+
+
 def digest_order(records: np.ndarray) -> np.ndarray:
     return np.lexsort((records["d3"], records["d2"], records["d1"], records["d0"]))
 
@@ -41,11 +46,12 @@ def combine(records: np.ndarray, keep: str) -> np.ndarray:
     if not len(records):
         return records
     records = records[digest_order(records)]
-    fresh = np.ones(len(records), bool)
+    differs = np.zeros(len(records), bool)
+    differs[0] = True
     for name in ("d0", "d1", "d2", "d3"):
-        fresh[1:] = (records[name][1:] != records[name][:-1]) if name == "d0" else fresh[1:] | (records[name][1:] != records[name][:-1])
-    starts = np.flatnonzero(fresh)
-    group = np.cumsum(fresh) - 1
+        differs[1:] |= records[name][1:] != records[name][:-1]
+    starts = np.flatnonzero(differs)
+    group = np.cumsum(differs) - 1
     out = records[starts].copy()
     if (records["check"] != out["check"][group]).any() or (records["size"] != out["size"][group]).any():
         raise ValueError("two different texts have the same digest")
@@ -69,7 +75,7 @@ def _blocks(run: np.ndarray, me: int, total: int, shift: int, bits: int) -> Iter
         piece = run[digit == value]
         for at in range(0, len(piece), BLOCK):
             block = piece[at : at + BLOCK]
-            yield int(base | (int(value) << shift)), block[:1].tobytes()[:32], block.tobytes()
+            yield int(base | (int(value) << shift)), digest_bytes(block[:1]), block.tobytes()
 
 
 def _rounds(total: int, bits: int) -> list[tuple[int, int]]:
@@ -152,7 +158,7 @@ def merged_digests(digests: DataFrame, *, keep: str = "max", fan_bits: int = 3)
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = (x for batch in batches for x in batch.column(0).to_pylist())
         for merged in merge_blocks(raw, keep):
-            words = np.stack([merged[f"d{i}"].astype(">u8") for i in range(4)], axis=1).tobytes()
+            words = digest_bytes(merged)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([words[i : i + 32] for i in range(0, len(words), 32)], pa.binary()),
