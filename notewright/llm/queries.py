@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import chat_format, exact_dedup, line_dedup, mixing, secrets, winnow
+from notewright.llm import bpe, chat_format, exact_dedup, line_dedup, mixing, near_dedup, secrets, winnow
 from notewright.llm.common import read
 
 
@@ -46,6 +46,21 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"), keep="max")
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_documents(
+        read(spark, sf_dir, "documents"),
+        ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        pattern=public_tokenizers.PATTERN,
+        with_digests=True,
+    )
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
@@ -128,6 +143,8 @@ def queries() -> dict:
         "op2_secret_scan": op2_secret_scan,
         "op3_winnowing": op3_winnowing,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_byte_bpe": op6_byte_bpe,
+        "op7_near_dedup": op7_near_dedup,
         "op9_chat_format": op9_chat_format,
         "op10_source_mixing": op10_source_mixing,
     }
