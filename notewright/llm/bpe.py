@@ -211,11 +211,12 @@ def encode_documents(
     pattern: str,
     id_col: str = "doc_id",
     text_col: str = "text",
+    with_ids: bool = True,
     with_digests: bool = False,
 ) -> DataFrame:
-    """One row per input row: the identifier, ``n_tokens`` and ``ids`` (array<int>), or with
-    with_digests, in place of ids, ``ids_sha256`` (of little-endian unsigned 32-bit ids) and
-    ``decoded_sha256`` (of the bytes that the ids decode to).
+    """One row per input row: the identifier, ``n_tokens``, with with_ids ``ids`` (array<int>), and
+    with with_digests ``ids_sha256`` (of little-endian unsigned 32-bit ids) and ``decoded_sha256``
+    (of the bytes that the ids decode to).
 
     Null text counts as empty (no ids); null identifiers pass through; repeated rows are encoded
     each; an empty table gives an empty result; other columns are not read. ranks_path must be
@@ -223,10 +224,10 @@ def encode_documents(
     """
     id_type = docs.schema[id_col].dataType
     fields = [T.StructField(id_col, id_type), T.StructField("n_tokens", T.LongType())]
+    if with_ids:
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
     if with_digests:
         fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    else:
-        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks_path, pattern)
@@ -235,11 +236,11 @@ def encode_documents(
                 batch = whole.slice(at, 256)
                 ids = codec.encode(batch.column(1).to_pylist())
                 columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                if with_ids:
+                    columns.append(pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())))
                 if with_digests:
                     columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()))
                     columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in codec.decode(ids)], pa.string()))
-                else:
-                    columns.append(pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     return docs.select(col(id_col), text_of(text_col).alias("text")).mapInArrow(run, T.StructType(fields))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import bpe, chat_format, exact_dedup, line_dedup, mixing, near_dedup, secrets, winnow
+from notewright.llm import bpe, chat_format, exact_dedup, line_dedup, mixing, near_dedup, secrets, toxicity, winnow
 from notewright.llm.common import read
 
 
@@ -53,6 +53,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         read(spark, sf_dir, "documents"),
         ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"),
         pattern=public_tokenizers.PATTERN,
+        with_ids=False,
         with_digests=True,
     )
 
@@ -61,6 +62,18 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, read(spark, sf_dir, "labels"))
+    out = toxicity.score_documents(docs, model, carry=["doc_id"])
+    return out.select(
+        F.col("row.doc_id").alias("doc_id"),
+        toxicity.held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
@@ -145,6 +158,7 @@ def queries() -> dict:
         "op5_exact_dedup": op5_exact_dedup,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_near_dedup": op7_near_dedup,
+        "op8_toxicity": op8_toxicity,
         "op9_chat_format": op9_chat_format,
         "op10_source_mixing": op10_source_mixing,
     }
