@@ -23,26 +23,27 @@ from notewright.llm.common import col, text_of
 #: word's rows at each merge, which grows with the square of its length.
 RECURSIVE_BYTES = 64
 #: Words a worker remembers, and words encoded or ids decoded by one query: bounds on memory.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 WORDS_AT_ONCE = 20_000
 IDS_AT_ONCE = 400_000
 
-#: A pair of tokens is packed as left << 20 | right, a candidate merge as rank << 20 | position.
+#: A pair of tokens is packed as left << 20 | right, a place as word << 20 | position, a candidate
+#: merge as rank << 20 | position. Words that no pair contracts leave the recursion as done.
 ENCODE = """
 WITH RECURSIVE state AS (
-  SELECT word, pos, tok, 0 AS step FROM start
+  SELECT place, tok, false AS done FROM start
   UNION ALL
   (WITH pairs AS (
-     SELECT word, pos, tok, step, lead(tok) OVER w AS after, lag(pos) OVER w AS before
-     FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)),
+     SELECT place, place >> 20 AS word, tok, lead(tok) OVER w AS after, lead(place) OVER w AS further, lag(place) OVER w AS before
+     FROM state WHERE NOT done WINDOW w AS (ORDER BY place)),
    best AS (
-     SELECT word, min((merged::BIGINT << 20) | pos) AS hit
-     FROM pairs JOIN merges ON pair = ((tok::BIGINT << 20) | after) GROUP BY word)
-   SELECT p.word, p.pos, CASE WHEN p.pos = (hit & 1048575) THEN (hit >> 20)::INTEGER ELSE tok END, step + 1
-   FROM pairs p JOIN best b ON p.word = b.word
-   WHERE before IS NULL OR before <> (hit & 1048575))),
-last AS (SELECT *, max(step) OVER (PARTITION BY word) AS final FROM state)
-SELECT word, list(tok ORDER BY pos) AS ids FROM last WHERE step = final GROUP BY word ORDER BY word
+     SELECT word, min((merged::BIGINT << 20) | (place & 1048575)) AS hit
+     FROM pairs JOIN merges ON pair = ((tok::BIGINT << 20) | after)
+     WHERE further >> 20 = word GROUP BY word)
+   SELECT place, CASE WHEN (place & 1048575) = (hit & 1048575) THEN (hit >> 20)::INTEGER ELSE tok END, hit IS NULL
+   FROM pairs p LEFT JOIN best b ON p.word = b.word
+   WHERE hit IS NULL OR before IS NULL OR before <> ((p.word << 20) | (hit & 1048575))))
+SELECT place >> 20 AS word, list(tok ORDER BY place) AS ids FROM state WHERE done GROUP BY word ORDER BY word
 """
 DECODE = """
 SELECT doc, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes
@@ -95,8 +96,7 @@ class Codec:
             first = np.cumsum(sizes) - sizes
             start = pa.table(
                 {
-                    "word": np.repeat(np.arange(len(part), dtype=np.int32), sizes),
-                    "pos": (np.arange(len(flat)) - np.repeat(first, sizes)).astype(np.int32),
+                    "place": (np.repeat(np.arange(len(part)), sizes) << 20) | (np.arange(len(flat)) - np.repeat(first, sizes)),
                     "tok": flat,
                 }
             )
