@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewright.llm.common import POWERS, cut, ident, mix64, text_of
@@ -178,7 +178,7 @@ def weighted_jaccard(a: bytes, b: bytes) -> float:
 
 
 def _similar(pairs: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
-    """Adds ``linked``: whether the pair (a, b) is similar enough."""
+    """The pairs (a, b) that are similar enough."""
     joined = (
         pairs.join(lists.select(F.col("did").alias("a"), F.col("parts").alias("parts_a")), "a")
         .join(lists.select(F.col("did").alias("b"), F.col("parts").alias("parts_b")), "b")
@@ -192,9 +192,9 @@ def _similar(pairs: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
                 threshold * max(len(x), len(y)) <= min(len(x), len(y)) and weighted_jaccard(x, y) >= threshold
                 for x, y in zip(a, b, strict=True)
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], names=["a", "b", "linked"])
+            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long, linked boolean")
+    return joined.mapInArrow(run, "a long, b long")
 
 
 def _hidden(name: str) -> Column:
@@ -226,10 +226,11 @@ def near_duplicates(
     are not read.
 
     Plan: equal shingle sets fold to one node, so a group of copies of any size is one row of the
-    band table. In each band bucket one member leads, the one that meets most others over all its
-    buckets; every other member is compared with it, and those that fail go on among themselves
-    with a new leader until each has been linked or has led. No bucket is capped and none emits its
-    pairs. Element lists of the documents that meet any other are made once; joins on leaders
+    band table. In each band bucket one member leads first, the one that meets most others over all
+    its buckets; every other member is compared with it, and those that fail go on among themselves
+    with 16, 64, ... leaders until each has been linked to one or has led. No bucket is capped; a
+    group of near copies folds onto its leader in the first round, so only texts that share a band
+    and yet are no near copies are compared more often. Element lists of the documents that meet any other are made once; joins on leaders
     exchange both sides, so the adaptive skew join can split a leader that many follow. At the
     default 20 bands of 5 rows a pair of similarity 0.8 meets in some band with probability
     1 - (1 - 0.8^5)^20 = 0.9996.
@@ -243,18 +244,18 @@ def near_duplicates(
     known = meet.groupBy("did").agg(F.sum("n").alias("met"))
     waiting = cut(meet.select("band", "did").join(known.select(_hidden("did"), "met"), "did").select("band", "did", "met"))
     lists = cut(_element_lists(source, shingle).join(known.select("did"), "did", "left_semi").dropDuplicates(["did"]))
-    links = None
-    while True:
-        leaders = waiting.groupBy("band").agg(F.max(F.struct("met", "did")).alias("lead"), F.count("*").alias("n")).where(F.col("n") > 1)
-        led = waiting.join(leaders.select(_hidden("band"), F.col("lead.did").alias("b")), "band")
-        led = cut(led.where(F.col("did") != F.col("b")).select("band", F.col("did").alias("a"), "b", "met"))
-        if led.isEmpty():
-            break
-        tested = cut(_similar(led.select("a", "b").distinct(), lists, threshold))
-        found = tested.where("linked").select("a", "b")
+    links, lead = None, 1
+    while not waiting.isEmpty():
+        first = Window.partitionBy("band").orderBy(F.desc("met"), "did")
+        leaders = cut(waiting.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= lead).drop("rank"))
+        led = waiting.join(leaders.select(_hidden("band"), F.col("did").alias("b"), F.col("met").alias("met_b")), "band")
+        after = (F.col("met_b") > F.col("met")) | (F.col("met_b") == F.col("met")) & (F.col("b") < F.col("did"))
+        led = cut(led.where(after).select("band", F.col("did").alias("a"), "b"))
+        found = cut(_similar(led.select("a", "b").distinct(), lists, threshold))
         links = found if links is None else links.unionByName(found)
-        failed = tested.where(~F.col("linked")).select("a", "b")
-        waiting = cut(led.join(failed, ["a", "b"]).select("band", F.col("a").alias("did"), "met"))
+        settled = led.join(found, ["a", "b"]).select("band", F.col("a").alias("did")).unionByName(leaders.select("band", "did")).distinct()
+        waiting = cut(waiting.join(settled, ["band", "did"], "left_anti"))
+        lead = max(16, lead * 4)
     reps = nodes.select("key", "did")
     if links is None:
         classes = reps.select("key", F.col("did").alias("class"))
