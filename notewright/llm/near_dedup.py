@@ -166,6 +166,20 @@ def _element_lists(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "did long, parts binary")
 
 
+def _steep_bands(lists: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(did, band) from element lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for raw in batch.column(1).to_pylist():
+                parts = mix64(np.frombuffer(raw, "<u4").astype(np.uint64))
+                found.append(band_keys(dart_signature(parts, None, bands * rows), bands, rows) if len(parts) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["did", "bands"])
+
+    return lists.select("did", "parts").mapInArrow(run, "did long, bands array<long>").select("did", F.explode("bands").alias("band"))
+
+
 def weighted_jaccard(a: bytes, b: bytes) -> float:
     """Similarity of two sorted element lists."""
     n, m = len(a) // 4, len(b) // 4
@@ -203,6 +217,12 @@ def _hidden(name: str) -> Column:
     return (F.col(name) + F.lit(0)).alias(name) if name != "key" else F.substring(name, 1, 16).alias(name)
 
 
+def _meeting(members: DataFrame) -> DataFrame:
+    """(band, did, n) of the buckets of n > 1 members."""
+    sizes = members.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    return members.join(sizes.select(_hidden("band"), "n"), "band").select("band", "did", "n")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -212,6 +232,8 @@ def near_duplicates(
     shingle: int = 5,
     bands: int = 20,
     rows: int = 5,
+    steep_bands: int = 60,
+    steep_rows: int = 10,
 ) -> DataFrame:
     """One row per input row: ``doc_id``, ``class_id`` (the smallest identifier of its class) and
     ``kept`` (whether it is that one). Classes are the connected components of links between
@@ -226,24 +248,23 @@ def near_duplicates(
     are not read.
 
     Plan: equal shingle sets fold to one node, so a group of copies of any size is one row of the
-    band table. In each band bucket one member leads first, the one that meets most others over all
-    its buckets; every other member is compared with it, and those that fail go on among themselves
-    with 16, 64, ... leaders until each has been linked to one or has led. No bucket is capped; a
-    group of near copies folds onto its leader in the first round, so only texts that share a band
-    and yet are no near copies are compared more often. Element lists of the documents that meet any other are made once; joins on leaders
-    exchange both sides, so the adaptive skew join can split a leader that many follow. At the
-    default 20 bands of 5 rows a pair of similarity 0.8 meets in some band with probability
-    1 - (1 - 0.8^5)^20 = 0.9996.
+    band table. Documents that share a band with any other are candidates (at the defaults a pair
+    of similarity 0.8 does with probability 1 - (1 - 0.8^5)^20 = 0.9996). Candidates' element lists
+    are made once, and longer signatures of them, in steeper bands (0.9989 at 0.8), put few texts
+    together that are far from similar. In each bucket one member leads first, the one that meets
+    most others over all its buckets; every other member is compared with it, and those that fail
+    go on among themselves with 16, 64, ... leaders until each has been linked to one or has led. No
+    bucket is capped; a group of near copies folds onto its leader in the first round. Joins on
+    leaders exchange both sides, so the adaptive skew join can split a leader that many follow.
     """
     source = docs.select(ident(id_col).alias("did"), text_of(text_col).alias("text"))
     sketches = cut(_sketch(source, bands, rows, shingle))
     nodes = sketches.groupBy("key").agg(F.min("did").alias("did"), F.first("bands").alias("bands"))
-    meet = nodes.select("did", F.explode("bands").alias("band"))
-    sizes = meet.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    meet = cut(meet.join(sizes.select(_hidden("band"), "n"), "band"))
-    known = meet.groupBy("did").agg(F.sum("n").alias("met"))
-    waiting = cut(meet.select("band", "did").join(known.select(_hidden("did"), "met"), "did").select("band", "did", "met"))
-    lists = cut(_element_lists(source, shingle).join(known.select("did"), "did", "left_semi").dropDuplicates(["did"]))
+    known = _meeting(nodes.select("did", F.explode("bands").alias("band"))).select("did").distinct()
+    lists = cut(_element_lists(source, shingle).join(known, "did", "left_semi").dropDuplicates(["did"]))
+    meet = cut(_meeting(_steep_bands(lists, steep_bands, steep_rows)))
+    met = meet.groupBy("did").agg(F.sum("n").alias("met"))
+    waiting = cut(meet.select("band", "did").join(met.select(_hidden("did"), "met"), "did").select("band", "did", "met"))
     links, lead = None, 1
     while not waiting.isEmpty():
         first = Window.partitionBy("band").orderBy(F.desc("met"), "did")
