@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from notewright.plans import note_queries
+from notewright.plans.base import Query
 
-def queries() -> dict:
-    return {}
+MODULES = (note_queries,)
+
+
+def queries() -> dict[str, Query]:
+    return {name: query for module in MODULES for name, query in module.R.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.R.sql.items()}
