@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,58 +41,107 @@ def edits_allowed(term: str) -> int:
 
 @dataclass
 class Node:
+    """A trie node; most: errors that some term below it tolerates."""
+
     next: dict[str, Node] = field(default_factory=dict)
+    number: int = 0
+    most: int = 0
     word: str | None = None
     beginning: str | None = None
 
 
 def trie(words: Iterable[str], beginnings: Iterable[str] = ()) -> Node:
-    root = Node()
+    root, made = Node(), 1
     for kind, terms in (("word", words), ("beginning", beginnings)):
         for term in terms:
-            node = root
+            node, most = root, edits_allowed(term) if kind == "word" else 0
             for c in term:
-                node = node.next.setdefault(c, Node())
+                node.most = max(node.most, most)
+                if c not in node.next:
+                    node.next[c] = Node(number=made)
+                    made += 1
+                node = node.next[c]
+            node.most = max(node.most, most)
             setattr(node, kind, term)
     return root
 
 
-def match(word: str, root: Node) -> tuple[str, bool, int] | None:
-    """The closest term: (term, whether it is a beginning, errors), or None.
-
-    A state of the word's automaton is, for each number of errors, the set of positions in the
-    word reached, as bits. Reading a trie letter moves each set; branches whose sets are empty end.
-    Beginnings match exactly only. Ties go to fewer errors, whole words, then the smaller term.
-    """
-    most = 2
-    where: dict[str, int] = {}
-    for i, c in enumerate(word):
-        where[c] = where.get(c, 0) | 1 << i
-    goal, full = 1 << len(word), (2 << len(word)) - 1
-    start = [1]
-    for _ in range(most):
-        start.append((start[-1] | start[-1] << 1) & full)
-    best = None
-    stack = [(root, start)]
-    while stack:
-        node, state = stack.pop()
-        found = []
-        if node.word is not None:
-            for errors in range(edits_allowed(node.word) + 1):
-                if state[errors] & goal:
-                    found.append((errors, 0, node.word))
-                    break
-        if node.beginning is not None and state[0]:
-            found.append((0, 1, node.beginning))
-        best = min([*found, *([best] if best else [])], default=None)
-        for c, below in node.next.items():
-            here = where.get(c, 0)
-            moved = [(state[0] & here) << 1]
-            for e in range(1, most + 1):
-                moved.append(((state[e] & here) << 1 | state[e - 1] | state[e - 1] << 1 | moved[e - 1] << 1) & full)
-            if any(moved):
-                stack.append((below, moved))
-    return (best[2], bool(best[1]), best[0]) if best else None
+class Automaton:
+    """The Levenshtein automaton of a trie's terms, made deterministic as it is used.
+
+    A state holds, for each trie node that the letters read so far may have led to, the fewest
+    errors on the way; nodes below which no term tolerates that many are left out. A beginning that
+    was read without errors stays. Transitions are remembered, up to a bound on states, so most
+    words take a few lookups."""
+
+    LIMIT = 100_000
+
+    def __init__(self, root: Node) -> None:
+        self.root = root
+        self._clear()
+
+    def _clear(self) -> None:
+        self.ids: dict[tuple, int] = {}
+        self.members: list[tuple[dict[int, tuple[Node, int]], str | None]] = []
+        self.moves: list[dict[str, int]] = []
+        self.found: list[tuple[str, bool, int] | None] = []
+        self.start = self._state({0: (self.root, 0)}, None)
+
+    def _close(self, nodes: dict[int, tuple[Node, int]]) -> dict[int, tuple[Node, int]]:
+        """Adds what leaving out letters of terms reaches."""
+        stack = list(nodes.values())
+        while stack:
+            node, errors = stack.pop()
+            for below in node.next.values():
+                if errors + 1 <= below.most and (below.number not in nodes or nodes[below.number][1] > errors + 1):
+                    nodes[below.number] = (below, errors + 1)
+                    stack.append((below, errors + 1))
+        return nodes
+
+    def _state(self, nodes: dict[int, tuple[Node, int]], held: str | None) -> int:
+        nodes = self._close(nodes)
+        key = (held, *sorted((n, e) for n, (_, e) in nodes.items()))
+        if key in self.ids:
+            return self.ids[key]
+        ends = [(e, False, n.word) for n, e in nodes.values() if n.word is not None and e <= edits_allowed(n.word)]
+        best = min([*ends, *([(0, True, held)] if held else [])], default=None)
+        self.ids[key] = len(self.members)
+        self.members.append((nodes, held))
+        self.moves.append({})
+        self.found.append((best[2], best[1], best[0]) if best else None)
+        return self.ids[key]
+
+    def _move(self, state: int, letter: str) -> int:
+        nodes, held = self.members[state]
+        after: dict[int, tuple[Node, int]] = {}
+
+        def reach(node: Node, errors: int) -> None:
+            if errors <= node.most and (node.number not in after or after[node.number][1] > errors):
+                after[node.number] = (node, errors)
+
+        for node, errors in nodes.values():
+            reach(node, errors + 1)  # the word has a letter more
+            for c, below in node.next.items():
+                reach(below, errors if c == letter else errors + 1)
+                if c == letter and errors == 0 and below.beginning is not None and held is None:
+                    held = below.beginning
+        return self._state(after, held) if after or held else -1
+
+    def match(self, word: str) -> tuple[str, bool, int] | None:
+        """The closest term: (term, whether it is a beginning, errors), or None. Ties go to fewer
+        errors, whole words, then the smaller term."""
+        if len(self.members) > self.LIMIT:
+            self._clear()
+        state = self.start
+        for c in word:
+            moves = self.moves[state]
+            after = moves.get(c)
+            if after is None:
+                after = moves[c] = self._move(state, c)
+            if after < 0:
+                return None
+            state = after
+        return self.found[state]
 
 
 @dataclass
@@ -112,7 +161,7 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.root = trie(model.words, model.beginnings)
+        self.automaton = Automaton(trie(model.words, model.beginnings))
         self.known: dict[str, tuple[float, str] | None] = {}
 
     def lookup(self, word: str) -> tuple[float, str] | None:
@@ -121,7 +170,7 @@ class Scorer:
             return self.known[word]
         except KeyError:
             pass
-        found = None if word in self.model.clean else match(word, self.root)
+        found = None if word in self.model.clean else self.automaton.match(word)
         hit = None
         if found:
             term, beginning, errors = found
@@ -177,11 +226,19 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def _weighed(train: DataFrame) -> DataFrame:
+    """Adds weight: rows whose least word hash is the same, which copies and near copies share,
+    weigh one together, so that a group of copies doesn't make terms of its rare words. train is
+    bounded, and so are its groups."""
+    least = F.array_min(F.transform(F.split("text", r"\s+"), lambda w: F.xxhash64(w)))
+    return train.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy(least)))
+
+
 def _counts(train: DataFrame) -> DataFrame:
-    """(term, beginning, toxic, clean): documents of either label that hold the term."""
+    """(term, beginning, toxic, clean): weight of the documents of either label that hold the term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, bool], list[int]] = {}
+        counts: dict[tuple[str, bool], list[float]] = {}
 
         def flush() -> pa.RecordBatch:
             keys, values = list(counts), list(counts.values())
@@ -190,29 +247,31 @@ def _counts(train: DataFrame) -> DataFrame:
                 [
                     pa.array([k[0] for k in keys], pa.string()),
                     pa.array([k[1] for k in keys], pa.bool_()),
-                    pa.array([v[0] for v in values], pa.int64()),
-                    pa.array([v[1] for v in values], pa.int64()),
+                    pa.array([v[0] for v in values], pa.float64()),
+                    pa.array([v[1] for v in values], pa.float64()),
                 ],
                 names=["term", "beginning", "toxic", "clean"],
             )
 
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, toxic, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = set(WORD.findall(text.lower()))
                 terms = {(w, False) for w in words}
                 terms.update((w[:n], True) for w in words for n in BEGINNINGS if len(w) > n)
                 for term in terms:
-                    counts.setdefault(term, [0, 0])[0 if toxic else 1] += 1
+                    counts.setdefault(term, [0.0, 0.0])[0 if toxic else 1] += weight
                 if len(counts) > 200_000:
                     yield flush()
         if counts:
             yield flush()
 
-    rows = train.select("text", "toxic").mapInArrow(run, "term string, beginning boolean, toxic long, clean long")
-    return rows.groupBy("term", "beginning").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    rows = train.select("text", "toxic", "weight").mapInArrow(run, "term string, beginning boolean, toxic double, clean double")
+    # Rounded, as the order in which parts are summed must not decide between terms.
+    total = lambda c: F.round(F.sum(c), 6).alias(c)
+    return rows.groupBy("term", "beginning").agg(total("toxic"), total("clean"))
 
 
-def _evidence(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
+def _evidence(toxic: Column, clean: Column, n_toxic: float, n_clean: float) -> Column:
     """Log-likelihood ratio (G squared) of a term that is commoner in toxic texts, else 0."""
     share = n_toxic / (n_toxic + n_clean)
     n = toxic + clean
@@ -221,23 +280,26 @@ def _evidence(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Colum
     return F.when(toxic > n * share, g).otherwise(0.0)
 
 
-def _lexicon(found: list[tuple[str, bool, int, float]]) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and beginnings from (term, whether a beginning, toxic documents, weight), strongest
-    evidence first. Of nested beginnings the strongest stays; one that a single word accounts for
-    goes, and so do words that a beginning covers."""
-    most: dict[str, int] = {}  # toxic documents of the commonest word with each beginning
-    for term, beginning, toxic, _ in found:
+def _lexicon(found: list[tuple[str, bool, float, float, float]]) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and beginnings from (term, whether a beginning, toxic weight, log odds, their error).
+
+    Of nested beginnings the one whose odds are surest stays; one that a single word accounts for
+    goes, and so do words that a beginning covers. Weights are odds over the largest."""
+    top = max((odds for *_, odds, _ in found), default=1.0)
+    most: dict[str, float] = {}  # toxic weight of the commonest word with each beginning
+    for term, beginning, toxic, _, _ in found:
         if not beginning:
             for i in BEGINNINGS:
                 most[term[:i]] = max(most.get(term[:i], 0), toxic)
-    words, beginnings = {}, {}
-    for term, beginning, toxic, weight in found:
+    words: dict[str, float] = {}
+    beginnings: dict[str, float] = {}
+    for term, beginning, toxic, odds, _ in sorted(found, key=lambda f: (2 * f[4] - f[3], -len(f[0]), f[0])):
         if beginning and toxic >= 1.5 * most.get(term, 0):
             if not any(term.startswith(b) or b.startswith(term) for b in beginnings):
-                beginnings[term] = weight
-    for term, beginning, _, weight in found:
+                beginnings[term] = odds / top
+    for term, beginning, _, odds, _ in found:
         if not beginning and not any(term.startswith(b) for b in beginnings):
-            words[term] = weight
+            words[term] = odds / top
     return words, beginnings
 
 
@@ -268,29 +330,36 @@ def fit_toxicity(
         .limit(max_rows)
     )
     texts = docs.select(col(id_col).cast("long").alias("did"), text_of(text_col).alias("text"))
-    train = cut(texts.join(F.broadcast(picked), "did").select("text", "toxic"))  # picked: max_rows rows at most
-    n = {bool(r["toxic"]): r["count"] for r in train.groupBy("toxic").count().collect()}
+    # picked has max_rows rows at most.
+    train = cut(_weighed(texts.join(F.broadcast(picked), "did").select("text", "toxic")))
+    n = {bool(r["toxic"]): r["n"] for r in train.groupBy("toxic").agg(F.round(F.sum("weight"), 6).alias("n")).collect()}
     if len(n) < 2:
         return Model({}, {}, frozenset())
     counts = cut(_counts(train))
     # A term must be rarer than chance would make any of all terms.
-    least = 2 * math.log(20 * sum(n.values()))
+    least = 2 * math.log(5 * sum(n.values()))
     scored = counts.withColumn("g", _evidence(F.col("toxic"), F.col("clean"), n[True], n[False]))
     odds = F.log(((F.col("toxic") + 0.5) / n[True]) / ((F.col("clean") + 0.5) / n[False]))
-    found = scored.withColumn("odds", odds).where((F.col("g") >= least) & (F.col("odds") >= 2)).orderBy(F.desc("g"), "beginning", F.desc(F.length("term")), "term").limit(max_terms).collect()
-    top = max((r["odds"] for r in found), default=1.0)
-    words, beginnings = _lexicon([(r["term"], r["beginning"], r["toxic"], r["odds"] / top) for r in found])
-    root = trie(words)
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    found = (
+        scored.withColumns({"odds": odds, "error": error})
+        .where((F.col("g") >= least) & (F.col("odds") >= 2))
+        .orderBy(F.desc("g"), "beginning", F.desc(F.length("term")), "term")
+        .limit(max_terms)
+        .collect()
+    )
+    words, beginnings = _lexicon([(r["term"], r["beginning"], r["toxic"], r["odds"], r["error"]) for r in found])
 
     def resembles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(trie(words))
         for batch in batches:
-            near = [w not in words and match(w, root) is not None for w in batch.column(0).to_pylist()]
+            near = [w not in words and automaton.match(w) is not None for w in batch.column(0).to_pylist()]
             yield batch.filter(pa.array(near, pa.bool_()))
 
     clean = (
         counts.where(~F.col("beginning") & (F.col("clean") > 0))
         .select("term", "clean")
-        .mapInArrow(resembles, "term string, clean long")
+        .mapInArrow(resembles, "term string, clean double")
         .orderBy(F.desc("clean"), "term")
         .limit(max_clean)
         .collect()
