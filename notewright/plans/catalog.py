@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from notewright.plans import note_queries
+from notewright.plans import event_queries, metric_queries, note_queries, token_queries
 from notewright.plans.base import Query
 
-MODULES = (note_queries,)
+MODULES = (note_queries, token_queries, event_queries, metric_queries)
 
 
 def queries() -> dict[str, Query]:
