@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import bpe, chat_format, exact_dedup, line_dedup, mixing, near_dedup, secrets, toxicity, winnow
+from notewright.llm import bpe, chat_format, exact_dedup, line_dedup, mixing, near_dedup, secrets, suffix_dedup, toxicity, winnow
 from notewright.llm.common import read
 
 
@@ -42,6 +42,17 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprint_edits(read(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents"), length=100)
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"), keep="max")
 
@@ -155,6 +166,7 @@ def queries() -> dict:
         "op1_line_dedup": op1_line_dedup,
         "op2_secret_scan": op2_secret_scan,
         "op3_winnowing": op3_winnowing,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_near_dedup": op7_near_dedup,
