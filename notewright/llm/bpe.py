@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notewright.llm.common import col, text_of
+from notewright.llm.common import col, held, text_of
 
 #: Longer words (in bytes) contract with a heap by the same rule: the recursion rewrites all of a
 #: word's rows at each merge, which grows with the square of its length.
 RECURSIVE_BYTES = 64
 #: Words a worker remembers, and words encoded or ids decoded by one query: bounds on memory.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 WORDS_AT_ONCE = 20_000
 IDS_AT_ONCE = 400_000
 
@@ -54,14 +54,9 @@ FROM ids JOIN vocabulary USING (tok) GROUP BY doc
 class Codec:
     """Encoder and decoder of one rank file; one per Python worker and file."""
 
-    held: dict[tuple[str, str], Codec] = {}
-
     @classmethod
     def of(cls, ranks_path: str, pattern: str) -> Codec:
-        key = (ranks_path, pattern)
-        if key not in cls.held:
-            cls.held[key] = cls(ranks_path, pattern)
-        return cls.held[key]
+        return held(("bpe", ranks_path, pattern), lambda: cls(ranks_path, pattern))
 
     def __init__(self, ranks_path: str, pattern: str) -> None:
         import duckdb
@@ -78,7 +73,7 @@ class Codec:
             for i in range(1, len(token))
             if (left := self.ranks.get(token[:i])) is not None and (right := self.ranks.get(token[i:])) is not None
         ]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         table = pa.table({"pair": pa.array([m[0] for m in merges], pa.int64()), "merged": pa.array([m[1] for m in merges], pa.int32())})
         self.db.register("given", table)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")

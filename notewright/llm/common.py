@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +58,19 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+#: What a Python worker keeps between tasks: the latest of its models, so that workers that serve
+#: several operators in turn don't add their caches up.
+_HELD: dict = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """The worker's object of this key, made if it isn't the one held."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class Powers:
     """Powers of BASE and of its inverse modulo 2^64, grown as needed up to a chunk's length."""
 

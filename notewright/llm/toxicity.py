@@ -14,11 +14,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notewright.llm.common import col, cut, text_of
+from notewright.llm.common import col, cut, held, text_of
+from notewright.llm.near_dedup import elements
 
 WORD = re.compile(r"\w+")
 #: Lengths of word beginnings that may become terms.
@@ -31,7 +32,7 @@ REPORTING = frozenset("said says wrote writes quote quoted quotes called dijo di
 SECOND_PERSON = frozenset("you your yours du dich dein tu te vous usted tus".split())
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
 #: Words whose match each worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def edits_allowed(term: str) -> int:
@@ -227,11 +228,19 @@ def held_out(id_column: Column) -> Column:
 
 
 def _weighed(train: DataFrame) -> DataFrame:
-    """Adds weight: rows whose least word hash is the same, which copies and near copies share,
+    """Adds weight: rows whose least shingle hash is the same, which copies and near copies share,
     weigh one together, so that a group of copies doesn't make terms of its rare words. train is
-    bounded, and so are its groups."""
-    least = F.array_min(F.transform(F.split("text", r"\s+"), lambda w: F.xxhash64(w)))
-    return train.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy(least)))
+    bounded, and so is the table of its groups."""
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [elements(t, 3) for t in batch.column(0).to_pylist()]
+            sketch = pa.array([int(x.min().view(np.int64)) if len(x) else 0 for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, sketch], names=["text", "toxic", "least"])
+
+    train = cut(train.mapInArrow(least, "text string, toxic int, least long"))
+    sizes = train.groupBy("least").agg((1.0 / F.count("*")).alias("weight"))
+    return train.join(F.broadcast(sizes), "least").select("text", "toxic", "weight")
 
 
 def _counts(train: DataFrame) -> DataFrame:
@@ -405,9 +414,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> tuple[floa
     return float(w[0]), tuple(map(float, slopes))
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def score_documents(docs: DataFrame, model: Model, *, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row per input row: ``row`` (a struct of the columns in carry, all by default) and
     ``score`` (0 to 1, higher: likelier toxic). Null text counts as empty and scores as a text
@@ -418,10 +424,7 @@ def score_documents(docs: DataFrame, model: Model, *, text_col: str = "text", ca
     key = hash((tuple(sorted(model.words.items())), tuple(sorted(model.beginnings.items())), model.bias, model.slopes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(model)
-        scorer = _SCORERS[key]
+        scorer = held(("toxicity", key), lambda: Scorer(model))
         for batch in batches:
             scores = pa.array([scorer.score(t) for t in batch.column(1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["row", "score"])
