@@ -84,7 +84,12 @@ def _folded(records: np.ndarray, did: np.ndarray, th: np.ndarray) -> tuple[np.nd
     many = many[np.lexsort((many["start"], th[many["doc"]], did[many["doc"]], many["whole"], many["gram"]))]
     fresh = np.ones(len(many), bool)
     fresh[1:] = (many["gram"][1:] != many["gram"][:-1]) | (many["whole"][1:] != many["whole"][:-1])
-    firsts, others = many[fresh], many[~fresh]
+    # A row that is repeated is one document: its second record is no other occurrence.
+    double = np.zeros(len(many), bool)
+    double[1:] = ~fresh[1:] & (many["start"][1:] == many["start"][:-1])
+    for ids in (did, th):
+        double[1:] &= ids[many["doc"][1:]] == ids[many["doc"][:-1]]
+    firsts, others = many[fresh], many[~fresh & ~double]
     several = np.zeros(len(firsts), bool)
     near = firsts["gram"][1:] == firsts["gram"][:-1]
     several[1:] |= near
