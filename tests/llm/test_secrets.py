@@ -1,0 +1,62 @@
+import base64
+import json
+
+from notewright.llm.secrets import find_secrets, is_private_key, is_signed_token, scan
+
+
+def der(tag, body):
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else b"\x82" + n.to_bytes(2, "big")) + body
+
+
+RSA = der(0x30, der(2, b"\x00") + b"".join(der(2, bytes([1]) * 20) for _ in range(8)))
+PKCS8 = der(0x30, der(2, b"\x00") + der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(4, RSA))
+EC = der(0x30, der(2, b"\x01") + der(4, b"k" * 32) + der(0xA0, der(6, b"\x2a\x86")))
+string = lambda b: len(b).to_bytes(4, "big") + b
+SSH = b"openssh-key-v1\x00" + string(b"none") + string(b"none") + string(b"") + (1).to_bytes(4, "big") + string(b"p" * 51) + string(b"q" * 90)
+b64u = lambda b: base64.urlsafe_b64encode(b).rstrip(b"=").decode()
+JWT = b64u(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()) + "." + b64u(json.dumps({"sub": "1234567890"}).encode()) + "." + b64u(b"s" * 32)
+
+
+def kinds(text):
+    return [k for k, _, _ in scan(text)]
+
+
+def test_keys_need_whole_structure():
+    for key in (RSA, PKCS8, EC, SSH):
+        assert is_private_key(key)
+        assert not is_private_key(key[:-1])
+        assert not is_private_key(key + b"\x00")
+    assert not is_private_key(b"") and not is_private_key(b"0" * 50)
+
+
+def test_tokens():
+    assert is_signed_token(JWT)
+    assert not is_signed_token(JWT.replace("eyJ", "eyK", 1))
+    assert not is_signed_token("a.b")
+
+
+def test_confirmed_spans():
+    text = f"see {base64.b64encode(RSA).decode()} and {SSH.hex()} and {JWT} end"
+    assert kinds(text).count("key") == 2 and "token" in kinds(text)
+    armoured = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(base64.b64encode(PKCS8).decode()[i : i + 64] for i in range(0, 400, 64)) + "\n-----END PRIVATE KEY-----"
+    assert "pem" in kinds(armoured)
+    assert kinds("-----BEGIN PRIVATE KEY-----\nnothing\n-----END PRIVATE KEY-----") == []
+    wrapped = base64.b64encode(armoured.encode()).decode()
+    assert "key" in kinds("config " + wrapped)
+    assert kinds("an ordinary sentence, " + "Aa0" * 30) == []
+
+
+def test_base_spans():
+    assert scan('API_KEY = "abcdefghijkl"') == [("assign", 0, 23)]
+    assert scan("token=secret:abcdefghijklmn") == []
+    assert scan("é password=0123456789abcdef") == [("assign", 2, 27), ("hex", 11, 27)]
+    assert scan("AKIAABCDEFGHIJKLMN AKIAABC") == [("access", 0, 18)]
+    assert scan("0123456789abcde") == []
+
+
+def test_operator(make, edge):
+    rows = {r.doc_id: r.spans for r in find_secrets(make([*edge, (20, JWT), (20, JWT)])).collect()}
+    assert rows[1] == [] and rows[2] == [] and rows[None] == []
+    assert [s.kind for s in rows[20]] == ["token"]
+    assert find_secrets(make([])).count() == 0
