@@ -60,7 +60,7 @@ class Selector:
 def parse_parts(selectors: str | list[str]) -> list[Selector]:
     """Selectors of a song's parts. ``dense`` and ``sparse`` need their song gate, which runs only
     if the first selector is ``dense``; ``random`` must come first likewise."""
-    parts = [Selector.parse(s) for s in ([selectors] if isinstance(selectors, str) else selectors)]
+    parts = [Selector.parse(s) for s in (selectors if isinstance(selectors, list) else [selectors])]
     kinds = [p.kind for p in parts]
     if {"dense", "sparse"} & set(kinds) and kinds[0] != "dense":
         raise ValueError("the first of density selectors must be 'dense'")
