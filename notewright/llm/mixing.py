@@ -12,8 +12,9 @@ import json
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notewright.llm.common import col, ident
 
@@ -111,6 +112,13 @@ def _slots(spark: SparkSession, plan: Plan) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
 
 
+def _order_key(docs: DataFrame, seed: int) -> Column:
+    """MD5 of the seed and of every column in turn (as text; others than scalars as JSON)."""
+    simple = lambda f: not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+    parts = [col(f.name).cast("string") if simple(f) else F.to_json(F.struct(col(f.name))) for f in docs.schema]
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
+
+
 def mix_sources(
     docs: DataFrame,
     *,
@@ -138,12 +146,13 @@ def mix_sources(
     """
     spark = docs.sparkSession
     plan = plan_mix(docs, source_col=source_col, weights=weights, exponent=exponent, block_rows=block_rows, slots_per_source=slots_per_source)
-    top = F.shiftrightunsigned("hash", 64 - plan.buckets_log2) if plan.buckets_log2 else F.lit(0).cast("long")
+    leading = F.conv(F.substring("hash", 1, 8), 16, 10).cast("long")
+    top = F.shiftright(leading, 32 - min(32, plan.buckets_log2))
     rows = docs.select(
         F.struct(F.col("*")).alias("row"),
         ident(id_col).alias("did"),
         col(source_col).cast("string").alias("source"),
-        F.xxhash64(F.lit(seed), *[col(c) for c in docs.columns]).alias("hash"),
+        _order_key(docs, seed).alias("hash"),
     ).withColumn("bucket", top)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
