@@ -107,7 +107,8 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
     above = lambda a: F.size(F.filter(a, lambda x: x > key))
     coarse = above(array([g[-1] for g in groups]))
     fine = F.get(F.array(*[array(g) for g in groups]), coarse)
-    return coarse * F.lit(step) + F.coalesce(above(F.coalesce(fine, array([]).cast("array<bigint>"))), F.lit(0))
+    whole = F.least(coarse * F.lit(step), F.lit(len(bounds)))  # the last group may be shorter
+    return whole + F.coalesce(above(F.coalesce(fine, array([]).cast("array<bigint>"))), F.lit(0))
 
 
 EDITED = T.StructType(
