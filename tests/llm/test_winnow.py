@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from notewright.llm import winnow as W
 
@@ -74,3 +76,10 @@ def test_many_documents_one_document_none(make):
     assert [r.edited_sha256 for r in W.fingerprint_edits(make([(1, "abcd")])).collect()] == [hashlib.sha256(b"abab").hexdigest()]
     assert W.fingerprint_edits(make([])).count() == 0
     assert W.fingerprint_edits(make([(1, "abcd")] * 4)).count() == 4
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 8, 10, 50])
+def test_buckets_count_the_bounds_above(spark, n):
+    bounds = [3 * i for i in range(n, 0, -1)]
+    rows = spark.range(0, 3 * n + 5).select("id", W._bucket(F.col("id"), bounds).alias("bucket")).collect()
+    assert all(r.bucket == sum(b > r.id for b in bounds) for r in rows)
