@@ -232,8 +232,8 @@ def near_duplicates(
     shingle: int = 5,
     bands: int = 20,
     rows: int = 5,
-    steep_bands: int = 60,
-    steep_rows: int = 10,
+    steep_bands: int = 100,
+    steep_rows: int = 12,
 ) -> DataFrame:
     """One row per input row: ``doc_id``, ``class_id`` (the smallest identifier of its class) and
     ``kept`` (whether it is that one). Classes are the connected components of links between
@@ -250,12 +250,13 @@ def near_duplicates(
     Plan: equal shingle sets fold to one node, so a group of copies of any size is one row of the
     band table. Documents that share a band with any other are candidates (at the defaults a pair
     of similarity 0.8 does with probability 1 - (1 - 0.8^5)^20 = 0.9996). Candidates' element lists
-    are made once, and longer signatures of them, in steeper bands (0.9989 at 0.8), put few texts
+    are made once, and longer signatures of them, in steeper bands (0.9992 at 0.8), put few texts
     together that are far from similar. In each bucket one member leads first, the one that meets
     most others over all its buckets; every other member is compared with it, and those that fail
-    go on among themselves with 16, 64, ... leaders until each has been linked to one or has led. No
-    bucket is capped; a group of near copies folds onto its leader in the first round. Joins on
-    leaders exchange both sides, so the adaptive skew join can split a leader that many follow.
+    go on among themselves with 16, 64, ... leaders until each has been linked to one or has led.
+    Members that links already connect are not compared again. No bucket is capped; a group of near
+    copies folds onto its leader in the first round. Joins on leaders exchange both sides, so the
+    adaptive skew join can split a leader that many follow.
     """
     source = docs.select(ident(id_col).alias("did"), text_of(text_col).alias("text"))
     sketches = cut(_sketch(source, bands, rows, shingle))
@@ -267,11 +268,16 @@ def near_duplicates(
     waiting = cut(meet.select("band", "did").join(met.select(_hidden("did"), "met"), "did").select("band", "did", "met"))
     links, lead = None, 1
     while not waiting.isEmpty():
+        members = waiting.withColumn("label", F.col("did"))
+        if links is not None:
+            joined = components(links).withColumnRenamed("node", "did")
+            members = waiting.join(joined, "did", "left").withColumn("label", F.coalesce("label", "did"))
         first = Window.partitionBy("band").orderBy(F.desc("met"), "did")
-        leaders = cut(waiting.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= lead).drop("rank"))
-        led = waiting.join(leaders.select(_hidden("band"), F.col("did").alias("b"), F.col("met").alias("met_b")), "band")
+        leaders = cut(members.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= lead).drop("rank"))
+        heads = leaders.select(_hidden("band"), F.col("did").alias("b"), F.col("met").alias("met_b"), F.col("label").alias("label_b"))
         after = (F.col("met_b") > F.col("met")) | (F.col("met_b") == F.col("met")) & (F.col("b") < F.col("did"))
-        led = cut(led.where(after).select("band", F.col("did").alias("a"), "b"))
+        led = members.join(heads.withColumnRenamed("band", "band_b"), (F.col("band") == F.col("band_b")) & after & (F.col("label") != F.col("label_b")))
+        led = cut(led.select("band", F.col("did").alias("a"), "b"))
         found = cut(_similar(led.select("a", "b").distinct(), lists, threshold))
         links = found if links is None else links.unionByName(found)
         settled = led.join(found, ["a", "b"]).select("band", F.col("a").alias("did")).unionByName(leaders.select("band", "did")).distinct()
