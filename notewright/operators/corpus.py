@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notewright.functions.order import global_index, running_total
+
 #: Transposition limits in training, remainders of the song index by split.
 SHIFT_LEAST, SHIFT_MOST = -5, 6
 SPLITS = ("train", "val", "test", "all")
 
 
 def song_index(songs: DataFrame, path_col: str = "relpath") -> DataFrame:
-    """Adds i, the song's position from 0 in path order. The numbering is one global order over the
-    song table, which has one narrow row a file."""
-    return songs.withColumn("i", F.row_number().over(Window.orderBy(path_col)) - 1)
+    """Adds i, the song's position from 0 in path order."""
+    return global_index(songs, [path_col], "i").withColumn("i", F.col("i").cast("int"))
 
 
 def song_offsets(lengths: DataFrame) -> DataFrame:
     """(song, length, offset): where a song starts in the concatenated corpus."""
-    before = Window.orderBy("song").rowsBetween(Window.unboundedPreceding, -1)
-    return lengths.select("song", "length", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))
+    return running_total(lengths.select("song", "length"), ["song"], F.col("length"), "offset")
 
 
 def split_of(index: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewright.functions.music import keyed_unit
+from notewright.functions.order import global_index
 
 
 def crop_starts(songs: DataFrame, length: int, stride: int = 1, seed: str = "crop") -> DataFrame:
@@ -36,7 +37,8 @@ def crops(roll: DataFrame, starts: DataFrame, length: int) -> DataFrame:
 def epoch_order(songs: DataFrame, epoch: int, seed: str = "epoch") -> DataFrame:
     """Adds nth: the song's position in the epoch's shuffled order."""
     key = F.md5(F.concat_ws(":", F.lit(seed), F.lit(epoch), F.col("song")))
-    return songs.withColumn("nth", F.row_number().over(Window.orderBy(key, "song")) - 1)
+    ordered = global_index(songs.withColumn("shuffle_key", key), ["shuffle_key", "song"], "nth")
+    return ordered.withColumn("nth", F.col("nth").cast("int")).drop("shuffle_key")
 
 
 def batches(ordered: DataFrame, size: int) -> DataFrame:

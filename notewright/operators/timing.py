@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewright.functions.music import close_to
+from notewright.functions.order import global_index
 
 
 def zip_positional(left: DataFrame, right: DataFrame, keys: list[str], order: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
@@ -186,4 +187,4 @@ def merged_by_time(frames: list[DataFrame], time: str, tie: str) -> DataFrame:
     for i, frame in enumerate(frames):
         frame = frame.withColumn("list", F.lit(i))
         out = frame if out is None else out.unionByName(frame)
-    return out.withColumn("at", F.row_number().over(Window.orderBy(time, "list", tie)))
+    return global_index(out, [time, "list", tie], "at").withColumn("at", (F.col("at") + 1).cast("int"))

@@ -160,3 +160,17 @@ def test_corpus_round_trip(spark, tmp_path):
     corpus.write_index(spark.createDataFrame([("b.mid",), ("a.mid",)], "relpath string"), str(tmp_path / "index"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "index")).collect()) == ["0\ta.mid", "1\tb.mid"]
     assert {r.song for r in corpus.in_split(spark.range(20).withColumnRenamed("id", "song"), "val").collect()} == {1, 11}
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 500])
+def test_running_totals_over_ranges(spark, n):
+    from notewright.functions.order import global_index, running_total
+
+    rows = [(i * 37 % 1009, i % 11) for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(6)
+    got = {r.k: (r.before, r.at) for r in global_index(running_total(df, ["k"], F.col("v"), "before"), ["k"], "at").collect()}
+    want, total = {}, 0
+    for at, (k, v) in enumerate(sorted(rows)):
+        want[k] = (total, at)
+        total += v
+    assert got == want
