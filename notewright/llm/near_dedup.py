@@ -136,21 +136,21 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
-    """(did, key, bands) of each document."""
+    """(did, th, key, bands) of each row of (did, th, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, found = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 parts = elements(text, shingle)
                 keys.append(content_key(text, parts))
                 found.append(band_keys(dart_signature(parts, None, bands * rows), bands, rows) if len(parts) else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-                names=["did", "key", "bands"],
+                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
+                names=["did", "th", "key", "bands"],
             )
 
-    return docs.mapInArrow(run, "did long, key binary, bands array<long>")
+    return docs.select("did", "th", "text").mapInArrow(run, "did long, th long, key binary, bands array<long>")
 
 
 def _element_lists(docs: DataFrame, shingle: int) -> DataFrame:
@@ -163,7 +163,7 @@ def _element_lists(docs: DataFrame, shingle: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary())], names=["did", "parts"])
 
-    return docs.mapInArrow(run, "did long, parts binary")
+    return docs.select("did", "text").mapInArrow(run, "did long, parts binary")
 
 
 def _steep_bands(lists: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -235,8 +235,9 @@ def near_duplicates(
     steep_bands: int = 100,
     steep_rows: int = 12,
 ) -> DataFrame:
-    """One row per input row: ``doc_id``, ``class_id`` (the smallest identifier of its class) and
-    ``kept`` (whether it is that one). Classes are the connected components of links between
+    """One row per input row: ``doc_id``, ``class_id`` (the smallest identifier of its class),
+    ``kept`` (whether it is that one) and ``text_hash`` (xxhash64, which with doc_id tells rows that
+    share an identifier apart). Classes are the connected components of links between
     documents whose shingles' weighted Jaccard similarity is at least threshold.
 
     Words are lower-cased runs of letters, digits and underscores. Null text counts as empty;
@@ -258,7 +259,7 @@ def near_duplicates(
     copies folds onto its leader in the first round. Joins on leaders exchange both sides, so the
     adaptive skew join can split a leader that many follow.
     """
-    source = docs.select(ident(id_col).alias("did"), text_of(text_col).alias("text"))
+    source = docs.select(ident(id_col).alias("did"), F.xxhash64(text_of(text_col)).alias("th"), text_of(text_col).alias("text"))
     sketches = cut(_sketch(source, bands, rows, shingle))
     nodes = sketches.groupBy("key").agg(F.min("did").alias("did"), F.first("bands").alias("bands"))
     known = _meeting(nodes.select("did", F.explode("bands").alias("band"))).select("did").distinct()
@@ -289,6 +290,6 @@ def near_duplicates(
     else:
         classes = reps.join(components(links).withColumnRenamed("node", "did"), "did", "left")
         classes = classes.select("key", F.coalesce("label", "did").alias("class"))
-    result = sketches.select("did", "key").join(classes.select(_hidden("key"), "class"), "key")
+    result = sketches.select("did", "th", "key").join(classes.select(_hidden("key"), "class"), "key")
     real = lambda c: F.when(F.col(c) != F.lit(-(2**63)), F.col(c))
-    return result.select(real("did").alias("doc_id"), real("class").alias("class_id"), (F.col("did") == F.col("class")).alias("kept"))
+    return result.select(real("did").alias("doc_id"), real("class").alias("class_id"), (F.col("did") == F.col("class")).alias("kept"), F.col("th").alias("text_hash"))

@@ -70,7 +70,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
