@@ -75,3 +75,20 @@ def test_oracles(spark):
         assert order == sorted(want.columns)
         rows = want.project(", ".join(order)).fetchall()
         assert sorted(map(tuple, got.select(*order).collect()), key=str) == sorted(rows, key=str), name
+
+
+def test_stages_take_edge_cases(spark, make, edge):
+    """Nulls in any column, empty and long texts, repeated rows, no rows, clashing names."""
+    from pyspark.sql import functions as F
+
+    rows = [*edge, edge[3], (4, None)]
+    docs = make(rows).withColumn("gone", F.lit(None).cast("string")).withColumn("source", F.when(F.col("doc_id") % 2 == 0, "even"))
+    for table in (docs, docs.limit(0)):
+        for name, stage in C.STAGES:
+            out = stage(spark, table, SF)
+            if name != "byte_bpe":
+                assert out.columns == table.columns
+            if name in ("line_dedup", "byte_bpe"):
+                assert out.count() == table.count()
+    kept = {r.doc_id for r in C.drop_near_duplicates(spark, docs, SF).collect()}
+    assert kept == {d for d, _ in edge} - {2, 5}  # the empty text again, and a copy
