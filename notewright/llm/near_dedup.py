@@ -255,8 +255,8 @@ def near_duplicates(
     together that are far from similar. In each bucket one member leads first, the one that meets
     most others over all its buckets; every other member is compared with it, and those that fail
     go on among themselves with 16, 64, ... leaders until each has been linked to one or has led.
-    Members that links already connect are not compared again. No bucket is capped; a group of near
-    copies folds onto its leader in the first round. Joins on leaders exchange both sides, so the
+    Members that the first round linked to one leader are not compared again. No bucket is capped; a
+    group of near copies folds onto its leader in the first round. Joins on leaders exchange both sides, so the
     adaptive skew join can split a leader that many follow.
     """
     source = docs.select(ident(id_col).alias("did"), F.xxhash64(text_of(text_col)).alias("th"), text_of(text_col).alias("text"))
@@ -267,22 +267,25 @@ def near_duplicates(
     meet = cut(_meeting(_steep_bands(lists, steep_bands, steep_rows)))
     met = meet.groupBy("did").agg(F.sum("n").alias("met"))
     waiting = cut(meet.select("band", "did").join(met.select(_hidden("did"), "met"), "did").select("band", "did", "met"))
+    waiting = waiting.withColumn("label", F.col("did"))
     links, lead = None, 1
     while not waiting.isEmpty():
-        members = waiting.withColumn("label", F.col("did"))
-        if links is not None:
-            joined = components(links).withColumnRenamed("node", "did")
-            members = waiting.join(joined, "did", "left").withColumn("label", F.coalesce("label", "did"))
         first = Window.partitionBy("band").orderBy(F.desc("met"), "did")
-        leaders = cut(members.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= lead).drop("rank"))
+        leaders = cut(waiting.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= lead).drop("rank"))
         heads = leaders.select(_hidden("band"), F.col("did").alias("b"), F.col("met").alias("met_b"), F.col("label").alias("label_b"))
         after = (F.col("met_b") > F.col("met")) | (F.col("met_b") == F.col("met")) & (F.col("b") < F.col("did"))
-        led = members.join(heads.withColumnRenamed("band", "band_b"), (F.col("band") == F.col("band_b")) & after & (F.col("label") != F.col("label_b")))
-        led = cut(led.select("band", F.col("did").alias("a"), "b"))
+        led = waiting.join(heads.withColumnRenamed("band", "band_b"), (F.col("band") == F.col("band_b")) & after & (F.col("label") != F.col("label_b")))
+        led = cut(led.select("band", F.col("did").alias("a"), "b", "met_b"))
         found = cut(_similar(led.select("a", "b").distinct(), lists, threshold))
+        linked = led.join(found, ["a", "b"])
+        settled = linked.select("band", F.col("a").alias("did")).unionByName(leaders.select("band", "did")).distinct()
+        waiting = waiting.join(settled, ["band", "did"], "left_anti")
+        if links is None:
+            # A member linked to a leader takes its label, so that links it need not be tested for again.
+            stars = linked.groupBy(F.col("a").alias("did")).agg(F.max_by("b", F.struct("met_b", "b")).alias("star"))
+            waiting = waiting.join(stars, "did", "left").select("band", "did", "met", F.coalesce("star", "label").alias("label"))
         links = found if links is None else links.unionByName(found)
-        settled = led.join(found, ["a", "b"]).select("band", F.col("a").alias("did")).unionByName(leaders.select("band", "did")).distinct()
-        waiting = cut(waiting.join(settled, ["band", "did"], "left_anti"))
+        waiting = cut(waiting)
         lead = max(16, lead * 4)
     reps = nodes.select("key", "did")
     if links is None:
