@@ -23,9 +23,9 @@ from notewright.llm.common import col, held, text_of
 #: word's rows at each merge, which grows with the square of its length.
 RECURSIVE_BYTES = 64
 #: Words a worker remembers, and words encoded or ids decoded by one query: bounds on memory.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 WORDS_AT_ONCE = 20_000
-IDS_AT_ONCE = 400_000
+IDS_AT_ONCE = 200_000
 
 #: A pair of tokens is packed as left << 20 | right, a place as word << 20 | position, a candidate
 #: merge as rank << 20 | position. Words that no pair contracts leave the recursion as done.
@@ -165,7 +165,7 @@ class Codec:
                 pending.append((i, words))
                 size += len(words)
                 fresh.update((w, None) for w in words if w not in self.words)
-                if len(fresh) >= WORDS_AT_ONCE or size >= 500_000:
+                if len(fresh) >= WORDS_AT_ONCE or size >= 200_000:
                     settle()
                     size = 0
         settle()

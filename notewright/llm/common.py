@@ -71,6 +71,11 @@ def held(key: object, make: Callable[[], object]) -> object:
     return _HELD[key]
 
 
+def let_go() -> None:
+    """Frees what the worker holds, for operators that keep nothing."""
+    _HELD.clear()
+
+
 class Powers:
     """Powers of BASE and of its inverse modulo 2^64, grown as needed up to a chunk's length."""
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notewright.llm.common import POWERS, cut, ident, mix64, text_of
+from notewright.llm.common import POWERS, cut, ident, let_go, mix64, text_of
 from notewright.llm.graph import components
 
 #: Bytes of text hashed at once (more only for a single longer word).
@@ -139,6 +139,7 @@ def _sketch(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
     """(did, th, key, bands) of each row of (did, th, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             keys, found = [], []
             for text in batch.column(2).to_pylist():

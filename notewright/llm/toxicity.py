@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notewright.llm.common import col, cut, held, text_of
+from notewright.llm.common import col, cut, held, let_go, text_of
 from notewright.llm.near_dedup import elements
 
 WORD = re.compile(r"\w+")
@@ -233,6 +233,7 @@ def _weighed(train: DataFrame) -> DataFrame:
     bounded, and so is the table of its groups."""
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             found = [elements(t, 3) for t in batch.column(0).to_pylist()]
             sketch = pa.array([int(x.min().view(np.int64)) if len(x) else 0 for x in found], pa.int64())
@@ -247,6 +248,7 @@ def _counts(train: DataFrame) -> DataFrame:
     """(term, beginning, toxic, clean): weight of the documents of either label that hold the term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         counts: dict[tuple[str, bool], list[float]] = {}
 
         def flush() -> pa.RecordBatch:
