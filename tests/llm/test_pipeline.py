@@ -92,3 +92,14 @@ def test_stages_take_edge_cases(spark, make, edge):
                 assert out.count() == table.count()
     kept = {r.doc_id for r in C.drop_near_duplicates(spark, docs, SF).collect()}
     assert kept == {d for d, _ in edge} - {2, 5}  # the empty text again, and a copy
+
+
+def test_mixing_keeps_every_row(spark):
+    """A tiny source and a null one neither end the mix nor lose rows; rows come in its order."""
+    counts = {"hot": 3000, "warm": 400, "tiny": 5, None: 3}
+    data = [(i, f"text {i}", s) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(7)
+    got = [r.doc_id for r in C.mix_to_weights(spark, docs, SF).collect()]
+    order = C.mix_order(docs).collect()
+    assert len(got) == len(order) == sum(counts.values())
+    assert got == [r.doc_id for r in sorted(order, key=lambda r: r.position)]
