@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -192,8 +193,8 @@ def weighted_jaccard(a: bytes, b: bytes) -> float:
     return shared / (n + m - shared)
 
 
-def _similar(pairs: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that are similar enough."""
+def _similarities(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their similarity, sim."""
     joined = (
         pairs.join(lists.select(F.col("did").alias("a"), F.col("parts").alias("parts_a")), "a")
         .join(lists.select(F.col("did").alias("b"), F.col("parts").alias("parts_b")), "b")
@@ -203,13 +204,10 @@ def _similar(pairs: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(i).to_pylist() for i in (2, 3))
-            linked = [
-                threshold * max(len(x), len(y)) <= min(len(x), len(y)) and weighted_jaccard(x, y) >= threshold
-                for x, y in zip(a, b, strict=True)
-            ]
-            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
+            sims = [weighted_jaccard(x, y) for x, y in zip(a, b, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long, sim double")
 
 
 def _hidden(name: str) -> Column:
@@ -224,6 +222,51 @@ def _meeting(members: DataFrame) -> DataFrame:
     return members.join(sizes.select(_hidden("band"), "n"), "band").select("band", "did", "n")
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """(band, main) of the buckets that hold several labels and a member that left without leading;
+    main is the label of most members."""
+    kinds = placed.groupBy("band", "label").agg(F.count("*").alias("n"), F.min("leads").alias("leads"))
+    buckets = kinds.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("kinds"), F.min("leads").alias("leads"))
+    return buckets.where((F.col("kinds") > 1) & ~F.col("leads")).select(_hidden("band"), "main")
+
+
+def _bridged(exits: DataFrame, labels: DataFrame, lists: DataFrame, threshold: float, first: int = 64) -> DataFrame:
+    """The labels (did, label), joined by the links between members of a bucket that never met there.
+
+    exits(band, did, left, leads, near): the round in which a member left its bucket, whether it led
+    then, and its similarity to the bucket's first leader. A leader was compared with all that were
+    waiting; so two members are untested where the first to leave did not lead. Each such pair of
+    different labels is compared, unless the triangle inequality (1 - similarity is a metric) rules
+    a link out: the members outside the bucket's largest label, with 64, 512, ... of all its
+    members at a time."""
+    placed = exits.join(labels, "did")
+    turn = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("did"), "did"))
+    placed = cut(placed.join(_mixed(placed), "band").withColumn("outer", F.col("label") != F.col("main")).withColumn("turn", turn).drop("main"))
+    low, high = 0, first
+    while not placed.where(F.col("turn") > low).isEmpty():
+        others = placed.where((F.col("turn") > low) & (F.col("turn") <= high))
+        others = others.select(_hidden("band").alias("band_b"), *[F.col(c).alias(c + "_b") for c in ("did", "label", "left", "leads", "near")])
+        untested = (
+            (F.col("left") < F.col("left_b")) & ~F.col("leads")
+            | (F.col("left_b") < F.col("left")) & ~F.col("leads_b")
+            | (F.col("left") == F.col("left_b")) & ~F.col("leads") & ~F.col("leads_b")
+        )
+        close = F.abs(F.col("near") - F.col("near_b")) <= 1 - threshold + 1e-9
+        pairs = placed.where("outer").join(others, (F.col("band") == F.col("band_b")) & (F.col("label") != F.col("label_b")) & close & untested)
+        pairs = cut(pairs.select(F.least("did", "did_b").alias("a"), F.greatest("did", "did_b").alias("b")).distinct())
+        found = cut(_similarities(pairs, lists).where(F.col("sim") >= threshold).select("a", "b"))
+        if not found.isEmpty():
+            of = lambda c: labels.select(F.col("did").alias(c), F.col("label").alias("label_" + c))
+            joined = found.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
+            merged = components(joined).select(F.col("node").alias("label"), F.col("label").alias("to"))
+            new = lambda df: df.join(merged, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+            labels = cut(new(labels))
+            placed = new(placed)
+            placed = cut(placed.join(_mixed(placed).drop("main"), "band"))
+        low, high = high, high * 8
+    return labels
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -256,7 +299,10 @@ def near_duplicates(
     together that are far from similar. In each bucket one member leads first, the one that meets
     most others over all its buckets; every other member is compared with it, and those that fail
     go on among themselves with 16, 64, ... leaders until each has been linked to one or has led.
-    Members that the first round linked to one leader are not compared again. No bucket is capped; a
+    Members that the first round linked to one leader are not compared again. A member that left when
+    it was linked and one that went on, or left with another leader, have not met: then such pairs,
+    where their links so far do not connect them, are compared too (see _bridged), so every two members
+    of a bucket are connected or known not to be linked. No bucket is capped; a
     group of near copies folds onto its leader in the first round. Joins on leaders exchange both sides, so the
     adaptive skew join can split a leader that many follow.
     """
@@ -268,8 +314,8 @@ def near_duplicates(
     meet = cut(_meeting(_steep_bands(lists, steep_bands, steep_rows)))
     met = meet.groupBy("did").agg(F.sum("n").alias("met"))
     waiting = cut(meet.select("band", "did").join(met.select(_hidden("did"), "met"), "did").select("band", "did", "met"))
-    waiting = waiting.withColumn("label", F.col("did"))
-    links, lead = None, 1
+    waiting = waiting.select("band", "did", "met", F.col("did").alias("label"), F.lit(1.0).alias("near"))
+    links, lead, exits = None, 1, []
     while not waiting.isEmpty():
         first = Window.partitionBy("band").orderBy(F.desc("met"), "did")
         leaders = cut(waiting.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= lead).drop("rank"))
@@ -277,23 +323,33 @@ def near_duplicates(
         after = (F.col("met_b") > F.col("met")) | (F.col("met_b") == F.col("met")) & (F.col("b") < F.col("did"))
         led = waiting.join(heads.withColumnRenamed("band", "band_b"), (F.col("band") == F.col("band_b")) & after & (F.col("label") != F.col("label_b")))
         led = cut(led.select("band", F.col("did").alias("a"), "b", "met_b"))
-        found = cut(_similar(led.select("a", "b").distinct(), lists, threshold))
-        linked = led.join(found, ["a", "b"])
-        settled = linked.select("band", F.col("a").alias("did")).unionByName(leaders.select("band", "did")).distinct()
-        waiting = waiting.join(settled, ["band", "did"], "left_anti")
+        scored = cut(_similarities(led.select("a", "b").distinct(), lists))
+        found = scored.where(F.col("sim") >= threshold).select("a", "b")
+        # The first round's similarities to the one leader stay with the members that go on.
+        tried = led.join(scored if links is None else scored.where(F.col("sim") >= threshold), ["a", "b"])
+        outcome = tried.select("band", F.col("a").alias("did"), "sim", F.lit(False).alias("leads")).unionByName(
+            leaders.select("band", "did", F.lit(1.0).alias("sim"), F.lit(True).alias("leads"))
+        )
+        outcome = outcome.groupBy("band", "did").agg(F.max("sim").alias("sim"), F.max("leads").alias("leads"))
+        marked = waiting.join(outcome, ["band", "did"], "left").withColumn("leaves", F.coalesce(F.col("leads") | (F.col("sim") >= threshold), F.lit(False)))
         if links is None:
             # A member linked to a leader takes its label, so that links it need not be tested for again.
+            linked = tried.where(F.col("sim") >= threshold)
             stars = linked.groupBy(F.col("a").alias("did")).agg(F.max_by("b", F.struct("met_b", "b")).alias("star"))
-            waiting = waiting.join(stars, "did", "left").select("band", "did", "met", F.coalesce("star", "label").alias("label"))
+            marked = marked.join(stars, "did", "left").withColumn("label", F.coalesce("star", "label")).withColumn("near", F.col("sim"))
+        marked = cut(marked.select("band", "did", "met", "label", "near", "leads", "leaves"))
+        exits.append(marked.where("leaves").select("band", "did", F.lit(len(exits)).alias("left"), "leads", "near"))
+        waiting = marked.where(~F.col("leaves")).select("band", "did", "met", "label", "near")
         links = found if links is None else links.unionByName(found)
-        waiting = cut(waiting)
         lead = max(16, lead * 4)
     reps = nodes.select("key", "did")
     if links is None:
         classes = reps.select("key", F.col("did").alias("class"))
     else:
-        classes = reps.join(components(links).withColumnRenamed("node", "did"), "did", "left")
-        classes = classes.select("key", F.coalesce("label", "did").alias("class"))
+        labels = met.select("did").join(components(links).withColumnRenamed("node", "did"), "did", "left")
+        labels = cut(labels.select("did", F.coalesce("label", "did").alias("label")))
+        labels = _bridged(reduce(DataFrame.unionByName, exits), labels, lists, threshold)
+        classes = reps.join(labels, "did", "left").select("key", F.coalesce("label", "did").alias("class"))
     result = sketches.select("did", "th", "key").join(classes.select(_hidden("key"), "class"), "key")
     real = lambda c: F.when(F.col(c) != F.lit(-(2**63)), F.col(c))
     return result.select(real("did").alias("doc_id"), real("class").alias("class_id"), (F.col("did") == F.col("class")).alias("kept"), F.col("th").alias("text_hash"))

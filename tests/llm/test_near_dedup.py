@@ -95,3 +95,27 @@ def test_components(spark, links):
             if a is not None and b is not None:
                 parent[a] = parent[b] = min(parent[a], parent[b])
     assert got == parent
+
+
+def test_bridge_in_a_group_of_copies(make):
+    """In each group some hundred copies, one edited member (id 900) and an outlier (999), whose only
+    link is to that member, while copies lead the buckets in which the two meet."""
+    rng = random.Random(5)
+
+    def edited(text, places, tag):
+        out = list(text)
+        for i in places:
+            out[i] = f"{tag}{i}"
+        return out
+
+    rows = []
+    for g in range(4):
+        core = [f"g{g}w{rng.randrange(10**6)}" for _ in range(1004)]
+        bridge = edited(core, [500], "b")
+        outlier = edited(bridge, [10 + 20 * i for i in range(22)], "c")
+        texts = {0: core, 900: bridge, 999: outlier} | {i: edited(core, [rng.randrange(510, 1000)], f"x{i}y") for i in range(1, 151)}
+        rows += [(1000 * g + i, " ".join(t)) for i, t in texts.items()]
+        near = {i: brute([(0, " ".join(t)), (1, " ".join(outlier))])[1] == 0 for i, t in texts.items()}
+        assert [i for i in near if near[i]] == [900, 999]
+    rng.shuffle(rows)
+    assert run(make(rows)) == {d: d // 1000 * 1000 for d, _ in rows}
