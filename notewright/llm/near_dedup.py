@@ -156,16 +156,16 @@ def _sketch(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
 
 
 def _element_lists(docs: DataFrame, shingle: int) -> DataFrame:
-    """(did, parts): each document's elements as sorted 32-bit hashes, packed."""
+    """(did, th, parts) of each row of (did, th, text): its elements as sorted 32-bit hashes, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [
-                np.sort((elements(text, shingle) >> np.uint64(32)).astype("<u4")).tobytes() for text in batch.column(1).to_pylist()
+                np.sort((elements(text, shingle) >> np.uint64(32)).astype("<u4")).tobytes() for text in batch.column(2).to_pylist()
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary())], names=["did", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.binary())], names=["did", "th", "parts"])
 
-    return docs.select("did", "text").mapInArrow(run, "did long, parts binary")
+    return docs.select("did", "th", "text").mapInArrow(run, "did long, th long, parts binary")
 
 
 def _steep_bands(lists: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -280,17 +280,17 @@ def near_duplicates(
     steep_rows: int = 12,
 ) -> DataFrame:
     """One row per input row: ``doc_id``, ``class_id`` (the smallest identifier of its class),
-    ``kept`` (whether it is that one) and ``text_hash`` (xxhash64, which with doc_id tells rows that
+    ``kept`` (whether it is that one, see below) and ``text_hash`` (xxhash64, which with doc_id tells rows that
     share an identifier apart). Classes are the connected components of links between
     documents whose shingles' weighted Jaccard similarity is at least threshold.
 
     Words are lower-cased runs of letters, digits and underscores. Null text counts as empty;
     documents without words are duplicates only of equal bytes; documents of fewer words than
     shingle are one shingle. A null identifier counts as the smallest (its class_id is null).
-    Repeated rows fall in one class, and all rows that carry the class's identifier are kept. Rows
-    that share an identifier but not a text are one document to others, which meet it through any
-    of its texts and are compared with one. An empty table gives an empty result; other columns
-    are not read.
+    Each class keeps one document, that of its smallest identifier (of several texts under it, the one
+    of the smallest text_hash); rows that repeat it are kept with it. Rows that share an identifier, or
+    have none, but not a text are documents of their own. An empty table gives an empty result; other
+    columns are not read.
 
     Plan: equal shingle sets fold to one node, so a group of copies of any size is one row of the
     band table. Documents that share a band with any other are candidates (at the defaults a pair
@@ -308,9 +308,13 @@ def near_duplicates(
     """
     source = docs.select(ident(id_col).alias("did"), F.xxhash64(text_of(text_col)).alias("th"), text_of(text_col).alias("text"))
     sketches = cut(_sketch(source, bands, rows, shingle))
-    nodes = sketches.groupBy("key").agg(F.min("did").alias("did"), F.first("bands").alias("bands"))
+    # Nodes are numbered: from here on did is a node's number, and least its smallest (did, th).
+    nodes = sketches.groupBy("key").agg(F.min(F.struct("did", "th")).alias("least"), F.first("bands").alias("bands"))
+    nodes = cut(nodes.withColumn("did", F.monotonically_increasing_id()))
     known = _meeting(nodes.select("did", F.explode("bands").alias("band"))).select("did").distinct()
-    lists = cut(_element_lists(source, shingle).join(known, "did", "left_semi").dropDuplicates(["did"]))
+    known = nodes.join(known, "did").select(F.col("did").alias("node"), F.col("least.did").alias("did"), F.col("least.th").alias("th"))
+    lists = _element_lists(source, shingle).join(known, ["did", "th"]).select(F.col("node").alias("did"), "parts")
+    lists = cut(lists.dropDuplicates(["did"]))
     meet = cut(_meeting(_steep_bands(lists, steep_bands, steep_rows)))
     met = meet.groupBy("did").agg(F.sum("n").alias("met"))
     waiting = cut(meet.select("band", "did").join(met.select(_hidden("did"), "met"), "did").select("band", "did", "met"))
@@ -342,14 +346,17 @@ def near_duplicates(
         waiting = marked.where(~F.col("leaves")).select("band", "did", "met", "label", "near")
         links = found if links is None else links.unionByName(found)
         lead = max(16, lead * 4)
-    reps = nodes.select("key", "did")
+    reps = nodes.select("key", "did", "least")
     if links is None:
-        classes = reps.select("key", F.col("did").alias("class"))
+        classes = reps.select("key", F.col("least").alias("class"))
     else:
         labels = met.select("did").join(components(links).withColumnRenamed("node", "did"), "did", "left")
         labels = cut(labels.select("did", F.coalesce("label", "did").alias("label")))
         labels = _bridged(reduce(DataFrame.unionByName, exits), labels, lists, threshold)
-        classes = reps.join(labels, "did", "left").select("key", F.coalesce("label", "did").alias("class"))
+        reps = cut(reps.join(labels, "did", "left").select("key", "least", F.coalesce("label", "did").alias("label")))
+        leasts = reps.groupBy("label").agg(F.min("least").alias("class")).select(_hidden("label"), "class")
+        classes = reps.join(leasts, "label").select("key", "class")
     result = sketches.select("did", "th", "key").join(classes.select(_hidden("key"), "class"), "key")
     real = lambda c: F.when(F.col(c) != F.lit(-(2**63)), F.col(c))
-    return result.select(real("did").alias("doc_id"), real("class").alias("class_id"), (F.col("did") == F.col("class")).alias("kept"), F.col("th").alias("text_hash"))
+    kept = (F.col("did") == F.col("class.did")) & (F.col("th") == F.col("class.th"))
+    return result.select(real("did").alias("doc_id"), real("class.did").alias("class_id"), kept.alias("kept"), F.col("th").alias("text_hash"))

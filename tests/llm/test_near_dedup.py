@@ -119,3 +119,18 @@ def test_bridge_in_a_group_of_copies(make):
         assert [i for i in near if near[i]] == [900, 999]
     rng.shuffle(rows)
     assert run(make(rows)) == {d: d // 1000 * 1000 for d, _ in rows}
+
+
+def test_texts_that_share_an_identifier(spark, make):
+    """Texts under one identifier, or none, are judged apart."""
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{t}{i}" for i in range(120)) for t in "abc")
+    rows = [(3, one), (7, one + " more"), (7, two), (9, two + " more"), (None, three), (None, three + " more"), (None, "alone")]
+    docs = make(rows + rows[4:5])
+    got = N.near_duplicates(docs).join(docs.selectExpr("text", "xxhash64(text) AS text_hash").distinct(), "text_hash").collect()
+    assert {(r.doc_id, r.text): r.class_id for r in got} == dict(zip(rows, [3, 3, 7, 7, None, None, None], strict=True))
+    kept = [(r.doc_id, r.text) for r in got if r.kept]
+    assert set(kept) >= {rows[0], rows[2], rows[6]} and len({t for _, t in kept if t.startswith(three)}) == 1 and len(set(kept)) == 4
+    left = {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert left == set(kept)
