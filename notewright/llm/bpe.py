@@ -8,24 +8,30 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notewright.llm.common import col, held, text_of
+from notewright.llm.common import by_bytes, col, held, text_of
 
-#: Longer words (in bytes) contract with a heap by the same rule: the recursion rewrites all of a
-#: word's rows at each merge, which grows with the square of its length.
-RECURSIVE_BYTES = 64
-#: Words a worker remembers, and words encoded or ids decoded by one query: bounds on memory.
-REMEMBERED = 500_000
+#: Words of at most so many bytes contract together; longer ones have a query that takes all places
+#: of a pair at once and keeps one state, as their rows would otherwise pile up merge by merge.
+SHORT_BYTES = 64
+#: Bytes of words and ids that a worker remembers, words encoded and ids decoded by one query, bytes
+#: of long words in one query, bytes of text taken at once: bounds on memory (a single longer word
+#: or text goes alone).
+REMEMBERED = 24 << 20
 WORDS_AT_ONCE = 20_000
 IDS_AT_ONCE = 200_000
+LONG_AT_ONCE = 100_000
+TEXT_AT_ONCE = 1 << 20
+#: What an entry of the worker's memory takes besides its bytes.
+ENTRY = 200
 
 #: A pair of tokens is packed as left << 20 | right, a place as word << 20 | position, a candidate
 #: merge as rank << 20 | position. Words that no pair contracts leave the recursion as done.
@@ -45,6 +51,34 @@ WITH RECURSIVE state AS (
    WHERE hit IS NULL OR before IS NULL OR before <> ((p.word << 20) | (hit & 1048575))))
 SELECT place >> 20 AS word, list(tok ORDER BY place) AS ids FROM state WHERE done GROUP BY word ORDER BY word
 """
+#: As above with places packed as word << 32 | position. A step contracts the word's pair of minimum
+#: rank at all its places from the left (of overlapping ones every other), as one step after another
+#: would: up to the first place that gives rise to a pair of lower rank. Places that a merge took have
+#: the token -1; a word that no pair contracts is left out of the next step.
+ENCODE_LONG = """
+WITH RECURSIVE state(place, tok) USING KEY (place) AS (
+  SELECT place, tok FROM start
+  UNION ALL
+  (WITH pairs AS (
+     SELECT place, place >> 32 AS word, tok, lead(tok) OVER w AS after, lead(place) OVER w AS further, lag(tok) OVER w AS prior,
+            lead(tok, 2) OVER w AS beyond, row_number() OVER w AS nr
+     FROM state WHERE tok >= 0 WINDOW w AS (PARTITION BY place >> 32 ORDER BY place)),
+   met AS (SELECT p.*, merged FROM pairs p JOIN merges ON pair = ((tok::BIGINT << 20) | after)),
+   best AS (SELECT word, min(merged) AS low FROM met GROUP BY word),
+   hits AS (
+     SELECT met.*, low, nr - row_number() OVER (PARTITION BY met.word ORDER BY nr) AS run FROM met JOIN best ON met.word = best.word WHERE merged = low),
+   taken AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY word, run ORDER BY nr) % 2 = 1),
+   sides AS (
+     SELECT *, CASE WHEN lag(nr) OVER v = nr - 2 THEN low ELSE prior END AS left_tok FROM taken WINDOW v AS (PARTITION BY word ORDER BY nr)),
+   stops AS (
+     SELECT word, min(nr) AS stop FROM sides
+     LEFT JOIN merges l ON l.pair = ((left_tok::BIGINT << 20) | low) LEFT JOIN merges r ON r.pair = ((low::BIGINT << 20) | beyond)
+     WHERE l.merged < low OR r.merged < low GROUP BY word),
+   gone AS (SELECT place, further FROM sides s LEFT JOIN stops ON s.word = stops.word WHERE stop IS NULL OR nr <= stop)
+   SELECT p.place, CASE WHEN a.place IS NOT NULL THEN low WHEN g.further IS NOT NULL THEN -1 ELSE tok END
+   FROM pairs p JOIN best ON p.word = best.word LEFT JOIN gone a ON p.place = a.place LEFT JOIN gone g ON p.place = g.further))
+SELECT place >> 32 AS word, list(tok ORDER BY place) AS ids FROM state WHERE tok >= 0 GROUP BY word ORDER BY word
+"""
 DECODE = """
 SELECT doc, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes
 FROM ids JOIN vocabulary USING (tok) GROUP BY doc
@@ -82,46 +116,41 @@ class Codec:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.db.unregister("given")
         self.words: dict[str, bytes] = {}
+        self.size = 0
 
-    def _recursive(self, words: list[str], encoded: list[bytes]) -> None:
-        for at in range(0, len(words), WORDS_AT_ONCE):
-            part = encoded[at : at + WORDS_AT_ONCE]
-            sizes = np.array([len(e) for e in part])
-            flat = self.single[np.frombuffer(b"".join(part), np.uint8)]
-            first = np.cumsum(sizes) - sizes
-            start = pa.table(
-                {
-                    "place": (np.repeat(np.arange(len(part)), sizes) << 20) | (np.arange(len(flat)) - np.repeat(first, sizes)),
-                    "tok": flat,
-                }
-            )
-            self.db.register("start", start)
-            ids = self.db.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
-            values, offsets = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy()
-            for i, word in enumerate(words[at : at + WORDS_AT_ONCE]):
-                self.words[word] = values[offsets[i] : offsets[i + 1]].tobytes()
-
-    def _heap(self, word: bytes) -> list[int]:
-        """The leftmost pair of minimum rank first, by a heap over a linked list of parts."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        after = [*range(1, len(parts)), -1]
-        before = list(range(-1, len(parts) - 1))
-        rank = lambda i: self.ranks.get(parts[i] + parts[after[i]]) if after[i] >= 0 else None
-        heap = [(r, i) for i in range(len(parts)) if (r := rank(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if not parts[i] or rank(i) != r:
-                continue
-            gone = after[i]
-            parts[i], parts[gone] = parts[i] + parts[gone], b""
-            after[i] = after[gone]
-            if after[i] >= 0:
-                before[after[i]] = i
-            for j in (before[i], i):
-                if j >= 0 and (r := rank(j)) is not None:
-                    heapq.heappush(heap, (r, j))
-        return [self.ranks[p] for p in parts if p]
+    def _contract(self, words: list[str], parts: list[bytes], query: str, shift: int) -> None:
+        """Encodes words, given with their bytes, by one recursive query."""
+        sizes = np.array([len(e) for e in parts])
+        flat = self.single[np.frombuffer(b"".join(parts), np.uint8)]
+        position = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        start = pa.table({"place": (np.repeat(np.arange(len(parts)), sizes) << shift) | position, "tok": flat})
+        self.db.register("start", start)
+        ids = self.db.sql(query).to_arrow_table().column("ids").combine_chunks()
+        self.db.unregister("start")
+        values, offsets = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy()
+        for i, word in enumerate(words):
+            self.words[word] = values[offsets[i] : offsets[i + 1]].tobytes()
+            self.size += sizes[i] + len(self.words[word]) + ENTRY
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Encodes words not met before, in queries of bounded size."""
+        short: tuple[list[str], list[bytes]] = ([], [])
+        long: tuple[list[str], list[bytes]] = ([], [])
+        held_bytes = 0
+        for word in fresh:
+            data = word.encode()
+            kind = short if len(data) <= SHORT_BYTES else long
+            if kind is long and long[0] and held_bytes + len(data) > LONG_AT_ONCE:
+                self._contract(*long, ENCODE_LONG, 32)
+                long, held_bytes = ([], []), 0
+                kind = long
+            held_bytes += len(data) if kind is long else 0
+            kind[0].append(word)
+            kind[1].append(data)
+        if long[0]:
+            self._contract(*long, ENCODE_LONG, 32)
+        for at in range(0, len(short[0]), WORDS_AT_ONCE):
+            self._contract(short[0][at : at + WORDS_AT_ONCE], short[1][at : at + WORDS_AT_ONCE], ENCODE, 20)
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
         """The text's words, in lists of bounded length."""
@@ -143,17 +172,13 @@ class Codec:
         fresh: dict[str, None] = {}
 
         def settle() -> None:
-            if len(self.words) + len(fresh) > REMEMBERED:
+            if self.size > REMEMBERED:
                 self.words.clear()
+                self.size = 0
                 for _, words in pending:
                     fresh.update(dict.fromkeys(words))
-            short = [(w, e) for w in fresh if len(e := w.encode()) <= RECURSIVE_BYTES]
-            if short:
-                self._recursive(*map(list, zip(*short, strict=True)))
+            self._learn(list(fresh))
             known = self.words
-            for w in fresh:
-                if w not in known:
-                    known[w] = np.array(self._heap(w.encode()), "<u4").tobytes()
             for i, words in pending:
                 out[i] += b"".join([known[w] for w in words])
             pending.clear()
@@ -199,6 +224,17 @@ class Codec:
         return [bytes(x) for x in out]
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of the batch whose texts (column 1) take about TEXT_AT_ONCE bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + TEXT_AT_ONCE, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def encode_documents(
     docs: DataFrame,
     *,
@@ -227,8 +263,7 @@ def encode_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks_path, pattern)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in _portions(whole):
                 ids = codec.encode(batch.column(1).to_pylist())
                 columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64())]
                 if with_ids:
@@ -238,7 +273,7 @@ def encode_documents(
                     columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in codec.decode(ids)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return docs.select(col(id_col), text_of(text_col).alias("text")).mapInArrow(run, T.StructType(fields))
+    return by_bytes(docs.select(col(id_col), text_of(text_col).alias("text"))).mapInArrow(run, T.StructType(fields))
 
 
 def decode_documents(
@@ -256,4 +291,4 @@ def decode_documents(
             )
 
     ids = F.coalesce(col(ids_col).cast("array<int>"), F.array().cast("array<int>"))
-    return tokens.select(col(id_col), ids.alias("ids")).mapInArrow(run, T.StructType(fields))
+    return by_bytes(tokens.select(col(id_col), ids.alias("ids"))).mapInArrow(run, T.StructType(fields))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -12,6 +13,11 @@ from pyspark.sql import functions as F
 #: Stands in for a null identifier wherever identifiers are compared: null sorts below all others.
 NULL_ID = -(2**63)
 
+#: Bytes of an Arrow batch that goes to a Python worker, and the session's name for that bound.
+BATCH_BYTES = 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+UNBOUNDED = str(2**31 - 2)
+
 M64 = 0xFFFFFFFFFFFFFFFF
 #: An odd multiplier and its inverse modulo 2^64, so that prefix sums give rolling hashes.
 BASE = 0x9E3779B97F4A7C15
@@ -41,14 +47,26 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder the cluster names in
-    spark.checkpoint.dir; where none is named (tests), in a temporary folder."""
+    spark.checkpoint.dir. Where none is named, Spark in one process (tests) takes a temporary folder;
+    a cluster, whose machines don't share one, is refused."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="notewright-"))
     return df.checkpoint(eager=True)
 
 
+def by_bytes(df: DataFrame) -> DataFrame:
+    """The rows, for a function over Arrow batches: where the session sets no bound of its own, a batch
+    holds BATCH_BYTES at most (or a single longer row), so long texts don't add up in a worker."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, UNBOUNDED) == UNBOUNDED:
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return df
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64: spreads entropy over all bits."""
     h = h ^ (h >> np.uint64(31))

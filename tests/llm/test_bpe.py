@@ -27,7 +27,7 @@ def test_codec_matches(known):
 
 def test_bounds_do_not_show(known, monkeypatch):
     text = " ".join(f"word{i} and{i % 7}" for i in range(4000))
-    for name, value in (("REMEMBERED", 50), ("WORDS_AT_ONCE", 40), ("IDS_AT_ONCE", 100), ("RECURSIVE_BYTES", 4)):
+    for name, value in (("REMEMBERED", 5000), ("WORDS_AT_ONCE", 40), ("IDS_AT_ONCE", 100), ("SHORT_BYTES", 4), ("LONG_AT_ONCE", 60), ("TEXT_AT_ONCE", 90)):
         monkeypatch.setattr(bpe, name, value)
     codec = bpe.Codec(PATH, P.PATTERN)
     ids = codec.encode([text, "", text[:50]])
@@ -35,6 +35,15 @@ def test_bounds_do_not_show(known, monkeypatch):
     assert codec.decode(ids) == [text.encode(), b"", text[:50].encode()]
 
 
+def test_long_words(known):
+    """Words of any length contract by the recursion, as the library's do."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(65, 700))) for letters in ("ab", "eta", "etaoinshrdlu", "é漢字xyz") for _ in range(15)]
+    words += ["z" * 5001, "ab" * 3000, "".join(rng.choice("etaoinsr") for _ in range(4000))]
+    codec = bpe.Codec.of(PATH, P.PATTERN)
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(words)] == [known.encode_ordinary(w) for w in words]
+
+
 def test_operator(make, edge, known):
     out = bpe.encode_documents(make([*edge, edge[3]]), ranks_path=PATH, pattern=P.PATTERN, with_digests=True)
     texts = dict(edge)
