@@ -1,15 +1,13 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's rows are dealt into blocks. Block j (from 0) of a source of weight w is released at
-slot floor(j / w) and due by slot ceil((j + 1) / w); earliest deadline first fills the slots, one
-block each. Weights are whole parts of a period, so one period's schedule, whose length is a
-parameter, places any block of any source by arithmetic. Built-in DataFrame functions only."""
+Each source's rows are dealt into blocks. Block j (from 0) of a source of weight w (a share of 1) is
+released at slot floor(j / w) and due by slot ceil((j + 1) / w); earliest deadline first fills the
+slots, one block each. Weights are whole numbers over their sum and never rounded to a period, so
+the deviation from the target does not grow. Built-in DataFrame functions only."""
 
 from __future__ import annotations
 
 import heapq
-import json
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,52 +16,65 @@ from pyspark.sql import types as T
 
 from notewright.llm.common import col, ident
 
+#: Weights count to so many parts of 1.
+GRAIN = 10**6
 
-def parts_of(weights: list[float], period: int) -> list[int]:
-    """Whole parts of the period in proportion to the weights, one at least, by largest remainder."""
+
+def whole_weights(weights: list[float]) -> list[int]:
+    """The weights as whole numbers of millionths, one at least: their ratios are the target."""
+    return [max(1, round(w * GRAIN)) for w in weights]
+
+
+def pfair_slots(weights: list[int], blocks: list[int]) -> tuple[list[int], int]:
+    """The source index of each slot, and the horizon: the first slot that falls to a source without
+    a block left.
+
+    Up to the horizon each slot goes to the released block with the earliest deadline, ties to the
+    earlier source. The weights' shares add up to one, so a block is always ready, every block meets
+    its deadline, and at every slot each source has had its share of the slots to within less than
+    one block. What is left from the horizon on follows by deadline, ties to the earlier source."""
     total = sum(weights)
-    exact = [w / total * period for w in weights]
-    parts = [max(1, math.floor(x)) for x in exact]
-    by_need = sorted(range(len(exact)), key=lambda i: (parts[i] - exact[i], i))
-    short = period - sum(parts)
-    for i in by_need[: max(0, short)]:
-        parts[i] += 1
-    while sum(parts) > period:  # minima of one may have taken too much: the largest give it back
-        parts[max(range(len(parts)), key=lambda i: (parts[i], -i))] -= 1
-    return parts
-
-
-def pfair_period(parts: list[int]) -> list[tuple[int, int, int, int]]:
-    """(source index, block, release, deadline) of each slot of one period, earliest deadline
-    first among the released blocks, ties to the earlier source. At every slot each source has
-    had its share of the slots to within less than one block."""
-    period = sum(parts)
-    release = lambda s, j: j * period // parts[s]
-    deadline = lambda s, j: -(-(j + 1) * period // parts[s])
-    coming = [(0, s, 0) for s in range(len(parts))]
-    heapq.heapify(coming)
-    ready: list[tuple[int, int, int]] = []
-    out = []
-    for slot in range(period):
-        while coming and coming[0][0] <= slot:
-            _, s, j = heapq.heappop(coming)
-            heapq.heappush(ready, (deadline(s, j), s, j))
-        due, s, j = heapq.heappop(ready)
-        out.append((s, j, release(s, j), due))
-        if j + 1 < parts[s]:
-            heapq.heappush(coming, (release(s, j + 1), s, j + 1))
-    return out
+    coming = [(0, s) for s in range(len(weights))]
+    ready: list[tuple[int, int]] = []
+    placed = [0] * len(weights)
+    order: list[int] = []
+    while True:
+        while coming and coming[0][0] <= len(order):
+            s = heapq.heappop(coming)[1]
+            heapq.heappush(ready, (-(-(placed[s] + 1) * total // weights[s]), s))
+        if not ready:
+            break
+        s = heapq.heappop(ready)[1]
+        if placed[s] == blocks[s]:
+            break
+        order.append(s)
+        placed[s] += 1
+        heapq.heappush(coming, (placed[s] * total // weights[s], s))
+    horizon = len(order)
+    due = lambda s: (-(-(placed[s] + 1) * total // weights[s]), s)
+    left = [due(s) for s in range(len(weights)) if placed[s] < blocks[s]]
+    heapq.heapify(left)
+    while left:
+        s = left[0][1]
+        order.append(s)
+        placed[s] += 1
+        if placed[s] < blocks[s]:
+            heapq.heapreplace(left, due(s))
+        else:
+            heapq.heappop(left)
+    return order, horizon
 
 
 @dataclass(frozen=True)
 class Plan:
-    """A mixing plan: parts of the period by source, one period's slots, the slot at which the
-    first source has no whole block left, and how finely each source is ranked."""
+    """A mixing plan: sources, their whole weights, the source index of each slot, the horizon (see
+    pfair_slots), the rows of a block and how finely each source is ranked."""
 
     sources: list[str | None]
-    parts: list[int]
-    slots: list[tuple[int, int, int, int]]
+    weights: list[int]
+    slots: list[int]
     horizon: int
+    block_rows: int
     buckets_log2: int
 
 
@@ -74,42 +85,47 @@ def plan_mix(
     weights: dict[str | None, float] | None = None,
     exponent: float = 0.7,
     block_rows: int = 8,
-    slots_per_source: int = 64,
-    max_sources: int = 10_000,
+    max_slots: int = 1 << 18,
 ) -> Plan:
-    """Counts the rows of every source (one row a source comes to the driver; more than
-    max_sources sources fail) and plans one period. Without given weights, a source weighs its
-    count to the exponent. The period has slots_per_source slots for each source."""
-    counts = docs.groupBy(col(source_col).alias("source")).count().limit(max_sources + 1).collect()
-    if len(counts) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
+    """Counts the rows of every source (one row a source comes to the driver) and schedules all blocks.
+    Without given weights, a source weighs its count to the exponent. Blocks hold block_rows rows, or
+    as many more as keep the schedule within max_slots slots and one more for each source: so its size
+    does not grow with the rows."""
+    counts = docs.groupBy(col(source_col).cast("string").alias("source")).count().collect()
     n = {r["source"]: r["count"] for r in counts}
     if weights is not None and (missing := set(n) - set(weights)):
         raise ValueError(f"no weight for {sorted(map(str, missing))}")
     sources = sorted(n, key=lambda s: (s is not None, s))
     if not sources:
-        return Plan([], [], [], 0, 0)
+        return Plan([], [], [], 0, block_rows, 0)
     given = [weights[s] if weights else n[s] ** exponent for s in sources]
     if min(given) <= 0:
         raise ValueError("weights must be above 0")
-    parts = parts_of(given, slots_per_source * len(sources))
-    slots = pfair_period(parts)
-    where = {(s, j): at for at, (s, j, _, _) in enumerate(slots)}
-    ends = []
-    for i, s in enumerate(sources):
-        period, block = divmod(n[s] // block_rows, parts[i])
-        ends.append(period * len(slots) + where[i, block])
-    return Plan(sources, parts, slots, min(ends), max(0, math.ceil(math.log2(max(n.values()) / 1000))))
+    whole = whole_weights(given)
+    rows = max(block_rows, -(-sum(n.values()) // max_slots))
+    slots, horizon = pfair_slots(whole, [-(-n[s] // rows) for s in sources])
+    return Plan(sources, whole, slots, horizon, rows, max(0, (max(n.values()) // 1000).bit_length()))
 
 
 def _slots(spark: SparkSession, plan: Plan) -> DataFrame:
-    """The period as rows; its length is bounded by slots_per_source * max_sources."""
-    rows = [
-        {"source": plan.sources[s], "null": plan.sources[s] is None, "part": j, "parts": plan.parts[s], "at": at, "release": r, "deadline": d}
-        for at, (s, j, r, d) in enumerate(plan.slots)
-    ]
-    kind = "array<struct<source:string,part:bigint,parts:bigint,at:bigint,release:bigint,deadline:bigint>>"
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
+    """(slot_source, slot_block, slot, release, deadline): at most max_slots rows and one for each source.
+    The schedule is a literal of source numbers in slot order."""
+    names = F.array(*[F.lit(s).cast("string") for s in plan.sources]) if plan.sources else F.array().cast("array<string>")
+    shares = F.array(*[F.lit(w) for w in plan.weights]).cast("array<decimal(20,0)>")
+    order = F.split(F.lit(" ".join(map(str, plan.slots))), " ")
+    rows = spark.range(1 if plan.slots else 0).select(F.posexplode(order).alias("slot", "number"))
+    rows = rows.select(F.col("slot").cast("long").alias("slot"), F.col("number").cast("int").alias("number"))
+    block = F.row_number().over(Window.partitionBy("number").orderBy("slot")).cast("long") - 1
+    rows = rows.withColumn("slot_block", block).withColumn("w", F.get(shares, F.col("number")))
+    total, j = F.lit(sum(plan.weights)).cast("decimal(20,0)"), F.col("slot_block").cast("decimal(12,0)")
+    rows = rows.withColumns({"early": j * total, "late": (j + 1) * total})
+    return rows.select(
+        F.get(names, F.col("number")).alias("slot_source"),
+        "slot_block",
+        "slot",
+        F.expr("early div w").alias("release"),
+        F.expr("(late div w) + if(late % w = 0, 0, 1)").alias("deadline"),
+    )
 
 
 def _order_key(docs: DataFrame, seed: int) -> Column:
@@ -127,14 +143,17 @@ def mix_sources(
     weights: dict[str | None, float] | None = None,
     exponent: float = 0.7,
     block_rows: int = 8,
-    slots_per_source: int = 64,
+    max_slots: int = 1 << 18,
     seed: int = 0,
 ) -> DataFrame:
     """One row per input row: ``row`` (the input row), ``source``, ``block``, ``place`` (in its
-    block), ``slot``, ``release``, ``deadline``, ``position`` (slot * block_rows + place: the order
-    of the mix) and ``in_mix``: whether the slot lies before the first one whose source has no
-    whole block left. Up to there every source has its weight to within less than one block; the
-    slots that follow go on in the same order with what is left.
+    block), ``slot``, ``release``, ``deadline``, ``position`` (slot times the rows of a block + place:
+    the order of the mix) and ``in_mix``: whether the slot lies before the first one that falls to a
+    source without a block left. Up to there every source has its target weight to within less than
+    one block; the slots that follow hold what is left, by deadline. A source's last block may be short.
+
+    Weights count to a millionth; the default is the number of rows to the exponent. Blocks hold
+    block_rows rows, more where max_slots asks for it (see plan_mix).
 
     A source's rows are ordered by a seeded hash of all their columns, then by identifier. A null
     source is a source of its own; null identifiers sort first; repeated rows keep separate
@@ -142,10 +161,9 @@ def mix_sources(
 
     Plan: a source is ranked in buckets of its hash, about 1000 rows of the largest source each,
     so a source with a third of all rows spreads over many tasks; bucket counts, summed per
-    source, shift the ranks. Rows move once.
+    source, shift the ranks. Rows move once; the schedule, of bounded size, is broadcast.
     """
-    spark = docs.sparkSession
-    plan = plan_mix(docs, source_col=source_col, weights=weights, exponent=exponent, block_rows=block_rows, slots_per_source=slots_per_source)
+    plan = plan_mix(docs, source_col=source_col, weights=weights, exponent=exponent, block_rows=block_rows, max_slots=max_slots)
     leading = F.conv(F.substring("hash", 1, 8), 16, 10).cast("long")
     top = F.shiftright(leading, 32 - min(32, plan.buckets_log2))
     rows = docs.select(
@@ -164,27 +182,19 @@ def mix_sources(
         rows.withColumn("rank", F.row_number().over(within) - 1)
         .join(shifts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
         .withColumn("rank", F.col("rank") + F.col("shift"))
-        .withColumn("block", F.expr(f"rank div {block_rows}"))
-    )
-    slots = _slots(spark, plan).withColumnRenamed("source", "slot_source")
-    sizes = slots.where("part = 0").select(F.col("slot_source").alias("size_source"), F.col("parts").alias("size"))
-    placed = (
-        ranked.join(F.broadcast(sizes), F.col("source").eqNullSafe(F.col("size_source")))
-        .withColumn("turn", F.expr("block div size"))
-        .withColumn("in_turn", F.expr("block % size"))
-        .join(F.broadcast(slots), F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("in_turn") == F.col("part")))
+        .withColumn("block", F.expr(f"rank div {plan.block_rows}"))
     )
-    period = F.lit(len(plan.slots)).cast("long")
-    slot = F.col("turn") * period + F.col("at")
-    place = F.col("rank") % block_rows
+    same = F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("block") == F.col("slot_block"))
+    placed = ranked.join(F.broadcast(_slots(docs.sparkSession, plan)), same)
+    place = F.col("rank") % plan.block_rows
     return placed.select(
         "row",
         "source",
         "block",
         place.alias("place"),
-        slot.alias("slot"),
-        (F.col("turn") * period + F.col("release")).alias("release"),
-        (F.col("turn") * period + F.col("deadline")).alias("deadline"),
-        (slot * block_rows + place).alias("position"),
-        (slot < plan.horizon).alias("in_mix"),
+        "slot",
+        "release",
+        "deadline",
+        (F.col("slot") * plan.block_rows + place).alias("position"),
+        (F.col("slot") < plan.horizon).alias("in_mix"),
     )

@@ -160,37 +160,37 @@ SELECT conv_id, count(*) AS n_turns,
 FROM written GROUP BY conv_id
 """
 
-# Weights are counts to the power of 0.7; a period has 64 slots a source; blocks hold 8 rows.
+# Weights are counts to the power of 0.7 in millionths; blocks hold 8 rows.
 OP10_SQL = """
 WITH RECURSIVE counts AS (
-  SELECT source, n, row_number() OVER (ORDER BY source NULLS FIRST) AS i, 64 * count(*) OVER () AS period
+  SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) AS i, (n + 7) // 8 AS blocks,
+         greatest(1, CAST(round_even(pow(n, 0.7) * 1000000, 0) AS BIGINT))::HUGEINT AS w
   FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)),
-shares AS (SELECT *, pow(n, 0.7) / sum(pow(n, 0.7)) OVER () * period AS exact FROM counts),
-floors AS (SELECT *, greatest(1, floor(exact))::BIGINT AS low FROM shares),
-parts AS (
-  SELECT *, low + CASE WHEN row_number() OVER (ORDER BY low - exact, i) <= period - sum(low) OVER () THEN 1 ELSE 0 END AS p FROM floors),
-lists AS (SELECT list(p ORDER BY i) AS p, any_value(period) AS period, count(*) AS k FROM parts),
+lists AS (SELECT list(w ORDER BY i) AS w, list(blocks ORDER BY i) AS b, sum(w)::HUGEINT AS total, count(*) AS k FROM counts),
 steps AS (
-  SELECT 0 AS slot, list_transform(p, lambda x: 0::BIGINT) AS c, 0::BIGINT AS chosen FROM lists
+  SELECT 0 AS slot, list_transform(w, lambda x: 0::BIGINT) AS c, 0::BIGINT AS chosen, true AS mixed FROM lists
   UNION ALL
-  SELECT slot + 1, list_transform(range(1, k + 1), lambda j: c[j] + CASE WHEN j = next THEN 1 ELSE 0 END), next
+  SELECT slot + 1, list_transform(range(1, k + 1), lambda j: c[j] + CASE WHEN j = pick THEN 1 ELSE 0 END), pick, mixed AND due % 1000000 = pick
   FROM (
-    SELECT slot, c, k, list_min(list_transform(range(1, k + 1), lambda j:
-             CASE WHEN c[j] < p[j] AND c[j] * period // p[j] <= slot THEN ((c[j] + 1) * period + p[j] - 1) // p[j] * 100000 + j END)) % 100000 AS next
-    FROM steps, lists WHERE slot < period)),
+    SELECT slot, c, k, b, mixed, due, CASE WHEN mixed AND c[due % 1000000] < b[due % 1000000] THEN due % 1000000 ELSE rest % 1000000 END AS pick
+    FROM (
+      SELECT slot, c, k, b, mixed,
+             list_min(list_transform(range(1, k + 1), lambda j:
+               CASE WHEN c[j] * total // w[j] <= slot THEN ((c[j] + 1) * total + w[j] - 1) // w[j] * 1000000 + j END))::BIGINT AS due,
+             list_min(list_transform(range(1, k + 1), lambda j:
+               CASE WHEN c[j] < b[j] THEN ((c[j] + 1) * total + w[j] - 1) // w[j] * 1000000 + j END))::BIGINT AS rest
+      FROM steps, lists)
+    WHERE rest IS NOT NULL)),
 slots AS (
-  SELECT slot - 1 AS nth, chosen AS i, row_number() OVER (PARTITION BY chosen ORDER BY slot) - 1 AS part FROM steps WHERE slot > 0),
+  SELECT slot - 1 AS slot, chosen AS i, row_number() OVER (PARTITION BY chosen ORDER BY slot) - 1 AS block, mixed FROM steps WHERE slot > 0),
 ranked AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', '0', doc_id, source)), doc_id) - 1 AS rank FROM documents),
 placed AS (
-  SELECT r.doc_id, r.source, rank // 8 AS block, rank % 8 AS place, (rank // 8) // p AS turn, (rank // 8) % p AS part, p.i, p, period
-  FROM ranked r JOIN parts p ON r.source IS NOT DISTINCT FROM p.source),
-ends AS (
-  SELECT min((n // 8) // p * period + nth) AS horizon FROM parts JOIN slots ON parts.i = slots.i AND (n // 8) % p = part)
-SELECT doc_id, source, block, place, turn * period + nth AS slot, turn * period + x.part * period // p AS release,
-       turn * period + ((x.part + 1) * period + p - 1) // p AS deadline, (turn * period + nth) * 8 + place AS position,
-       turn * period + nth < horizon AS in_mix
-FROM placed x JOIN slots s ON x.i = s.i AND x.part = s.part CROSS JOIN ends
+  SELECT r.doc_id, r.source, rank // 8 AS block, rank % 8 AS place, c.i, c.w, lists.total
+  FROM ranked r JOIN counts c ON r.source IS NOT DISTINCT FROM c.source CROSS JOIN lists)
+SELECT doc_id, source, x.block, place, slot, CAST(x.block * total // x.w AS BIGINT) AS release,
+       CAST(((x.block + 1) * total + x.w - 1) // x.w AS BIGINT) AS deadline, slot * 8 + place AS position, mixed AS in_mix
+FROM placed x JOIN slots s ON x.i = s.i AND x.block = s.block
 """
 
 

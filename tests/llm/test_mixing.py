@@ -12,14 +12,29 @@ from notewright.llm import mixing as M
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.floats(0.001, 1.0), min_size=1, max_size=25))
 def test_schedule_keeps_every_window_and_lag(weights):
-    parts = M.parts_of(weights, 64 * len(weights))
-    period = sum(parts)
-    assert period == 64 * len(weights) and min(parts) >= 1
-    placed = [0] * len(parts)
-    for slot, (source, block, release, deadline) in enumerate(M.pfair_period(parts)):
-        assert release <= slot < deadline and block == placed[source]
+    """Every block within its window, and less than one block from the target throughout."""
+    whole = M.whole_weights(weights)
+    total = sum(whole)
+    slots, horizon = M.pfair_slots(whole, [2000 * w // total + 1 for w in whole])
+    placed = [0] * len(whole)
+    for slot, source in enumerate(slots[:horizon]):
+        j, w = placed[source], whole[source]
+        assert j * total // w <= slot < -(-(j + 1) * total // w)
         placed[source] += 1
-        assert all(abs(n - p * (slot + 1) / period) < 1 for n, p in zip(placed, parts, strict=True))
+        assert all(abs(n * total - p * (slot + 1)) < total for n, p in zip(placed, whole, strict=True))
+    assert horizon and Counter(slots) == Counter({i: 2000 * w // total + 1 for i, w in enumerate(whole)})
+
+
+def test_deviation_from_the_target_does_not_grow():
+    """Six sources weighted by count to the power of 0.7, over 200,000 slots."""
+    counts = [2_000_000, 170_000, 90_000, 33_000, 5_000, 1_111]
+    target = [n**0.7 / sum(m**0.7 for m in counts) for n in counts]
+    slots, horizon = M.pfair_slots(M.whole_weights([n**0.7 for n in counts]), [200_000] * 6)
+    placed, worst = [0] * 6, 0.0
+    for slot, source in enumerate(slots[:200_000]):
+        placed[source] += 1
+        worst = max(worst, *(abs(n - w * (slot + 1)) for n, w in zip(placed, target, strict=True)))
+    assert horizon >= 200_000 and worst < 1
 
 
 def rows(spark, counts, seed=1):
@@ -29,40 +44,49 @@ def rows(spark, counts, seed=1):
     return spark.createDataFrame(data, "doc_id long, source string").repartition(5)
 
 
-def brute(counts, block_rows, slots_per_source, exponent):
-    """Position of the n-th row of each source, by filling slots one at a time."""
+def brute(counts, block_rows, exponent):
+    """Slot, release, deadline and in_mix of each source's blocks, by filling slots one at a time."""
     sources = sorted(counts, key=lambda s: (s is not None, s))
-    parts = M.parts_of([counts[s] ** exponent for s in sources], slots_per_source * len(sources))
-    period = sum(parts)
-    left = {s: counts[s] for s in sources}
-    placed = Counter()
-    out, slot, whole = {}, 0, True
-    while any(left.values()):
-        ready = [(-(-(placed[i] + 1) * period // parts[i]), i) for i in range(len(parts)) if placed[i] * period // parts[i] <= slot]
-        due, i = min(ready)
-        s = sources[i]
-        whole = whole and left[s] >= block_rows
-        for place in range(min(block_rows, left[s])):
-            out[s, placed[i] * block_rows + place] = (slot, placed[i] * period // parts[i], due, whole)
-        left[s] -= min(block_rows, left[s])
+    whole = [max(1, round(counts[s] ** exponent * 10**6)) for s in sources]
+    total = sum(whole)
+    left = [-(-counts[s] // block_rows) for s in sources]
+    placed, out, mixed = [0] * len(whole), {}, True
+    while any(left):
+        at = len(out)
+        waiting = [i for i in range(len(whole)) if (placed[i] * total // whole[i] <= at if mixed else left[i])]
+        due, i = min((-(-(placed[i] + 1) * total // whole[i]), i) for i in waiting)
+        if not left[i]:
+            mixed = False
+            continue
+        out[sources[i], placed[i]] = (at, placed[i] * total // whole[i], due, mixed)
+        left[i] -= 1
         placed[i] += 1
-        slot += 1
     return out
 
 
 @pytest.mark.parametrize("counts", [{"a": 1000, "b": 90, None: 37, "c": 8}, {"only": 70}, {"x": 3, "y": 3}, {"big": 5000, "small": 300}])
 def test_matches_slot_by_slot(spark, counts):
-    got = M.mix_sources(rows(spark, counts), block_rows=8, slots_per_source=16).collect()
-    want = brute(counts, 8, 16, 0.7)
+    got = M.mix_sources(rows(spark, counts), block_rows=8).collect()
+    want = brute(counts, 8, 0.7)
     assert len(got) == sum(counts.values())
     for r in got:
-        assert want[r.source, r.block * 8 + r.place] == (r.slot, r.release, r.deadline, r.in_mix)
+        assert want[r.source, r.block] == (r.slot, r.release, r.deadline, r.in_mix)
         assert r.position == r.slot * 8 + r.place
     assert len({r.position for r in got}) == len(got)
-    slots = max((r.slot for r in got if r.in_mix), default=-1) + 1
-    parts = M.parts_of([counts[s] ** 0.7 for s in sorted(counts, key=lambda s: (s is not None, s))], 16 * len(counts))
-    for s, p in zip(sorted(counts, key=lambda s: (s is not None, s)), parts, strict=True):
-        assert abs(sum(r.in_mix for r in got if r.source == s) / 8 - slots * p / sum(parts)) < 1
+    slots = len({r.slot for r in got if r.in_mix})
+    total = sum(n**0.7 for n in counts.values())
+    for s, n in counts.items():
+        assert abs(len({r.block for r in got if r.source == s and r.in_mix}) - slots * n**0.7 / total) < 1
+
+
+def test_blocks_grow_where_the_schedule_would(spark):
+    """The schedule is bounded by max_slots and one slot for each source; no row is left out."""
+    counts = {"a": 3000, "b": 500, None: 3}
+    df = rows(spark, counts)
+    plan = M.plan_mix(df, max_slots=40)
+    assert plan.block_rows == 88 and len(plan.slots) <= 43
+    got = M.mix_sources(df, max_slots=40).collect()
+    assert len({r.position for r in got}) == len(got) == 3503 and all(r.position == r.slot * 88 + r.place for r in got)
 
 
 def test_order_does_not_depend_on_partitions(spark):
