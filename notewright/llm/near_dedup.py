@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notewright.llm.common import POWERS, cut, ident, let_go, mix64, text_of
+from notewright.llm.common import POWERS, by_bytes, cut, ident, let_go, mix64, text_of
 from notewright.llm.graph import components
 
 #: Bytes of text hashed at once (more only for a single longer word).
@@ -57,35 +57,39 @@ def word_hashes(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def elements(text: str, size: int) -> np.ndarray:
-    """The text's shingles as unit elements: the n-th occurrence of a shingle is element
-    (shingle, n), so shared elements count the weighted intersection. A text of fewer words than
-    size is one shingle; one without words has none."""
+def runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of an ordered array, and how often each occurs."""
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.empty(0, np.int64)
+    return ordered[first], np.diff(np.append(first, len(ordered)))
+
+
+def weighted_shingles(text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the text's distinct shingles, in order, and their weights: how often each occurs. A
+    text of fewer words than size is one shingle; one without words has none."""
     words = word_hashes(text)
     if not len(words):
-        return words
+        return words, np.empty(0, np.int64)
     size = min(size, len(words))
     n = len(words) - size + 1
     shingles = np.full(n, np.uint64(size))
     for i in range(size):
         shingles = mix64(shingles * GOLDEN + words[i : i + n])
     shingles.sort()
-    fresh = np.concatenate(([True], shingles[1:] != shingles[:-1]))
-    first = np.flatnonzero(fresh)
-    occurrence = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-    return mix64(shingles + occurrence.astype(np.uint64) * GOLDEN) if occurrence.any() else mix64(shingles)
+    return runs(shingles)
 
 
-def content_key(text: str, parts: np.ndarray) -> bytes:
+def content_key(text: str, shingles: np.ndarray, weights: np.ndarray) -> bytes:
     """128 bits that equal weighted shingle sets share; texts without words go by their bytes."""
-    if not len(parts):
+    if not len(shingles):
         return hashlib.blake2b(text.encode(), digest_size=16).digest()
+    parts = mix64(shingles + weights.astype(np.uint64) * GOLDEN)
     one, two = mix64(parts ^ np.uint64(0x5851F42D4C957F2D)), mix64(parts + np.uint64(0x14057B7EF767814F))
     return np.array([one.sum(dtype=np.uint64), two.sum(dtype=np.uint64)], ">u8").tobytes()
 
 
 def dart_signature(parts: np.ndarray, weights: np.ndarray | None, k: int) -> np.ndarray:
-    """k coordinates of a non-empty weighted set, each the earliest dart that falls on it.
+    """k coordinates of a non-empty weighted set (without weights each element weighs one), each the
+    earliest dart that falls on it.
 
     Element i owns the strip [0, weight) x [0, infinity) of weight and rank. Cells of area one hold
     a Poisson number of darts, hashed from the element and the cell alone. Ranks are searched up to
@@ -144,28 +148,28 @@ def _sketch(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
         for batch in batches:
             keys, found = [], []
             for text in batch.column(2).to_pylist():
-                parts = elements(text, shingle)
-                keys.append(content_key(text, parts))
-                found.append(band_keys(dart_signature(parts, None, bands * rows), bands, rows) if len(parts) else [])
+                parts, weights = weighted_shingles(text, shingle)
+                keys.append(content_key(text, parts, weights))
+                found.append(band_keys(dart_signature(parts, weights, bands * rows), bands, rows) if len(parts) else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
                 names=["did", "th", "key", "bands"],
             )
 
-    return docs.select("did", "th", "text").mapInArrow(run, "did long, th long, key binary, bands array<long>")
+    return by_bytes(docs.select("did", "th", "text")).mapInArrow(run, "did long, th long, key binary, bands array<long>")
 
 
 def _element_lists(docs: DataFrame, shingle: int) -> DataFrame:
-    """(did, th, parts) of each row of (did, th, text): its elements as sorted 32-bit hashes, packed."""
+    """(did, th, parts) of each row of (did, th, text): its shingles as ordered 32-bit hashes, each as
+    often as it occurs, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [
-                np.sort((elements(text, shingle) >> np.uint64(32)).astype("<u4")).tobytes() for text in batch.column(2).to_pylist()
-            ]
+            found = (weighted_shingles(text, shingle) for text in batch.column(2).to_pylist())
+            parts = [np.repeat((shingles >> np.uint64(32)).astype("<u4"), weights).tobytes() for shingles, weights in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.binary())], names=["did", "th", "parts"])
 
-    return docs.select("did", "th", "text").mapInArrow(run, "did long, th long, parts binary")
+    return by_bytes(docs.select("did", "th", "text")).mapInArrow(run, "did long, th long, parts binary")
 
 
 def _steep_bands(lists: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -175,22 +179,30 @@ def _steep_bands(lists: DataFrame, bands: int, rows: int) -> DataFrame:
         for batch in batches:
             found = []
             for raw in batch.column(1).to_pylist():
-                parts = mix64(np.frombuffer(raw, "<u4").astype(np.uint64))
-                found.append(band_keys(dart_signature(parts, None, bands * rows), bands, rows) if len(parts) else [])
+                parts, weights = runs(np.frombuffer(raw, "<u4"))
+                parts = mix64(parts.astype(np.uint64))
+                found.append(band_keys(dart_signature(parts, weights, bands * rows), bands, rows) if len(parts) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["did", "bands"])
 
-    return lists.select("did", "parts").mapInArrow(run, "did long, bands array<long>").select("did", F.explode("bands").alias("band"))
+    steep = by_bytes(lists.select("did", "parts")).mapInArrow(run, "did long, bands array<long>")
+    return steep.select("did", F.explode("bands").alias("band"))
 
 
 def weighted_jaccard(a: bytes, b: bytes) -> float:
-    """Similarity of two sorted element lists."""
-    n, m = len(a) // 4, len(b) // 4
-    if not n or not m:
+    """Similarity of two element lists: the lesser weights of shared shingles over the greater of all."""
+    one, two = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    if not len(one) or not len(two):
         return 0.0
-    both = np.concatenate([np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")])
+    both = np.concatenate([one, two])
     both.sort(kind="stable")
-    shared = int((both[1:] == both[:-1]).sum())
-    return shared / (n + m - shared)
+    same = both[1:] == both[:-1]
+    if (same[1:] & same[:-1]).any() or (one[1:] == one[:-1]).any() or (two[1:] == two[:-1]).any():
+        (x, wx), (y, wy) = runs(one), runs(two)
+        _, at, to = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+        shared = int(np.minimum(wx[at], wy[to]).sum())
+    else:
+        shared = int(same.sum())
+    return shared / (len(both) - shared)
 
 
 def _similarities(pairs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -207,7 +219,7 @@ def _similarities(pairs: DataFrame, lists: DataFrame) -> DataFrame:
             sims = [weighted_jaccard(x, y) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
-    return joined.mapInArrow(run, "a long, b long, sim double")
+    return by_bytes(joined).mapInArrow(run, "a long, b long, sim double")
 
 
 def _hidden(name: str) -> Column:

@@ -79,6 +79,20 @@ def test_signature_estimates_weighted_similarity():
     assert not (N.dart_signature(parts[:1], None, 100) == N.EMPTY).any()
 
 
+def test_lists_and_shingles_are_weighted():
+    """The similarity of two texts' lists is that of their shingles weighted by occurrence."""
+    rng = random.Random(2)
+    for letters in ("ab", "abcdefghijkl"):
+        for _ in range(40):
+            texts = [" ".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(2)]
+            found = [N.weighted_shingles(t, 3) for t in texts]
+            lists = [np.repeat((x >> np.uint64(32)).astype("<u4"), w).tobytes() for x, w in found]
+            one, two = (shingles(t, 3) for t in texts)
+            assert [sorted(w) for _, w in found] == [sorted(one.values()), sorted(two.values())]
+            union = sum((one | two).values())
+            assert N.weighted_jaccard(*lists) == pytest.approx(sum((one & two).values()) / union if one and two else 0)
+
+
 def test_long_texts_in_pieces(monkeypatch):
     text = " ".join(f"word{i % 97}" for i in range(3000))
     whole = N.word_hashes(text)
