@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notewright.llm.common import col, cut, held, let_go, text_of
-from notewright.llm.near_dedup import elements
+from notewright.llm.common import by_bytes, col, cut, held, let_go, text_of
+from notewright.llm.near_dedup import weighted_shingles
 
 WORD = re.compile(r"\w+")
 #: Lengths of word beginnings that may become terms.
@@ -235,11 +235,11 @@ def _weighed(train: DataFrame) -> DataFrame:
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in batches:
-            found = [elements(t, 3) for t in batch.column(0).to_pylist()]
+            found = [weighted_shingles(t, 3)[0] for t in batch.column(0).to_pylist()]
             sketch = pa.array([int(x.min().view(np.int64)) if len(x) else 0 for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, sketch], names=["text", "toxic", "least"])
 
-    train = cut(train.mapInArrow(least, "text string, toxic int, least long"))
+    train = cut(by_bytes(train).mapInArrow(least, "text string, toxic int, least long"))
     sizes = train.groupBy("least").agg((1.0 / F.count("*")).alias("weight"))
     return train.join(F.broadcast(sizes), "least").select("text", "toxic", "weight")
 
@@ -276,7 +276,7 @@ def _counts(train: DataFrame) -> DataFrame:
         if counts:
             yield flush()
 
-    rows = train.select("text", "toxic", "weight").mapInArrow(run, "term string, beginning boolean, toxic double, clean double")
+    rows = by_bytes(train.select("text", "toxic", "weight")).mapInArrow(run, "term string, beginning boolean, toxic double, clean double")
     # Rounded, as the order in which parts are summed must not decide between terms.
     total = lambda c: F.round(F.sum(c), 6).alias(c)
     return rows.groupBy("term", "beginning").agg(total("toxic"), total("clean"))
@@ -322,13 +322,10 @@ def fit_toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
     max_rows: int = 20_000,
-    max_terms: int = 2_000,
-    max_clean: int = 20_000,
 ) -> Model:
     """Learns from at most max_rows labelled rows that are not held out (those whose identifiers
-    hash lowest). The lexicon holds at most max_terms terms, and at most max_clean words that
-    resemble one but are clean; these and the training rows' three features each are all that comes
-    to the driver.
+    hash lowest): the one bound, from which all that follows is counted in whole. The lexicon's terms,
+    the clean words that resemble one and the training rows' three features each come to the driver.
 
     Null labels and null identifiers are not learned from; a document labelled twice is toxic if
     any label says so. Without labels of both kinds the model has no terms and scores all texts low.
@@ -355,11 +352,9 @@ def fit_toxicity(
     found = (
         scored.withColumns({"odds": odds, "error": error})
         .where((F.col("g") >= least) & (F.col("odds") >= 2))
-        .orderBy(F.desc("g"), "beginning", F.desc(F.length("term")), "term")
-        .limit(max_terms)
         .collect()
     )
-    words, beginnings = _lexicon([(r["term"], r["beginning"], r["toxic"], r["odds"], r["error"]) for r in found])
+    words, beginnings = _lexicon(sorted((r["term"], r["beginning"], r["toxic"], r["odds"], r["error"]) for r in found))
 
     def resembles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(trie(words))
@@ -371,8 +366,6 @@ def fit_toxicity(
         counts.where(~F.col("beginning") & (F.col("clean") > 0))
         .select("term", "clean")
         .mapInArrow(resembles, "term string, clean double")
-        .orderBy(F.desc("clean"), "term")
-        .limit(max_clean)
         .collect()
     )
     model = Model(words, beginnings, frozenset(r["term"] for r in clean))
@@ -423,7 +416,7 @@ def score_documents(docs: DataFrame, model: Model, *, text_col: str = "text", ca
     result. One pass, no shuffle; whole texts are read."""
     row = F.struct(*[col(c) for c in (carry or docs.columns)]).alias("row")
     source = docs.select(row, text_of(text_col).alias("text"))
-    key = hash((tuple(sorted(model.words.items())), tuple(sorted(model.beginnings.items())), model.bias, model.slopes))
+    key = hash((tuple(sorted(model.words.items())), tuple(sorted(model.beginnings.items())), model.bias, model.slopes, tuple(sorted(model.clean))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held(("toxicity", key), lambda: Scorer(model))
@@ -431,4 +424,4 @@ def score_documents(docs: DataFrame, model: Model, *, text_col: str = "text", ca
             scores = pa.array([scorer.score(t) for t in batch.column(1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["row", "score"])
 
-    return source.mapInArrow(run, T.StructType([source.schema["row"], T.StructField("score", T.DoubleType())]))
+    return by_bytes(source).mapInArrow(run, T.StructType([source.schema["row"], T.StructField("score", T.DoubleType())]))
