@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notewright.llm.common import col, text_of
+from notewright.llm.common import by_bytes, col, text_of
 
 #: Base kinds first, then the confirmed kinds, in their sorting order.
 KINDS = ("assign", "access", "hex", "pem", "key", "token")
@@ -30,10 +30,15 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{40,}")
-PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: Armour lines of a private key, opening and closing; a line of it, whose break may be written as \\n.
+MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
+BREAK = re.compile(r"\\r\\n|\\n|\r\n|\n|\r")
 PART = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-ANY_HEX = re.compile(r"(?:[0-9a-f]{2}){20,}|(?:[0-9A-F]{2}){20,}")
+ANY_HEX = re.compile(r"(?:[0-9a-fA-F]{2}){20,}")
+#: Lines of base64 that follow one another without armour: full ones of one length, then a rest.
+LINE = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{4,}={0,2}")
+GAP = re.compile(r" ?\r? ?\n|\r")
+FULL_LINE = range(48, 129)
 
 
 def unbase64(part: str) -> bytes | None:
@@ -99,6 +104,8 @@ def is_private_key(data: bytes | None) -> bool:
     if tags[:3] == [0x02, 0x30, 0x04]:
         algorithm = elements(inner[1][1])
         return bool(algorithm) and algorithm[0][0] == 0x06
+    if tags == [0x02] * 6:
+        return inner[0][1] == b"\x00"  # version, primes, generator, public and private value
     if tags[:2] == [0x02, 0x04] and inner[0][1] == b"\x01":
         return len(inner[1][1]) >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])
     if tags == [0x30, 0x04]:
@@ -107,19 +114,87 @@ def is_private_key(data: bytes | None) -> bool:
     return False
 
 
-def is_signed_token(run: str) -> bool:
-    """Whether run is header.payload.signature with a header that names its algorithm."""
-    parts = run.split(".")
-    if len(parts) != 3:
-        return False
+def _object(part: str) -> dict | None:
+    """The JSON object that the part encodes, or None."""
     try:
-        header, payload = (json.loads(unbase64(p) or b"") for p in parts[:2])
-    except ValueError:
-        return False
-    if not isinstance(header, dict) or not isinstance(payload, dict):
-        return False
-    algorithm = header.get("alg")
-    return isinstance(algorithm, str) and bool(parts[2] or algorithm.lower() == "none")
+        found = json.loads(unbase64(part) or b"")
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def tokens(run: str) -> list[tuple[int, int]]:
+    """(start, end) of the signed (three parts) and encrypted (five parts) tokens of a run, not
+    overlapping. A token begins with a dot-separated part of the run, so each part is decoded twice
+    at most: as a header and as a payload."""
+    parts = [(m.group(), m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9_-]+", run)]
+    joined = [a[2] + 1 == b[1] and run[a[2]] == "." for a, b in zip(parts, parts[1:], strict=False)]
+    out, at = [], 0
+    while at + 1 < len(parts):
+        size = _token_parts(run, parts, joined, at) if joined[at] and parts[at][0].startswith("eyJ") else 0
+        if size:
+            end = at + size - 1
+            out.append((parts[at][1], parts[end][2] if end < len(parts) and all(joined[at:end]) else parts[at + 1][2] + 1))
+        at += max(1, size)
+    return out
+
+
+def _token_parts(run: str, parts: list[tuple[str, int, int]], joined: list[bool], at: int) -> int:
+    """How many parts the token at this part has, 0 if none is there. An unsigned one ends in a dot."""
+    header = _object(parts[at][0])
+    if header is None or not isinstance(header.get("alg"), str):
+        return 0
+    if isinstance(header.get("enc"), str):
+        return 5 if at + 5 <= len(parts) and all(joined[at : at + 4]) else 0
+    if _object(parts[at + 1][0]) is None:
+        return 0
+    if at + 2 < len(parts) and joined[at + 1]:
+        return 3
+    end = parts[at + 1][2]
+    return 3 if header["alg"].lower() == "none" and run[end : end + 1] == "." else 0
+
+
+def is_signed_token(run: str) -> bool:
+    """Whether the whole run is one token."""
+    return tokens(run) == [(0, len(run))]
+
+
+def blocks(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, body) of the armoured private keys: an opening line and the next armour line, if it
+    closes the same label."""
+    opened = None
+    for m in MARK.finditer(text):
+        if m.group(1) == "BEGIN":
+            opened = m
+        else:
+            if opened and opened.group(2) == m.group(2):
+                yield opened.start(), m.end(), text[opened.end() : m.start()]
+            opened = None
+
+
+def wrapped(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, joined) of base64 that is wrapped over several lines without armour."""
+    text = text.replace("\\n", " \n").replace("\\r", " \r")  # breaks written out, in as many characters
+    group: list[re.Match] = []
+    for m in LINE.finditer(text):
+        size = len(m.group())
+        if group:
+            full, gap = len(group[0].group()), text[group[-1].end() : m.start()]
+            if len(group[-1].group()) == full and size <= full and len(gap) <= 4 and GAP.fullmatch(gap):
+                group.append(m)
+                continue
+            if len(group) > 1:
+                yield group[0].start(), group[-1].end(), "".join(x.group() for x in group)
+            group = []
+        if size in FULL_LINE and "=" not in m.group():
+            group = [m]
+    if len(group) > 1:
+        yield group[0].start(), group[-1].end(), "".join(x.group() for x in group)
+
+
+def pem_body(body: str) -> bytes | None:
+    lines = [x.strip() for x in BREAK.sub("\n", body).split("\n")]
+    return unbase64("".join(x for x in lines if ":" not in x))
 
 
 def holds_secret(data: bytes | None) -> bool:
@@ -129,18 +204,12 @@ def holds_secret(data: bytes | None) -> bool:
     if not data or not data.isascii():
         return False
     text = data.decode("ascii")
-    return any(is_private_key(pem_body(m)) for m in PEM.finditer(text)) or any(
-        is_signed_token(m.group()) for m in TOKEN.finditer(text)
-    )
-
-
-def pem_body(m: re.Match) -> bytes | None:
-    lines = [x.strip() for x in m.group(2).splitlines()]
-    return unbase64("".join(x for x in lines if ":" not in x))
+    return any(is_private_key(pem_body(body)) for _, _, body in blocks(text)) or any(tokens(m.group()) for m in RUN.finditer(text))
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
-    """All spans of one text as (kind, start, end) in code points, sorted."""
+    """All spans of one text as (kind, start, end) in code points, sorted. Each step is linear in the
+    text's length: no pattern can start over at every place of a long run."""
     spans = []
     low = text.lower()
     if any(w in low for w in WORDS):
@@ -148,18 +217,20 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     spans += [("access", *m.span()) for m in ACCESS.finditer(text)]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
     if "-----BEGIN" in text:
-        spans += [("pem", *m.span()) for m in PEM.finditer(text) if is_private_key(pem_body(m))]
-    for run in RUN.finditer(text):
+        spans += [("pem", start, end) for start, end, body in blocks(text) if is_private_key(pem_body(body))]
+    runs = list(RUN.finditer(text))
+    for run in runs:
         start, body = run.start(), run.group()
-        for m in TOKEN.finditer(body):
-            if is_signed_token(m.group()):
-                spans.append(("token", start + m.start(), start + m.end()))
+        if "eyJ" in body:
+            spans += [("token", start + a, start + b) for a, b in tokens(body)]
         for m in ANY_HEX.finditer(body):
             if holds_secret(bytes.fromhex(m.group())):
                 spans.append(("key", start + m.start(), start + m.end()))
         for m in PART.finditer(body):
             if holds_secret(unbase64(m.group())):
                 spans.append(("key", start + m.start(), start + m.end()))
+    if len(runs) > 1 or runs and BREAK.match(text, runs[0].end()):
+        spans += [("key", start, end) for start, end, body in wrapped(text) if holds_secret(unbase64(body))]
     return sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -182,7 +253,7 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Base kinds are ``assign``, ``access`` and ``hex``; confirmed kinds are ``pem`` (an armoured
     private key), ``key`` (a base64 or hex run that decodes to a private key or to text holding
-    one) and ``token`` (a signed token). Null text counts as empty and has no spans; a null
+    one, be it wrapped over several lines) and ``token`` (a signed or encrypted token). Null text counts as empty and has no spans; a null
     identifier passes through; repeated rows are scanned each; an empty table gives an empty
     result; other columns are not read. Whole texts are scanned in one pass without a shuffle.
     """
@@ -199,4 +270,4 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     kind = docs.schema[id_col].dataType
     out = T.StructType([T.StructField(id_col, kind), T.StructField("spans", SPANS)])
-    return docs.select(col(id_col), text_of(text_col).alias("text")).mapInArrow(run, out)
+    return by_bytes(docs.select(col(id_col), text_of(text_col).alias("text"))).mapInArrow(run, out)
