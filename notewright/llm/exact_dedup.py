@@ -113,11 +113,11 @@ def merge_blocks(blocks: Iterator[bytes], keep: str) -> Iterator[np.ndarray]:
         yield pool
 
 
-def merged_digests(digests: DataFrame, *, keep: str = "max", fan_bits: int = 3) -> DataFrame:
+def merged_digests(digests: DataFrame, *, keep: str = "max", fan_bits: int = 1) -> DataFrame:
     """Folds (did, digest, check, size) rows to one (digest, keep_id, group_size) per digest.
 
-    fan_bits: bits of the partition number that one round settles; a round merges the runs of
-    2^fan_bits partitions. Everything that a partition sends is pre-aggregated, so a digest that a
+    fan_bits: bits of the partition number that one round settles. At 1 the rounds are binomial: in
+    round i a partition and the one whose number differs in bit i alone exchange and merge runs. Everything that a partition sends is pre-aggregated, so a digest that a
     third of all rows share is one record a partition."""
     if keep not in ("min", "max"):
         raise ValueError("keep is 'min' or 'max'")
@@ -177,7 +177,7 @@ def merged_digests(digests: DataFrame, *, keep: str = "max", fan_bits: int = 3)
 
 
 def exact_dedup(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_bits: int = 3
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_bits: int = 1
 ) -> DataFrame:
     """One row per input row: ``doc_id``, ``keep_id`` (the identifier of the row that stays),
     ``group_size``, ``kept`` and ``text_sha256``. Texts are equal when identical.
