@@ -172,20 +172,37 @@ def _element_lists(docs: DataFrame, shingle: int) -> DataFrame:
     return by_bytes(docs.select("did", "th", "text")).mapInArrow(run, "did long, th long, parts binary")
 
 
-def _steep_bands(lists: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(did, band) from element lists."""
+def signature_bits(signature: np.ndarray) -> list[int]:
+    """Two bits of every coordinate, packed into 64-bit words (of 32 coordinates each)."""
+    pairs = (mix64(signature + GOLDEN) & np.uint64(3)).astype(np.uint64)
+    pairs = np.concatenate([pairs, np.zeros(-len(pairs) % 32, np.uint64)]).reshape(-1, 32)
+    return (pairs << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
+
+
+def most_different_bits(threshold: float, coordinates: int, errors: float = 4.5) -> int:
+    """How many of the two bits of each coordinate differ at most between two sets of this similarity:
+    the expected number and so many standard errors (4.5: one link in 290,000 goes beyond). A
+    coordinate differs with probability 1 - similarity, and then each of its bits does with one half."""
+    apart = 1 - threshold
+    return math.ceil(coordinates * apart + errors * math.sqrt(coordinates * (1.5 * apart - apart**2)))
+
+
+def _signed(lists: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(did, bands, bits) from element lists: the steep bands, and two bits of all their coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found, bits = [], []
             for raw in batch.column(1).to_pylist():
                 parts, weights = runs(np.frombuffer(raw, "<u4"))
-                parts = mix64(parts.astype(np.uint64))
-                found.append(band_keys(dart_signature(parts, weights, bands * rows), bands, rows) if len(parts) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["did", "bands"])
+                signature = dart_signature(mix64(parts.astype(np.uint64)), weights, bands * rows) if len(parts) else None
+                found.append([] if signature is None else band_keys(signature, bands, rows))
+                bits.append([] if signature is None else signature_bits(signature))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["did", "bands", "bits"]
+            )
 
-    steep = by_bytes(lists.select("did", "parts")).mapInArrow(run, "did long, bands array<long>")
-    return steep.select("did", F.explode("bands").alias("band"))
+    return by_bytes(lists.select("did", "parts")).mapInArrow(run, "did long, bands array<long>, bits array<long>")
 
 
 def weighted_jaccard(a: bytes, b: bytes) -> float:
@@ -242,28 +259,32 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return buckets.where((F.col("kinds") > 1) & ~F.col("leads")).select(_hidden("band"), "main")
 
 
-def _bridged(exits: DataFrame, labels: DataFrame, lists: DataFrame, threshold: float, first: int = 64) -> DataFrame:
+def _bridged(exits: DataFrame, labels: DataFrame, signed: DataFrame, lists: DataFrame, threshold: float, coordinates: int, first: int = 64) -> DataFrame:
     """The labels (did, label), joined by the links between members of a bucket that never met there.
 
     exits(band, did, left, leads, near): the round in which a member left its bucket, whether it led
     then, and its similarity to the bucket's first leader. A leader was compared with all that were
     waiting; so two members are untested where the first to leave did not lead. Each such pair of
-    different labels is compared, unless the triangle inequality (1 - similarity is a metric) rules
-    a link out: the members outside the bucket's largest label, with 64, 512, ... of all its
-    members at a time."""
+    different labels is compared, unless the triangle inequality (1 - similarity is a metric) or more
+    different bits in their signatures than similar texts have (see most_different_bits) rule a link
+    out: the members outside the bucket's largest label, with 64, 512, ... of all its members at a
+    time. The signatures leave few pairs, so a large bucket makes no square of rows."""
+    words, most = -(-coordinates // 32), most_different_bits(threshold, coordinates)
     placed = exits.join(labels, "did")
     turn = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("did"), "did"))
-    placed = cut(placed.join(_mixed(placed), "band").withColumn("outer", F.col("label") != F.col("main")).withColumn("turn", turn).drop("main"))
+    placed = placed.join(_mixed(placed), "band").withColumn("outer", F.col("label") != F.col("main")).withColumn("turn", turn).drop("main")
+    placed = cut(placed.join(signed.select(_hidden("did"), "bits"), "did"))
     low, high = 0, first
     while not placed.where(F.col("turn") > low).isEmpty():
         others = placed.where((F.col("turn") > low) & (F.col("turn") <= high))
-        others = others.select(_hidden("band").alias("band_b"), *[F.col(c).alias(c + "_b") for c in ("did", "label", "left", "leads", "near")])
+        others = others.select(_hidden("band").alias("band_b"), *[F.col(c).alias(c + "_b") for c in ("did", "label", "left", "leads", "near", "bits")])
         untested = (
             (F.col("left") < F.col("left_b")) & ~F.col("leads")
             | (F.col("left_b") < F.col("left")) & ~F.col("leads_b")
             | (F.col("left") == F.col("left_b")) & ~F.col("leads") & ~F.col("leads_b")
         )
-        close = F.abs(F.col("near") - F.col("near_b")) <= 1 - threshold + 1e-9
+        differ = reduce(Column.__add__, [F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(words)])
+        close = (F.abs(F.col("near") - F.col("near_b")) <= 1 - threshold + 1e-9) & (differ <= most)
         pairs = placed.where("outer").join(others, (F.col("band") == F.col("band_b")) & (F.col("label") != F.col("label_b")) & close & untested)
         pairs = cut(pairs.select(F.least("did", "did_b").alias("a"), F.greatest("did", "did_b").alias("b")).distinct())
         found = cut(_similarities(pairs, lists).where(F.col("sim") >= threshold).select("a", "b"))
@@ -327,7 +348,8 @@ def near_duplicates(
     known = nodes.join(known, "did").select(F.col("did").alias("node"), F.col("least.did").alias("did"), F.col("least.th").alias("th"))
     lists = _element_lists(source, shingle).join(known, ["did", "th"]).select(F.col("node").alias("did"), "parts")
     lists = cut(lists.dropDuplicates(["did"]))
-    meet = cut(_meeting(_steep_bands(lists, steep_bands, steep_rows)))
+    signed = cut(_signed(lists, steep_bands, steep_rows))
+    meet = cut(_meeting(signed.select("did", F.explode("bands").alias("band"))))
     met = meet.groupBy("did").agg(F.sum("n").alias("met"))
     waiting = cut(meet.select("band", "did").join(met.select(_hidden("did"), "met"), "did").select("band", "did", "met"))
     waiting = waiting.select("band", "did", "met", F.col("did").alias("label"), F.lit(1.0).alias("near"))
@@ -364,7 +386,7 @@ def near_duplicates(
     else:
         labels = met.select("did").join(components(links).withColumnRenamed("node", "did"), "did", "left")
         labels = cut(labels.select("did", F.coalesce("label", "did").alias("label")))
-        labels = _bridged(reduce(DataFrame.unionByName, exits), labels, lists, threshold)
+        labels = _bridged(reduce(DataFrame.unionByName, exits), labels, signed, lists, threshold, steep_bands * steep_rows)
         reps = cut(reps.join(labels, "did", "left").select("key", "least", F.coalesce("label", "did").alias("label")))
         leasts = reps.groupBy("label").agg(F.min("least").alias("class")).select(_hidden("label"), "class")
         classes = reps.join(leasts, "label").select("key", "class")

@@ -93,6 +93,19 @@ def test_lists_and_shingles_are_weighted():
             assert N.weighted_jaccard(*lists) == pytest.approx(sum((one & two).values()) / union if one and two else 0)
 
 
+def test_bits_of_similar_sets_differ_little():
+    """Sets of similarity 0.8 stay within the bound, those well below it do not."""
+    rng = np.random.default_rng(4)
+    most = N.most_different_bits(0.8, 1200)
+    differ = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b, strict=True))
+    for shared, total, inside in ((800, 1000, True), (650, 1000, False)):
+        for _ in range(20):
+            both = rng.integers(0, 2**63, total).astype(np.uint64)
+            one, two = both[: (total + shared) // 2], np.concatenate([both[:shared], both[(total + shared) // 2 :]])
+            bits = [N.signature_bits(N.dart_signature(x, None, 1200)) for x in (one, two)]
+            assert len(bits[0]) == 38 and (differ(*bits) <= most) == inside
+
+
 def test_long_texts_in_pieces(monkeypatch):
     text = " ".join(f"word{i % 97}" for i in range(3000))
     whole = N.word_hashes(text)
