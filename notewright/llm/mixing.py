@@ -107,25 +107,28 @@ def plan_mix(
     return Plan(sources, whole, slots, horizon, rows, max(0, (max(n.values()) // 1000).bit_length()))
 
 
+def _sources(spark: SparkSession, plan: Plan) -> DataFrame:
+    """(of_source, number, w): a row a source."""
+    names = F.array(*[F.lit(s).cast("string") for s in plan.sources]).cast("array<string>")
+    weights = F.array(*[F.lit(w) for w in plan.weights]).cast("array<decimal(20,0)>")
+    rows = spark.range(1).select(F.posexplode(F.arrays_zip(names.alias("name"), weights.alias("w"))).alias("number", "pair"))
+    return rows.select(F.col("pair.name").alias("of_source"), F.col("number").cast("long").alias("number"), F.col("pair.w").alias("w"))
+
+
 def _slots(spark: SparkSession, plan: Plan) -> DataFrame:
-    """(slot_source, slot_block, slot, release, deadline): at most max_slots rows and one for each source.
-    The schedule is a literal of source numbers in slot order."""
-    names = F.array(*[F.lit(s).cast("string") for s in plan.sources]) if plan.sources else F.array().cast("array<string>")
-    shares = F.array(*[F.lit(w) for w in plan.weights]).cast("array<decimal(20,0)>")
-    order = F.split(F.lit(" ".join(map(str, plan.slots))), " ")
-    rows = spark.range(1 if plan.slots else 0).select(F.posexplode(order).alias("slot", "number"))
-    rows = rows.select(F.col("slot").cast("long").alias("slot"), F.col("number").cast("int").alias("number"))
-    block = F.row_number().over(Window.partitionBy("number").orderBy("slot")).cast("long") - 1
-    rows = rows.withColumn("slot_block", block).withColumn("w", F.get(shares, F.col("number")))
-    total, j = F.lit(sum(plan.weights)).cast("decimal(20,0)"), F.col("slot_block").cast("decimal(12,0)")
-    rows = rows.withColumns({"early": j * total, "late": (j + 1) * total})
-    return rows.select(
-        F.get(names, F.col("number")).alias("slot_source"),
-        "slot_block",
-        "slot",
-        F.expr("early div w").alias("release"),
-        F.expr("(late div w) + if(late % w = 0, 0, 1)").alias("deadline"),
-    )
+    """(key, slot) of each block, key being the source's number << 32 | block: at most max_slots rows and
+    one for each source, from a literal of each source's slots."""
+    own: list[list[str]] = [[] for _ in plan.sources]
+    for slot, number in enumerate(plan.slots):
+        own[number].append(str(slot))
+    text = F.split(F.lit(";".join(",".join(x) for x in own)), ";")
+    rows = spark.range(1).select(F.posexplode(text).alias("number", "own"))
+    rows = rows.select("number", F.posexplode(F.split("own", ",")).alias("block", "slot")).where("slot <> ''")
+    return rows.select(_key(F.col("number"), F.col("block")).alias("key"), F.col("slot").cast("long").alias("slot"))
+
+
+def _key(number: Column, block: Column) -> Column:
+    return F.shiftleft(number.cast("long"), 32).bitwiseOR(block.cast("long"))
 
 
 def _order_key(docs: DataFrame, seed: int) -> Column:
@@ -184,8 +187,12 @@ def mix_sources(
         .withColumn("rank", F.col("rank") + F.col("shift"))
         .withColumn("block", F.expr(f"rank div {plan.block_rows}"))
     )
-    same = F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("block") == F.col("slot_block"))
-    placed = ranked.join(F.broadcast(_slots(docs.sparkSession, plan)), same)
+    placed = (
+        ranked.join(F.broadcast(_sources(docs.sparkSession, plan)), F.col("source").eqNullSafe(F.col("of_source")))
+        .join(F.broadcast(_slots(docs.sparkSession, plan)), _key(F.col("number"), F.col("block")) == F.col("key"))
+        .withColumn("early", F.col("block").cast("decimal(12,0)") * F.lit(sum(plan.weights)).cast("decimal(20,0)"))
+        .withColumn("late", (F.col("block") + 1).cast("decimal(12,0)") * F.lit(sum(plan.weights)).cast("decimal(20,0)"))
+    )
     place = F.col("rank") % plan.block_rows
     return placed.select(
         "row",
@@ -193,8 +200,8 @@ def mix_sources(
         "block",
         place.alias("place"),
         "slot",
-        "release",
-        "deadline",
+        F.expr("early div w").alias("release"),
+        F.expr("(late div w) + if(late % w = 0, 0, 1)").alias("deadline"),
         (F.col("slot") * plan.block_rows + place).alias("position"),
         (F.col("slot") < plan.horizon).alias("in_mix"),
     )
