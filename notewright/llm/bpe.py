@@ -25,7 +25,7 @@ SHORT_BYTES = 64
 #: Bytes of words and ids that a worker remembers, words encoded and ids decoded by one query, bytes
 #: of long words in one query, bytes of text taken at once: bounds on memory (a single longer word
 #: or text goes alone).
-REMEMBERED = 24 << 20
+REMEMBERED = 96 << 20
 WORDS_AT_ONCE = 20_000
 IDS_AT_ONCE = 200_000
 LONG_AT_ONCE = 100_000
