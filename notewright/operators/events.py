@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,39 +96,42 @@ def next_off_pairs(events: DataFrame) -> DataFrame:
     )
 
 
-PAIRED = "song long, track int, channel int, note int, velocity int, program int, on_tick long, off_tick long, seq int"
-
-
-def _pair_track(events: pd.DataFrame) -> pd.DataFrame:
-    """Folds one track: an off closes what is open from earlier ticks; what opened on its own tick
-    stays open only if something else was closed."""
-    programs: dict[int, int] = {}
-    sounding: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    rows = []
-    for e in events.sort_values("idx").itertuples():
-        if e.type == "program_change":
-            programs[e.channel] = int(e.program)
-        elif e.type == "note_on" and e.velocity > 0:
-            sounding.setdefault((e.channel, e.note), []).append((e.tick, int(e.velocity)))
-        elif e.type in ("note_on", "note_off"):
-            held = sounding.pop((e.channel, e.note), [])
-            ended = [h for h in held if h[0] != e.tick]
-            if ended and len(ended) < len(held):
-                sounding[e.channel, e.note] = [h for h in held if h[0] == e.tick]
-            for tick, velocity in ended:
-                rows.append((e.song, e.track, e.channel, e.note, velocity, programs.get(e.channel, 0), tick, e.tick, len(rows)))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in PAIRED.split(", ")])
-
-
 def paired_notes(events: DataFrame) -> DataFrame:
-    """Notes by the exact fold, same-tick ties included: one track at a time, in event order. The
-    program is the one in force at the note's end; unclosed notes are left out."""
-    need = events.select(
-        F.col("song").cast("long").alias("song"), F.col("track").cast("int").alias("track"), F.col("channel").cast("int").alias("channel"),
-        F.col("idx").cast("long").alias("idx"), "type", F.col("note").cast("int").alias("note"), F.coalesce(F.col("velocity"), F.lit(0)).cast("int").alias("velocity"),
-        F.col("program").cast("int").alias("program"), F.col("tick").cast("long").alias("tick"),
-    ).where(F.col("type").isin("note_on", "note_off", "program_change"))
-    return need.groupBy("song", "track").applyInPandas(_pair_track, PAIRED)
+    """(song, track, channel, note, velocity, program, on_tick, off_tick, seq), same-tick ties included.
+    program is the one in force at the note's end; unclosed notes are left out; seq is the order in
+    which a track's notes close, of those closed together the earlier opened first.
+
+    A key's (song, track, channel, note) offs cut its events into gaps; a gap's note-ons meet the off
+    that ends it. One that opened on an earlier tick closes there. One of the same tick stays open if
+    that off closes anything else, and then closes at the next off if that one's tick differs; else it
+    is gone. An off closes something if its gap has an earlier note-on (some), or if a note stayed
+    open at the off before (carries): whether one did is settled by the latest off that has a note-on
+    of its own tick and closes something by itself, or that has none or shares its tick with the off
+    before. So windows and one aggregate replace a walk through the track."""
+    rows = program_in_force(events).where(F.col("type").isin("note_on", "note_off"))
+    key = ["song", "track", "channel", "note"]
+    velocity = F.coalesce(F.col("velocity"), F.lit(0)).cast("int")
+    rows = rows.select(*key, "idx", F.col("tick").cast("long").alias("tick"), velocity.alias("velocity"), "in_force", ((F.col("type") == "note_on") & (velocity > 0)).alias("on"))
+    earlier = Window.partitionBy(*key).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("gap", F.coalesce(F.sum((~F.col("on")).cast("int")).over(earlier), F.lit(0)))
+    opened, off = F.when(F.col("on"), F.col("tick")), F.when(~F.col("on"), F.struct("tick", "idx", "in_force"))
+    ons = F.collect_list(F.when(F.col("on"), F.struct("idx", "tick", "velocity")))
+    gaps = rows.groupBy(*key, "gap").agg(F.min(opened).alias("least"), F.max(opened).alias("last"), F.max(off).alias("off"), ons.alias("ons")).where(F.col("off").isNotNull())
+    by_gap = Window.partitionBy(*key).orderBy("gap")
+    some = F.coalesce(F.col("least") < F.col("off.tick"), F.lit(False))
+    same = F.coalesce(F.col("last") == F.col("off.tick"), F.lit(False))
+    apart = F.coalesce(F.lag("off.tick").over(by_gap) != F.col("off.tick"), F.lit(False))
+    gaps = gaps.withColumns({"some": some, "same": same, "apart": apart, "next_off": F.lead("off").over(by_gap)})
+    settled = F.when(F.col("same") & F.col("some"), True).when(~(F.col("same") & F.col("apart")), False)
+    carries = F.coalesce(F.last(settled, ignorenulls=True).over(by_gap.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
+    closed = gaps.withColumn("carries", carries).select(*key, "off", "next_off", "carries", F.inline("ons"))
+    later = F.when(F.col("carries") & (F.col("next_off.tick") != F.col("tick")), F.col("next_off"))
+    closed = closed.withColumn("end", F.when(F.col("tick") != F.col("off.tick"), F.col("off")).otherwise(later)).where(F.col("end").isNotNull())
+    order = Window.partitionBy("song", "track").orderBy("end.idx", "idx")
+    return closed.select(
+        F.col("song").cast("long").alias("song"), *[F.col(c).cast("int").alias(c) for c in ("track", "channel", "note", "velocity")],
+        F.col("end.in_force").cast("int").alias("program"), F.col("tick").alias("on_tick"), F.col("end.tick").alias("off_tick"), (F.row_number().over(order) - 1).alias("seq"),
+    )
 
 
 def instruments(notes: DataFrame) -> DataFrame:

@@ -5,10 +5,13 @@ is not selected takes no slot but is still seen while the step has room."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewright.functions.music import END_OF_STEP, duration_index, recoded_program, step_of
+from notewright.functions.order import settled
 from notewright.operators.gates import end_steps, quantisation_gate
 from notewright.operators.selectors import parse_parts, with_selector_inputs
 
@@ -50,14 +53,18 @@ def capped(steps: DataFrame, selected: Column, cap: int, dedup: bool, longest: s
 
     With dedup a strictly longer repeat replaces duration and velocity in the first arrival's slot
     while the step has room; longest names the column that decides."""
-    kept = with_room(steps, selected, cap, dedup).where("selected AND room")
+    return _slots(with_room(steps, selected, cap, dedup).where("selected AND room"), [], dedup, longest)
+
+
+def _slots(kept: DataFrame, keys: list[str], dedup: bool, longest: str = "dur") -> DataFrame:
+    """The slots of selected notes with room, within keys, song and step."""
     if not dedup:
-        return kept.select("song", "step", F.col("used").alias("slot"), "program", "pitch", "dur", "velocity")
+        return kept.select("song", *keys, "step", F.col("used").alias("slot"), "program", "pitch", "dur", "velocity")
     best = F.max_by(F.struct("dur", "velocity"), F.struct(F.col(longest), -F.col("seq")))
     return (
-        kept.groupBy("song", "step", "program", "pitch")
+        kept.groupBy("song", *keys, "step", "program", "pitch")
         .agg(F.min(F.when(F.col("fills") == 1, F.col("used"))).alias("slot"), best.alias("best"))
-        .select("song", "step", "slot", "program", "pitch", F.col("best.dur").alias("dur"), F.col("best.velocity").alias("velocity"))
+        .select("song", *keys, "step", "slot", "program", "pitch", F.col("best.dur").alias("dur"), F.col("best.velocity").alias("velocity"))
     )
 
 
@@ -111,22 +118,25 @@ def build_rolls(
     if gate:
         lengths = lengths.join(quantisation_gate(notes).select("song"), "song", "left_semi")
     steps = quantised(with_selector_inputs(notes, parts, seed), lengths)
-    pieces, seen, present = [], [], []
+    # All parts' flags stand side by side, so one sort a step serves them; they are settled, as the
+    # songs' summary and the roll both read them.
+    flags = []
     for i, part in enumerate(parts):
-        piece = capped(steps, part.column(), cap, dedup).withColumn("part", F.lit(i))
-        pieces.append(piece)
-        seen.append(with_room(steps, part.column(), cap, dedup).where("room").select("song", "pitch", "is_drum"))
-        if part.kind != "empty":
-            present.append(piece.select("song", "part"))
-    roll = _union(pieces)
-    songs = lengths.join(steps.select("song").distinct(), "song", "left_semi")
-    if present:
-        full = _union(present).groupBy("song").agg(F.count_distinct("part").alias("n")).where(F.col("n") == len(present))
-        songs = songs.join(full.select("song"), "song", "left_semi")
-    songs = songs.join(pitch_shift_range(_union(seen)), "song", "left").select(
-        "song", "length", F.coalesce("shift_min", F.lit(-127)).alias("shift_min"), F.coalesce("shift_max", F.lit(127)).alias("shift_max")
+        steps = with_room(steps, part.column(), cap, dedup)
+        flags.append(F.struct(F.lit(i).alias("part"), *[F.col(f"{c}_{i}").alias(c) for c in ("selected", "fills", "used", "room")]))
+        steps = steps.withColumnsRenamed({c: f"{c}_{i}" for c in ("selected", "fills", "used", "room")})
+    steps = settled(steps.select("song", "step", "seq", "program", "pitch", "dur", "velocity", "is_drum", F.array(*flags).alias("flags")))
+    room = F.exists("flags", lambda f: f["room"])
+    pitched = F.when(room & ~F.col("is_drum"), F.col("pitch"))
+    filled = [F.bool_or(F.get("flags", F.lit(i))["selected"] & F.get("flags", F.lit(i))["room"]) for i, part in enumerate(parts) if part.kind != "empty"]
+    songs = steps.groupBy("song").agg(
+        (-F.coalesce(F.min(pitched), F.lit(127))).alias("shift_min"),
+        (127 - F.coalesce(F.max(pitched), F.lit(0))).alias("shift_max"),
+        reduce(Column.__and__, filled, F.lit(True)).alias("whole"),
     )
-    roll = in_canonical_order(roll.join(songs.select("song"), "song", "left_semi").select(*ROLL))
+    songs = settled(lengths.join(songs.where("whole"), "song").select("song", "length", "shift_min", "shift_max"))
+    kept = steps.join(songs.select("song"), "song", "left_semi").select("*", F.inline("flags")).where("selected AND room")
+    roll = in_canonical_order(_slots(kept, ["part"], dedup).select(*ROLL))
     return with_end_markers(roll, songs, len(parts), cap), songs
 
 
@@ -139,10 +149,3 @@ def dense_rows(roll: DataFrame, parts: int, cap: int) -> DataFrame:
     return filled.select(
         "song", "step", F.transform(F.sequence(F.lit(0), F.lit(parts * cap - 1)), lambda i: F.coalesce(F.try_element_at("held", i), blank)).alias("cells")
     )
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out

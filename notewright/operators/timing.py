@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,93 +59,91 @@ def as_of(rows: DataFrame, facts: DataFrame, keys: list[str], at: str, value: st
     return both.where("is_row = 1").drop("is_row", "fact")
 
 
-def beats_per_minute(tempo: float, numerator: int, denominator: int) -> float:
-    """Quarter notes a minute to beats a minute: a compound meter's beat is three of its notes."""
-    compound = numerator % 3 == 0 and numerator != 3
-    return tempo * denominator / 4 / (3 if compound else 1)
-
-
-def beat_grid(
-    tempi: list[tuple[float, float]], signatures: list[tuple[float, int, int]], end: float, start: float = 0.0
-) -> list[tuple[float, float, int, int]]:
-    """(time, bpm, numerator, denominator) of each beat before end.
-
-    tempi: (time, quarters a minute), the first at 0; signatures: (time, numerator, denominator). A
-    beat that crosses a tempo change is spent in parts at each tempo. Beats snap to the first
-    signature and to each next one. The first row has -1 for all but its time.
-    """
-    signatures = sorted(signatures, key=lambda s: s[0])
-    tempo, meter = 0, 0
-    while tempo + 1 < len(tempi) and start > tempi[tempo + 1][0]:
-        tempo += 1
-    while meter + 1 < len(signatures) and start >= signatures[meter + 1][0]:
-        meter += 1
-    bpm = lambda: beats_per_minute(tempi[tempo][1], *signatures[meter][1:]) if signatures else tempi[tempo][1]
-    reaches = lambda a, b: a > b or math.isclose(a, b, rel_tol=0, abs_tol=1e-8 + 1e-5 * abs(b))
-    grid: list[tuple[float, float, int, int]] = [(start, -1.0, -1, -1)]
-    while grid[-1][0] < end:
-        now, beat = grid[-1][0], 60.0 / bpm()
-        after = now + beat
-        if tempo + 1 < len(tempi) and after > tempi[tempo + 1][0]:
-            at, left = now, 1.0
-            while tempo + 1 < len(tempi) and at + left * beat >= tempi[tempo + 1][0]:
-                left -= (tempi[tempo + 1][0] - at) / beat
-                at = tempi[tempo + 1][0]
-                tempo += 1
-                beat = 60.0 / bpm()
-            after = at + left * beat
-        if signatures and meter == 0 and now < signatures[0][0] and reaches(after, signatures[0][0]):
-            after = signatures[0][0]
-        if meter + 1 < len(signatures) and reaches(after, signatures[meter + 1][0]):
-            meter += 1
-            after = signatures[meter][0]
-        shown = signatures[meter][1:] if signatures else (4, 4)
-        grid.append((after, bpm(), *shown))
-    return grid[:-1]
-
-
-BEATS = "song long, beat_idx int, time double, bpm double, num int, den int"
+def beats_per_minute(qpm: Column, numerator: Column, denominator: Column) -> Column:
+    """Quarter notes a minute to beats a minute: a compound meter's beat is three of its notes. Without
+    a meter a beat is a quarter."""
+    notes = qpm * denominator / 4
+    compound = (numerator % 3 == 0) & (numerator != 3)
+    return F.when(numerator.isNull(), qpm).otherwise(F.when(compound, notes / 3).otherwise(notes))
 
 
-def song_beats(tempi: DataFrame, signatures: DataFrame, ends: DataFrame, start: float = 0.0) -> DataFrame:
-    """beat(song, beat_idx, time, bpm, num, den): a recursion with a residue, so one fold a song.
-
-    tempi(song, time, qpm), signatures(song, time, numerator, denominator), ends(song, end)."""
-    long = lambda c: F.col(c).cast("long").alias(c)
-    real = lambda c: F.col(c).cast("double").alias(c)
-    gathered = (
-        ends.select(long("song"), real("end"))
-        .join(tempi.select(long("song"), F.struct(real("time"), real("qpm")).alias("t")).groupBy("song").agg(F.sort_array(F.collect_list("t")).alias("tempi")), "song", "left")
-        .join(
-            signatures.select(long("song"), F.struct(real("time"), F.col("numerator").cast("int").alias("numerator"), F.col("denominator").cast("int").alias("denominator")).alias("s"))
-            .groupBy("song").agg(F.sort_array(F.collect_list("s")).alias("signatures")), "song", "left",
-        )
-    )
+def _anchors(signatures: DataFrame, ends: DataFrame, start: float) -> DataFrame:
+    """(song, time, numerator, denominator, k): where beats are counted from anew, that is at start, in
+    the meter in force there (else the first to come), and at every later signature."""
+    meters = signatures.select("song", F.col("time").cast("double").alias("time"), F.col("numerator").cast("int").alias("numerator"), F.col("denominator").cast("int").alias("denominator"))
+    meter = F.struct("time", "numerator", "denominator")
+    past = F.col("time") <= start
+    found = meters.groupBy("song").agg(F.max(F.when(past, meter)).alias("held"), F.min(F.when(~past, meter)).alias("next"))
+    held = F.coalesce("held", "next")
+    first = ends.join(found, "song", "left").select("song", F.lit(start).alias("time"), held["numerator"].alias("numerator"), held["denominator"].alias("denominator"))
+    order = Window.partitionBy("song").orderBy("time", "given", "numerator", "denominator")
+    later = meters.where(~past).join(ends.select("song"), "song", "left_semi").withColumn("given", F.lit(1))
+    return first.withColumn("given", F.lit(0)).unionByName(later).withColumn("k", F.row_number().over(order)).drop("given")
 
-    def fold(frames):
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples():
-                changes = [(t["time"], t["qpm"]) for t in r.tempi] if r.tempi is not None else []
-                if not changes or changes[0][0] > 0:
-                    changes.insert(0, (0.0, 120.0))
-                meters = [(s["time"], s["numerator"], s["denominator"]) for s in r.signatures] if r.signatures is not None else []
-                rows += [(r.song, i, *b) for i, b in enumerate(beat_grid(changes, meters, r.end, start))]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in BEATS.split(", ")])
 
-    return gathered.mapInPandas(fold, BEATS)
+def song_beats(tempi: DataFrame, signatures: DataFrame, ends: DataFrame, start: float = 0.0) -> DataFrame:
+    """beat(song, beat_idx, time, bpm, num, den): all beats from start to before the song's end.
+
+    tempi(song, time, qpm), 120 before the first; signatures(song, time, numerator, denominator);
+    ends(song, end). Anchors (see _anchors) and tempo changes cut a song into segments of one rate. A
+    running total of the segments' beat fractions, from anchor to anchor, gives the beats that fall
+    into each segment, so a beat that crosses a tempo change is spent in parts. A beat that an anchor
+    cuts short, or that is close to one, gives way to it. bpm and meter are those in force from the
+    beat on; the first row has -1 for all but its time. Windows of a song; nothing is folded."""
+    song = F.col("song").cast("long").alias("song")
+    ends = ends.select(song, F.col("end").cast("double").alias("end"))
+    anchors = _anchors(signatures.withColumn("song", song), ends, start)
+    given = tempi.select(song, F.col("time").cast("double").alias("time"), F.col("qpm").cast("double").alias("qpm"))
+    changes = given.unionByName(ends.select("song", F.lit(float("-inf")).alias("time"), F.lit(120.0).alias("qpm")))
+    marks = changes.select("song", "time", "qpm", F.lit(None).cast("struct<k:int,at:double,numerator:int,denominator:int>").alias("anchor"), F.lit(0).alias("kind"))
+    spans = anchors.select("song", "time", F.lit(None).cast("double").alias("qpm"), F.struct("k", F.col("time").alias("at"), "numerator", "denominator").alias("anchor"), F.col("k").alias("kind"))
+    by_time = Window.partitionBy("song").orderBy("time", "kind", "qpm")
+    so_far = by_time.rowsBetween(Window.unboundedPreceding, 0)
+    rows = (
+        marks.unionByName(spans).join(ends, "song")
+        .withColumns({"qpm": F.last("qpm", ignorenulls=True).over(so_far), "anchor": F.last("anchor", ignorenulls=True).over(so_far)})
+        .withColumn("until", F.least(F.coalesce(F.lead("time").over(by_time), F.col("end")), F.col("end")))
+        .where(F.col("anchor").isNotNull() & (F.col("time") < F.col("end")))
+        .select("song", "time", "until", F.col("kind").alias("kind"), "qpm", "end", *[F.col(f"anchor.{c}").alias(c) for c in ("k", "at", "numerator", "denominator")])
+        .withColumn("bpm", beats_per_minute(F.col("qpm"), F.col("numerator"), F.col("denominator")))
+    )
+    in_span = Window.partitionBy("song", "k").orderBy("time", "kind", "qpm")
+    total = F.sum((F.col("until") - F.col("time")) * F.col("bpm") / 60).over(in_span.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("upto", F.round(total, 9)).withColumn("since", F.coalesce(F.lag("upto").over(in_span), F.lit(0.0)))
+    rows = rows.where(F.ceil("since") < F.ceil("upto"))
+    beats = rows.withColumn("n", F.explode(F.sequence(F.ceil("since"), F.ceil("upto") - 1)))
+    beats = beats.withColumn("beat", F.when(F.col("n") == 0, F.col("at")).otherwise(F.col("time") + (F.col("n") - F.col("since")) * 60 / F.col("bpm")))
+    following = anchors.select("song", (F.col("k") - 1).alias("k"), F.col("time").alias("next_at"))
+    beats = beats.join(following, ["song", "k"], "left").where((F.col("n") == 0) | F.col("next_at").isNull() | ~close_to(F.col("beat"), F.col("next_at")))
+    index = (F.row_number().over(Window.partitionBy("song").orderBy("beat", "k", "n")) - 1).alias("beat_idx")
+    numbered = beats.where(F.col("beat") < F.col("end")).select("song", index, F.col("beat").alias("time"), "bpm", "numerator", "denominator")
+    shown = lambda c, default: F.when(F.col("beat_idx") == 0, -1).otherwise(F.coalesce(F.col(c), F.lit(default)))
+    return numbered.select("song", "beat_idx", "time", shown("bpm", 0.0).cast("double").alias("bpm"), shown("numerator", 4).alias("num"), shown("denominator", 4).alias("den"))
+
+
+def _beat_at(spans: DataFrame, beats: DataFrame, at: str, name: str) -> DataFrame:
+    """Adds name: the index of the beat close to the span's time at, found among its two neighbours by
+    merging both in order of time."""
+    marks = beats.select("song", F.col("time").alias(at), F.struct("time", "beat_idx").alias("beat"), F.lit(0).alias("is_span"))
+    both = spans.withColumn("is_span", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    order = Window.partitionBy("song").orderBy(at, "is_span")
+    before = F.last("beat", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("beat", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    both = both.withColumns({"before": before, "after": after}).where("is_span = 1")
+    near = lambda side: F.when(close_to(F.col(f"{side}.time"), F.col(at)), F.col(f"{side}.beat_idx"))
+    return both.withColumn(name, F.coalesce(near("before"), near("after"))).drop("beat", "is_span", "before", "after")
 
 
 def downbeats(beats: DataFrame, signatures: DataFrame, start: float = 0.0) -> DataFrame:
-    """(song, beat_idx, time): beats from each signature to the next, every numerator-th, or every
+    """(song, k, beat_idx, time): beats from each signature to the next, every numerator-th, or every
     third of it in compound meters.
 
     A 4/4 signature is assumed at start where none begins there. A span begins at the first beat
     close to its signature, else at the first beat, or for the last signature where the span
-    before ends."""
+    before ends. Each span lists its own beats' indexes, so no span meets a beat that isn't its own."""
+    counted = beats.groupBy("song").agg((F.max("beat_idx") + 1).alias("n_beats"))
     first = signatures.groupBy("song").agg(F.min("time").alias("first"))
-    songs = beats.select("song").distinct().join(first, "song", "left")
-    implied = songs.where(F.col("first").isNull() | (F.col("first") > start)).select(
+    implied = counted.join(first, "song", "left").where(F.col("first").isNull() | (F.col("first") > start)).select(
         "song", F.lit(start).alias("time"), F.lit(4).alias("numerator"), F.lit(-1).alias("given")
     )
     order = Window.partitionBy("song").orderBy("given", "time")
@@ -157,28 +152,16 @@ def downbeats(beats: DataFrame, signatures: DataFrame, start: float = 0.0) -> Da
         .withColumns({"k": F.row_number().over(order), "until": F.lead("time").over(order)})
         .select("song", "k", F.col("time").alias("from_time"), "until", "numerator")
     )
-    met = (
-        spans.join(beats.select("song", "time", "beat_idx"), "song")
-        .groupBy("song", "k", "from_time", "until", "numerator")
-        .agg(
-            F.min(F.when(close_to(F.col("time"), F.col("from_time")), F.col("beat_idx"))).alias("here"),
-            F.min(F.when(close_to(F.col("time"), F.col("until")), F.col("beat_idx"))).alias("there"),
-        )
-    )
+    met = _beat_at(_beat_at(spans, beats, "from_time", "here"), beats, "until", "there").join(counted, "song")
     by_k = Window.partitionBy("song").orderBy("k")
     begin = F.coalesce("here", F.lit(0))
-    ends = F.coalesce("there", begin)
-    met = met.withColumn("ends", F.when(F.col("until").isNotNull(), ends)).withColumn("ended", F.lag("ends", 1, 0).over(by_k))
-    met = met.withColumn("begin", F.when(F.col("until").isNull(), F.coalesce("here", "ended")).otherwise(begin))
+    met = met.withColumn("ends", F.when(F.col("until").isNotNull(), F.coalesce("there", begin))).withColumn("ended", F.lag("ends", 1, 0).over(by_k))
+    begin = F.when(F.col("until").isNull(), F.coalesce("here", "ended")).otherwise(begin)
+    met = met.select("song", "k", "numerator", begin.alias("begin"), F.coalesce("ends", "n_beats").alias("stop")).where(F.col("begin") < F.col("stop"))
     compound = (F.col("numerator") % 3 == 0) & (F.col("numerator") != 3)
-    stride = F.when(compound, F.expr("numerator div 3")).otherwise(F.col("numerator").cast("long"))
-    spans = met.select(F.col("song").alias("span_song"), "k", "begin", "ends", stride.alias("stride"))
-    inside = (F.col("beat_idx") >= F.col("begin")) & (F.col("ends").isNull() | (F.col("beat_idx") < F.col("ends")))
-    return (
-        beats.join(spans, (F.col("song") == F.col("span_song")) & inside)
-        .where(((F.col("beat_idx") - F.col("begin")) % F.col("stride") == 0) & (F.col("time") >= start))
-        .select("song", "k", "beat_idx", "time")
-    )
+    stride = F.when(compound, F.expr("numerator div 3")).otherwise(F.col("numerator")).cast("int")
+    own = met.select("song", "k", F.explode(F.sequence(F.col("begin").cast("int"), F.col("stop").cast("int") - 1, stride)).alias("beat_idx"))
+    return own.join(beats, ["song", "beat_idx"]).where(F.col("time") >= start).select("song", "k", "beat_idx", "time")
 
 
 def merged_by_time(frames: list[DataFrame], time: str, tie: str) -> DataFrame:

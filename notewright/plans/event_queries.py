@@ -139,7 +139,7 @@ def zip_positional(spark: SparkSession, sf: str) -> DataFrame:
 
 
 INTERP = """
-anchors AS (SELECT l_suppkey AS song, CAST(l_orderkey AS DOUBLE) AS x, min(l_extendedprice) AS y FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY 1, 2),
+anchors AS (SELECT l_suppkey AS song, CAST(l_orderkey AS DOUBLE) AS x, min(l_extendedprice) AS y FROM lineitem GROUP BY 1, 2),
 asked AS (SELECT DISTINCT l_suppkey AS song, l_orderkey + 0.5::DOUBLE AS x FROM lineitem),
 found AS (
   SELECT a.song, a.x, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy
@@ -150,7 +150,7 @@ found AS (
 @R.add("interp_map", with_views(INTERP, then="SELECT song, x, round(CASE WHEN bx IS NULL THEN cy WHEN cx IS NULL THEN by_ ELSE by_ + (cy - by_) / (cx - bx) * (x - bx) END + 0.0000017, 4) AS y FROM found"))
 def interp_map(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("song"), F.col("l_orderkey").cast("double").alias("key"), F.col("l_extendedprice").alias("y"))
-    anchors = rows.where(F.col("key") % 5 == 0).select("song", F.col("key").alias("x"), "y")
+    anchors = rows.select("song", F.col("key").alias("x"), "y")
     asked = rows.select("song", (F.col("key") + 0.5).alias("x")).distinct()
     return timing.interpolated(asked, anchors, ["song"]).withColumn("y", F.round(F.col("y") + NUDGE, 4))
 
@@ -185,21 +185,40 @@ def downbeat_interval(spark: SparkSession, sf: str) -> DataFrame:
     return timing.downbeats(beats, given)
 
 
-# One tempo and one meter a song: beats are then an arithmetic series.
+# Quarters a minute: 60, 120 from a, 240 from b. Odd songs have signatures of 4/4, 6/8 from c, 3/4 from d.
+# The counterpart steps from beat to beat: by one beat's quarters, or to the next signature.
 GRID = """
-SELECT s_suppkey AS song, CAST(i AS INTEGER) AS beat_idx, round(i * 60.0::DOUBLE / (60 + s_suppkey % 90), 6) AS time
-FROM supplier CROSS JOIN (SELECT unnest(range(0, 4096)) AS i) WHERE round(i * 60.0::DOUBLE / (60 + s_suppkey % 90), 9) < 40.01
+WITH RECURSIVE songs AS (
+  SELECT s_suppkey AS song, 5.25::DOUBLE + s_suppkey % 4 AS a, 15.5::DOUBLE + s_suppkey % 3 AS b, 10.0::DOUBLE + s_suppkey % 5 * 0.25 AS c, 20.25::DOUBLE AS d, s_suppkey % 2 = 1 AS metered FROM supplier),
+beats AS (
+  SELECT song, 0 AS beat_idx, 0.0::DOUBLE AS time FROM songs
+  UNION ALL
+  SELECT song, beat_idx + 1, CASE WHEN metered AND time < c AND free > c - 1e-6 THEN c WHEN metered AND time < d AND free > d - 1e-6 THEN d ELSE free END
+  FROM (
+    SELECT *, CASE WHEN q <= a THEN q WHEN q <= 2 * b - a THEN a + (q - a) / 2 ELSE b + (q - 2 * b + a) / 4 END AS free
+    FROM (
+      SELECT *, least(time, a) + 2 * greatest(0, least(time, b) - a) + 4 * greatest(0, time - b) + CASE WHEN metered AND time >= c AND time < d THEN 1.5 ELSE 1.0 END AS q
+      FROM beats JOIN songs USING (song)))
+  WHERE time < 40),
+shown AS (SELECT *, metered AND time >= c AND time < d AS compound FROM beats JOIN songs USING (song) WHERE time < 40)
+SELECT song, beat_idx, round(time, 6) AS time,
+       CASE WHEN beat_idx = 0 THEN -1 ELSE round(CASE WHEN time < a THEN 60 WHEN time < b THEN 120 ELSE 240 END / CASE WHEN compound THEN 1.5::DOUBLE ELSE 1.0 END, 6) END AS bpm,
+       CASE WHEN beat_idx = 0 THEN -1 WHEN NOT metered OR time < c THEN 4 WHEN compound THEN 6 ELSE 3 END AS num,
+       CASE WHEN beat_idx = 0 THEN -1 WHEN compound THEN 8 ELSE 4 END AS den
+FROM shown
 """
 
 
 @R.add("beat_grid", GRID)
 def beat_grid(spark: SparkSession, sf: str) -> DataFrame:
     songs = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("song"))
-    zero = F.lit(0.0)
-    tempi = songs.select("song", zero.alias("time"), (60 + F.col("song") % 90).alias("qpm"))
-    meters = songs.select("song", zero.alias("time"), F.lit(4).alias("numerator"), F.lit(4).alias("denominator"))
-    grid = timing.song_beats(tempi, meters, songs.withColumn("end", F.lit(40.01)))
-    return grid.select("song", "beat_idx", F.round("time", 6).alias("time"))
+    pair = lambda *x: F.struct(*[c.alias(n) for n, c in zip(("time", "qpm"), x, strict=True)])
+    at = lambda base, n, step=1.0: F.lit(base) + F.col("song") % n * step
+    tempi = songs.select("song", F.inline(F.array(pair(F.lit(0.0), F.lit(60.0)), pair(at(5.25, 4), F.lit(120.0)), pair(at(15.5, 3), F.lit(240.0)))))
+    sign = lambda t, n, d: F.struct(t.alias("time"), F.lit(n).alias("numerator"), F.lit(d).alias("denominator"))
+    meters = songs.where("song % 2 = 1").select("song", F.inline(F.array(sign(F.lit(0.0), 4, 4), sign(at(10.0, 5, 0.25), 6, 8), sign(F.lit(20.25), 3, 4))))
+    grid = timing.song_beats(tempi, meters, songs.withColumn("end", F.lit(40.0)))
+    return grid.withColumns({"time": F.round("time", 6), "bpm": F.round("bpm", 6)})
 
 
 @R.add("merge_text", "SELECT conv_id, turn, role, CAST(row_number() OVER (ORDER BY turn, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, conv_id) AS INTEGER) AS nth FROM conversations")

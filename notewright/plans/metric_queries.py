@@ -11,28 +11,28 @@ from notewright.sources.surrogates import table
 
 R = Registry()
 
-# Queries are vectors 0 to 19, keys and values 20 to 79: one bounded sequence.
-PAIRS = """
+# The vectors of a label are one sequence; each attends to all of its own.
+def _attention_sql(condition: str) -> str:
+    return f"""
 pairs AS (
   SELECT q.vec_id AS q_pos, k.vec_id AS k_pos, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(k.embedding AS DOUBLE[])) / 8 AS score, k.embedding AS v
-  FROM embeddings q JOIN embeddings k ON q.vec_id < 20 AND k.vec_id BETWEEN 20 AND 79),
+  FROM embeddings q JOIN embeddings k ON {condition}),
 weighed AS (SELECT q_pos, k_pos, exp(score - top) / sum(exp(score - top)) OVER (PARTITION BY q_pos) AS weight, v FROM (SELECT *, max(score) OVER (PARTITION BY q_pos) AS top FROM pairs))
 """
-CAUSAL = """
-pairs AS (
-  SELECT q.vec_id AS q_pos, k.vec_id AS k_pos, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(k.embedding AS DOUBLE[])) / 8 AS score
-  FROM embeddings q JOIN embeddings k ON q.vec_id < 40 AND k.vec_id <= q.vec_id),
-weighed AS (SELECT q_pos, k_pos, exp(score - top) / sum(exp(score - top)) OVER (PARTITION BY q_pos) AS weight FROM (SELECT *, max(score) OVER (PARTITION BY q_pos) AS top FROM pairs))
-"""
 
 
-def _vectors(spark: SparkSession, sf: str, low: int, high: int, pos: str, name: str) -> DataFrame:
-    rows = table(spark, sf, "embeddings").where((F.col("vec_id") >= low) & (F.col("vec_id") < high))
-    return rows.select(F.col("vec_id").alias(pos), F.col("embedding").alias(name))
+PAIRS = _attention_sql("q.label = k.label")
+CAUSAL = _attention_sql("q.label = k.label AND k.vec_id <= q.vec_id")
+WHOLE = _attention_sql("q.vec_id % 50 = 0")
+SEQUENCE = ["label"]
+
 
+def _vectors(spark: SparkSession, sf: str, pos: str, name: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select("label", F.col("vec_id").alias(pos), F.col("embedding").alias(name))
 
-def _weights(spark: SparkSession, sf: str) -> DataFrame:
-    return attention.attention_weights(_vectors(spark, sf, 0, 20, "q_pos", "q"), _vectors(spark, sf, 20, 80, "k_pos", "k"))
+
+def _weights(spark: SparkSession, sf: str, causal: bool = False) -> DataFrame:
+    return attention.attention_weights(_vectors(spark, sf, "q_pos", "q"), _vectors(spark, sf, "k_pos", "k"), group=SEQUENCE, causal=causal, size=64)
 
 
 @R.add("attention_weights", with_views(PAIRS, then="SELECT q_pos, k_pos, round(weight, 6) AS weight FROM weighed"))
@@ -40,27 +40,33 @@ def attention_weights(spark: SparkSession, sf: str) -> DataFrame:
     return _weights(spark, sf).select("q_pos", "k_pos", F.round("weight", 6).alias("weight"))
 
 
-@R.add("attention_output", with_views(PAIRS, then="SELECT q_pos, CAST(dim - 1 AS INTEGER) AS dim, round(sum(weight * x), 5) AS value FROM (SELECT q_pos, weight, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM weighed) GROUP BY q_pos, dim"))
+@R.add("attention_output", with_views(PAIRS, then="SELECT q_pos, CAST(dim - 1 AS INTEGER) AS dim, round(sum(weight * x), 5) + 0.0 AS value FROM (SELECT q_pos, weight, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM weighed) GROUP BY q_pos, dim"))
 def attention_output(spark: SparkSession, sf: str) -> DataFrame:
-    out = attention.attention_output(_weights(spark, sf), _vectors(spark, sf, 20, 80, "k_pos", "v"))
-    return out.withColumn("value", F.round("value", 5))
+    out = attention.attention_output(_weights(spark, sf), _vectors(spark, sf, "k_pos", "v"), SEQUENCE, size=64)
+    return out.select("q_pos", "dim", (F.round("value", 5) + 0.0).alias("value"))
 
 
 @R.add("causal_attention", with_views(CAUSAL, then="SELECT q_pos, k_pos, round(weight, 6) AS weight FROM weighed"))
 def causal_attention(spark: SparkSession, sf: str) -> DataFrame:
-    out = attention.attention_weights(_vectors(spark, sf, 0, 40, "q_pos", "q"), _vectors(spark, sf, 0, 40, "k_pos", "k"), causal=True)
-    return out.withColumn("weight", F.round("weight", 6))
+    return _weights(spark, sf, causal=True).select("q_pos", "k_pos", F.round("weight", 6).alias("weight"))
+
+
+@R.add("attention_query_set", with_views(WHOLE, then="SELECT q_pos, k_pos, round(weight, 6) AS weight FROM weighed"))
+def attention_query_set(spark: SparkSession, sf: str) -> DataFrame:
+    """A stated query set, the vectors whose vec_id is divisible by 50, against all vectors in blocks."""
+    asked = _vectors(spark, sf, "q_pos", "q").where(F.col("q_pos") % 50 == 0).drop("label")
+    return attention.attention_weights(asked, _vectors(spark, sf, "k_pos", "k").drop("label"), size=64).select("q_pos", "k_pos", F.round("weight", 6).alias("weight"))
 
 
 POSITIONS = """
 SELECT vec_id, CAST(i AS INTEGER) AS dim, round(CASE WHEN i < 8 THEN sin(vec_id / pow(10000.0::DOUBLE, 2.0 * i / 16)) ELSE cos(vec_id / pow(10000.0::DOUBLE, 2.0 * (i - 8) / 16)) END, 6) + 0.0 AS value
-FROM embeddings CROSS JOIN (SELECT unnest(range(0, 16)) AS i) WHERE vec_id < 500
+FROM embeddings CROSS JOIN (SELECT unnest(range(0, 16)) AS i)
 """
 
 
 @R.add("positions_sinusoid", POSITIONS)
 def positions_sinusoid(spark: SparkSession, sf: str) -> DataFrame:
-    rows = attention.sinusoid_positions(table(spark, sf, "embeddings").where("vec_id < 500").select("vec_id"), "vec_id", 16)
+    rows = attention.sinusoid_positions(table(spark, sf, "embeddings").select("vec_id"), "vec_id", 16)
     return rows.select("vec_id", F.posexplode("encoding").alias("dim", "value")).withColumn("value", F.round("value", 6) + 0.0)
 
 
@@ -68,13 +74,13 @@ ROTARY = """
 SELECT vec_id, CAST(i AS INTEGER) AS dim,
        round(CASE WHEN i % 2 = 0 THEN x * cos(a) - y * sin(a) ELSE y * cos(a) + x * sin(a) END, 5) + 0.0 AS value
 FROM (SELECT vec_id, i, CAST(embedding[(i // 2) * 2 + 1] AS DOUBLE) AS x, CAST(embedding[(i // 2) * 2 + 2] AS DOUBLE) AS y, vec_id / pow(10000.0::DOUBLE, 2.0 * (i // 2) / 64) AS a
-      FROM embeddings CROSS JOIN (SELECT unnest(range(0, 64)) AS i) WHERE vec_id < 200)
+      FROM embeddings CROSS JOIN (SELECT unnest(range(0, 64)) AS i))
 """
 
 
 @R.add("rotary_positions", ROTARY)
 def rotary_positions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = attention.sinusoid_positions(table(spark, sf, "embeddings").where("vec_id < 200"), "vec_id", 64)
+    rows = attention.sinusoid_positions(table(spark, sf, "embeddings"), "vec_id", 64)
     turned = attention.rotary(rows, "embedding", "encoding").select("vec_id", F.posexplode("rotated").alias("dim", "value"))
     return turned.withColumn("value", F.round("value", 5) + 0.0)
 

@@ -122,10 +122,9 @@ def random_sides(spark: SparkSession, sf: str) -> DataFrame:
     return selectors.random_sides(notes(spark, sf))
 
 
-@R.add("reject_empty_part", on_notes("SELECT song FROM notes WHERE round_even(start, 0) >= 0 GROUP BY song HAVING bool_or(is_drum) AND bool_or(NOT is_drum)"))
+@R.add("reject_empty_part", on_notes('SELECT song FROM (SELECT *, floor(max("end") OVER (PARTITION BY song)) AS length FROM notes) WHERE round_even(start, 0) >= 0 AND round_even(start, 0) < length GROUP BY song HAVING bool_or(is_drum) AND bool_or(NOT is_drum)'))
 def reject_empty_part(spark: SparkSession, sf: str) -> DataFrame:
-    rows = rolls.quantised(notes(spark, sf))
-    return rows.groupBy("song").agg(F.bool_or("is_drum").alias("a"), F.bool_or(~F.col("is_drum")).alias("b")).where("a AND b").select("song")
+    return rolls.build_rolls(notes(spark, sf), selectors=["drum", "nondrum"], cap=CAP, gate=False)[1].select("song")
 
 
 @R.add("instrument_rank", with_views(NOTES, STEPS, RANKS, then="SELECT DISTINCT song, track, rank FROM ranked"))

@@ -64,6 +64,34 @@ def test_note_pairing_edges(spark):
     assert pairs(spark, on(0)) == []
 
 
+def test_note_pairing_with_ties(spark):
+    """Random tracks with many events on one tick, against the rule applied one event at a time."""
+    rng = random.Random(9)
+    rows, want = [], {}
+    for song in range(150):
+        tick, sounding, program, found = 0, {}, {}, []
+        for i in range(rng.randint(1, 60)):
+            tick += rng.choice([0, 0, 0, 1, 2])
+            kind, channel, note = rng.choice(["note_on"] * 3 + ["note_off"] * 3 + ["program_change"]), rng.randrange(2), rng.choice([60, 61])
+            velocity = rng.choice([0, 50, 90]) if kind == "note_on" else None
+            rows.append((song, 0, i, kind, channel, note if kind != "program_change" else None, velocity, i if kind == "program_change" else None, tick))
+            if kind == "program_change":
+                program[channel] = i
+            elif velocity:
+                sounding.setdefault((channel, note), []).append((tick, velocity))
+            else:
+                at = sounding.get((channel, note), [])
+                ends = [x for x in at if x[0] < tick]
+                found += [(channel, note, v, program.get(channel, 0), t, tick) for t, v in ends]
+                sounding[channel, note] = [x for x in at if x[0] == tick] if ends else []
+        want[song] = found
+    got = {}
+    for r in events.paired_notes(spark.createDataFrame(rows, EV)).orderBy("song", "seq").collect():
+        got.setdefault(r.song, []).append((r.channel, r.note, r.velocity, r.program, r.on_tick, r.off_tick))
+        assert r.seq == len(got[r.song]) - 1
+    assert got == {k: v for k, v in want.items() if v} and sum(map(len, want.values())) > 500
+
+
 def test_ticks_and_relocation(spark):
     rows = [(1, 1, 0, "note_on", 3), (1, 1, 1, "set_tempo", 0x80000000), (1, 1, 2, "note_off", 4), (1, 0, 0, "text", 9)]
     df = spark.createDataFrame(rows, "song long, track int, idx int, type string, dtick long")
@@ -153,12 +181,40 @@ def test_interpolation_is_held_outside(spark):
     assert [(r.perf_time, r.score_time) for r in timing.time_map(perf, score, ["song"], "idx").orderBy("perf_time").collect()] == [(0.0, 0.0), (1.0, 4.0)]
 
 
-def test_beat_grid():
-    times = lambda g: [round(b[0], 6) for b in g]
-    assert times(timing.beat_grid([(0.0, 120.0)], [], 2.0)) == [0.0, 0.5, 1.0, 1.5]
+def grid(spark, tempi, meters, end, start=0.0):
+    frames = [
+        spark.createDataFrame([(1, *x) for x in rows], f"song long, {kind}")
+        for rows, kind in ((tempi, "time double, qpm double"), (meters, "time double, numerator int, denominator int"), ([(end,)], "end double"))
+    ]
+    return [tuple(r)[2:] for r in timing.song_beats(*frames, start).orderBy("beat_idx").collect()]
+
+
+def test_beat_grid(spark):
+    times = lambda *a, **k: [round(b[0], 6) for b in grid(spark, *a, **k)]
+    assert times([(0.0, 120.0)], [], 2.0) == times([], [], 2.0) == [0.0, 0.5, 1.0, 1.5]
     # 60 a minute to 1.5 s, then 120: the second beat is half slow, half fast
-    assert times(timing.beat_grid([(0.0, 60.0), (1.5, 120.0)], [], 3.0)) == [0.0, 1.0, 1.75, 2.25, 2.75]
-    grid = timing.beat_grid([(0.0, 120.0)], [(0.0, 4, 4), (1.2, 6, 8)], 2.5)
-    assert times(grid) == [0.0, 0.5, 1.0, 1.2, 1.95] and grid[3][2:] == (6, 8)
-    assert grid[0] == (0.0, -1.0, -1, -1)
-    assert times(timing.beat_grid([(0.0, 120.0)], [(0.7, 4, 4)], 2.0)) == [0.0, 0.5, 0.7, 1.2, 1.7]
+    assert times([(0.0, 60.0), (1.5, 120.0)], [], 3.0) == [0.0, 1.0, 1.75, 2.25, 2.75]
+    found = grid(spark, [(0.0, 120.0)], [(0.0, 4, 4), (1.2, 6, 8)], 2.5)
+    assert [round(b[0], 6) for b in found] == [0.0, 0.5, 1.0, 1.2, 1.95] and found[3][2:] == (6, 8)
+    assert found[0] == (0.0, -1.0, -1, -1)
+    assert times([(0.0, 120.0)], [(0.7, 4, 4)], 2.0) == [0.0, 0.5, 0.7, 1.2, 1.7]
+    assert times([(0.0, 120.0)], [(0.0, 4, 4), (1.0, 3, 4)], 2.2, start=0.3) == [0.3, 0.8, 1.0, 1.5, 2.0]
+    assert times([(0.0, 120.0)], [], 0.0) == []
+
+
+def test_beats_last_one_beat_each(spark):
+    """Between two beats without a signature in between, the rates over time add up to one beat."""
+    rng = random.Random(6)
+    for _ in range(4):
+        tempi = [(0.0, 100.0)] + sorted((rng.uniform(0.1, 30), rng.uniform(40, 240)) for _ in range(12))
+        meters = sorted((rng.uniform(0, 30), rng.choice([3, 4, 6, 9]), rng.choice([4, 8])) for _ in range(4))
+        found = [b[0] for b in grid(spark, tempi, meters, 32.0)]
+        assert {round(m[0], 9) for m in meters} <= {round(t, 9) for t in found} and found == sorted(found)
+        for low, high in zip(found, found[1:], strict=False):
+            held = [m for m in meters if m[0] <= low + 1e-9] or meters[:1]
+            quarters = 4 / held[-1][2] * (3 if held[-1][1] % 3 == 0 and held[-1][1] != 3 else 1)
+            cuts = [low, *[t for t, _ in tempi if low < t < high], high]
+            rate = lambda x: [q for t, q in tempi if t <= x][-1] / 60 / quarters
+            spent = sum((b - a) * rate((a + b) / 2) for a, b in zip(cuts, cuts[1:], strict=False))
+            at_signature = any(abs(high - m[0]) < 1e-9 for m in meters)
+            assert spent == pytest.approx(1) or at_signature and spent < 1.001
