@@ -3,7 +3,7 @@ import re
 import pytest
 
 import corpus_pipeline as C
-from notewright.llm import mixing, near_dedup, toxicity
+from notewright.llm import toxicity
 from notewright.llm.common import read
 
 SF = "/root/testdata/sf0.001"
@@ -32,9 +32,12 @@ def test_columns_and_order(stages):
 
 def test_each_stage_judges_its_own_input(spark, stages):
     docs = stages["documents"]
+    from test_near_dedup import brute
+    from test_queries import brute_scores
+
     model = toxicity.fit_toxicity(docs, read(spark, SF, "labels"))
-    clean = {r.row.doc_id for r in toxicity.score_documents(docs, model).collect() if r.score < 0.5}
-    assert {r.doc_id for r in stages["toxicity"].collect()} == clean
+    scores = brute_scores(model, {r.doc_id: r.text or "" for r in docs.collect()})
+    assert {r.doc_id for r in stages["toxicity"].collect()} == {d for d, s in scores.items() if s < 0.5}
 
     before = {r.doc_id: r.text for r in stages["toxicity"].collect()}
     after = {r.doc_id: (r.text, r.n_chars) for r in stages["line_dedup"].collect()}
@@ -48,10 +51,37 @@ def test_each_stage_judges_its_own_input(spark, stages):
         text = "\n".join(x for x in t.split("\n") if len(holders.get(key(x), ())) < 3 or max(holders[key(x)]) == d)
         assert after[d] == (text, len(text))
 
-    kept = {r.doc_id for r in near_dedup.near_duplicates(stages["line_dedup"]).collect() if r.kept}
-    assert {r.doc_id for r in stages["near_dedup"].collect()} == kept
-    mixed = [r.row.doc_id for r in mixing.mix_sources(stages["near_dedup"]).collect()]
-    assert sorted(r.doc_id for r in stages["mixing"].collect()) == sorted(mixed) == sorted(kept)
+    classes = brute([(d, t) for d, (t, _) in after.items()])
+    assert {r.doc_id for r in stages["near_dedup"].collect()} == set(classes.values())
+    mixed = [r.doc_id for r in stages["mixing"].orderBy("doc_id").collect()]
+    assert mixed == sorted(set(classes.values()))
+
+
+def test_mixing_and_encoding_by_brute_force(spark, stages):
+    """Blocks follow the schedule filled slot by slot; ids are those of the library."""
+    import hashlib
+    from collections import Counter
+
+    import numpy as np
+    import public_tokenizers as P
+    import tiktoken
+    from test_mixing import brute
+
+    from notewright.llm.bpe import Codec
+
+    docs = stages["near_dedup"]
+    counts = Counter(r.source for r in docs.collect())
+    want = brute(counts, 8, 0.7)
+    order = sorted(want, key=lambda b: want[b][0])
+    sources = [s for s, j in order for _ in range(min(8, counts[s] - 8 * j))]
+    assert [r.source for r in C.mix_to_weights(spark, docs, SF).collect()] == sources
+    ranks = Codec.of(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).ranks
+    known = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {r.doc_id: r.text or "" for r in stages["mixing"].collect()}
+    for r in stages["byte_bpe"].collect():
+        ids = known.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
 def test_run_equals_stages(spark, stages):

@@ -96,11 +96,57 @@ def test_near_dedup(spark, texts):
     assert {d: r.class_id for d, r in rows(spark, "op7_near_dedup").items()} == want
 
 
+def brute_scores(model, texts):
+    """Every word of every text against every term by its edit distance, without an automaton."""
+    import math
+    from collections import Counter
+
+    from test_toxicity import distance
+
+    from notewright.llm import toxicity as X
+
+    terms = [(t, X.edits_allowed(t), Counter(t)) for t in model.words]
+
+    def hit(word):
+        if word in model.clean:
+            return None
+        letters = Counter(word)
+        near = [(0, True, b) for b in model.beginnings if word.startswith(b)]
+        for term, allowed, own in terms:
+            if abs(len(term) - len(word)) <= allowed and max((own - letters).total(), (letters - own).total()) <= allowed:
+                errors = distance(word, term)
+                near += [(errors, False, term)] if errors <= allowed else []
+        if not near:
+            return None
+        errors, beginning, term = min(near)
+        return (model.beginnings if beginning else model.words)[term] / (1 + errors), term
+
+    known, out = {}, {}
+    for doc, text in texts.items():
+        low = text.lower()
+        base = text if len(low) == len(text) else low
+        total, found, words = 0.0, set(), 0
+        for m in re.finditer(r"\w+", low):
+            words += 1
+            if m[0] not in known:
+                known[m[0]] = hit(m[0])
+            if known[m[0]]:
+                total += known[m[0]][0] * X.context(base, m.start(), m.end())
+                found.add(known[m[0]][1])
+        x = (math.log1p(total), math.log1p(len(found)), math.log1p(200 * total / (words + 50))) if found else (0, 0, 0)
+        out[doc] = 1 / (1 + math.exp(-(model.bias + sum(a * b for a, b in zip(model.slopes, x, strict=True)))))
+    return out
+
+
 def test_toxicity(spark, texts):
     import zlib
 
+    from notewright.llm import toxicity as X
+
     got = rows(spark, "op8_toxicity")
+    read = lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
+    want = brute_scores(X.fit_toxicity(read("documents"), read("labels")), texts)
     assert set(got) == set(texts)
     for doc, r in got.items():
         assert r.held_out == (zlib.crc32(str(doc).encode()) % 5 == 0)
-        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+        assert r.score == pytest.approx(want[doc], abs=1e-9) and r.predicted == int(r.score >= 0.5)
