@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Callable
@@ -58,6 +59,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Between the rounds of a loop of jobs: Spark drops the shuffle files and checkpoints that nothing
+    refers to any more when the driver collects its garbage, which such a loop seldom sets off, so
+    they would add up on disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def by_bytes(df: DataFrame) -> DataFrame:
     """The rows, for a function over Arrow batches: where the session sets no bound of its own, a batch
     holds BATCH_BYTES at most (or a single longer row), so long texts don't add up in a worker."""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notewright.llm.common import POWERS, by_bytes, cut, ident, let_go, mix64, text_of
+from notewright.llm.common import POWERS, by_bytes, cut, ident, let_go, mix64, text_of, tidy
 from notewright.llm.graph import components
 
 #: Bytes of text hashed at once (more only for a single longer word).
@@ -297,6 +297,7 @@ def _bridged(exits: DataFrame, labels: DataFrame, signed: DataFrame, lists: Data
             placed = new(placed)
             placed = cut(placed.join(_mixed(placed).drop("main"), "band"))
         low, high = high, high * 8
+        tidy(placed.sparkSession)
     return labels
 
 
@@ -349,10 +350,14 @@ def near_duplicates(
     lists = _element_lists(source, shingle).join(known, ["did", "th"]).select(F.col("node").alias("did"), "parts")
     lists = cut(lists.dropDuplicates(["did"]))
     signed = cut(_signed(lists, steep_bands, steep_rows))
-    meet = cut(_meeting(signed.select("did", F.explode("bands").alias("band"))))
+    # One query, in which both uses of the meetings share their exchanges.
+    meet = _meeting(signed.select("did", F.explode("bands").alias("band")))
     met = meet.groupBy("did").agg(F.sum("n").alias("met"))
-    waiting = cut(meet.select("band", "did").join(met.select(_hidden("did"), "met"), "did").select("band", "did", "met"))
-    waiting = waiting.select("band", "did", "met", F.col("did").alias("label"), F.lit(1.0).alias("near"))
+    start = cut(meet.select("band", "did").join(met.select(_hidden("did"), "met"), "did").select("band", "did", "met"))
+    met = cut(start.select("did", "met").distinct())
+    waiting = start.select("band", "did", "met", F.col("did").alias("label"), F.lit(1.0).alias("near"))
+    del meet, start
+    tidy(docs.sparkSession)
     links, lead, exits = None, 1, []
     while not waiting.isEmpty():
         first = Window.partitionBy("band").orderBy(F.desc("met"), "did")
@@ -380,6 +385,8 @@ def near_duplicates(
         waiting = marked.where(~F.col("leaves")).select("band", "did", "met", "label", "near")
         links = found if links is None else links.unionByName(found)
         lead = max(16, lead * 4)
+        del leaders, heads, led, scored, tried, outcome, marked
+        tidy(docs.sparkSession)
     reps = nodes.select("key", "did", "least")
     if links is None:
         classes = reps.select("key", F.col("least").alias("class"))
