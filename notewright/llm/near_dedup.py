@@ -380,6 +380,7 @@ def near_duplicates(
             linked = tried.where(F.col("sim") >= threshold)
             stars = linked.groupBy(F.col("a").alias("did")).agg(F.max_by("b", F.struct("met_b", "b")).alias("star"))
             marked = marked.join(stars, "did", "left").withColumn("label", F.coalesce("star", "label")).withColumn("near", F.col("sim"))
+            del linked, stars
         marked = cut(marked.select("band", "did", "met", "label", "near", "leads", "leaves"))
         exits.append(marked.where("leaves").select("band", "did", F.lit(len(exits)).alias("left"), "leads", "near"))
         waiting = marked.where(~F.col("leaves")).select("band", "did", "met", "label", "near")
