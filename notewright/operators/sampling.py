@@ -91,5 +91,12 @@ def attention_drop(pairs: DataFrame, ratio: float, keys: list[str], seed: str =
     return pairs.where(keyed_unit(seed, *[F.col(k) for k in keys]) >= ratio)
 
 
+def dropout(value: Column, ratio: float, *keys: Column, seed: str = "dropout") -> Column:
+    """The value, 0 with the given probability and else scaled so that its expectation stays."""
+    if not 0 <= ratio < 1:
+        raise ValueError("a dropout ratio is at least 0 and below 1")
+    return F.when(keyed_unit(seed, *keys) >= ratio, value / F.lit(1.0 - ratio)).otherwise(F.lit(0.0))
+
+
 def draw(seed: str, *keys: Column) -> Column:
     return keyed_unit(seed, *keys)

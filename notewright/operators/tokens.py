@@ -67,6 +67,26 @@ def task_flag_columns(name: Column) -> tuple[Column, Column, Column]:
     return tuple(F.array_contains(words, w).alias(w) for w in ("rev", "self", "lmask"))
 
 
+# Kinds of model and sets of data, by the first of these that a saved model's name holds.
+MODEL_KINDS = ("cocomulla", "prompt", "yinyang", "seq2seq")
+DATA_SETS = ("drums_nondrum", "_chord_mel", "_chords")
+
+
+def _first_held(name: Column, words: tuple[str, ...], complaint: str) -> Column:
+    held = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(name, w))
+    return F.when(F.size(held) > 0, F.get(held, F.lit(0))).otherwise(F.raise_error(F.concat(F.lit(complaint), F.coalesce(name, F.lit("null")))).cast("string"))
+
+
+def model_kind(name: Column) -> Column:
+    """Which kind of model a name stands for; a name without one, null included, fails."""
+    return _first_held(name, MODEL_KINDS, "no kind of model in ")
+
+
+def data_set(name: Column) -> Column:
+    """Which set of data a model of this name works on; a name without one, null included, fails."""
+    return _first_held(name, DATA_SETS, "no set of data in ")
+
+
 def two_parts(roll: DataFrame, task: str = "") -> DataFrame:
     """Parts 0 (condition) and 1 (target): the roll's own, swapped by rev; by self both are part 0."""
     flags = task_flags(task)
@@ -140,6 +160,13 @@ def detokenize(
     )
 
 
+def with_extra_instruments(decoded: DataFrame, extra: DataFrame) -> DataFrame:
+    """Decoded notes and those of further instruments, numbered by extra's column instrument. It is
+    null for decoded notes, so both stay apart where they share a program; columns that one side
+    lacks are null there."""
+    return decoded.withColumn("instrument", F.lit(None).cast("int")).unionByName(extra, allowMissingColumns=True)
+
+
 def rescaled(notes: DataFrame, *, tempo: float = 120.0, velocity: int | None = None, program: int | None = None) -> DataFrame:
     """Note times in subbeats to seconds; optionally one velocity, and one program for all, which
     fails on drums."""

@@ -71,6 +71,52 @@ def meta_first(spark: SparkSession, sf: str) -> DataFrame:
     return events.first_meta(midi_events(spark, sf)).withColumn("first_idx", F.col("first_idx").cast("long"))
 
 
+@R.add("track_names", with_views(EVENTS, then="SELECT song, idx, coalesce(last_value(CASE WHEN type = 'program_change' THEN 'n' || program END IGNORE NULLS) OVER (PARTITION BY song ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS track_name FROM ev"))
+def track_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Program changes stand for names."""
+    rows = midi_events(spark, sf).withColumns({"type": F.when(F.col("type") == "program_change", "track_name").otherwise(F.col("type")), "text": F.concat(F.lit("n"), "program")})
+    return events.track_names(rows).select("song", F.col("idx").cast("long").alias("idx"), "track_name")
+
+
+META = """
+meta AS (
+  SELECT song, CASE type WHEN 'set_tempo' THEN 'marker' WHEN 'note_off' THEN 'key_signature' ELSE type END AS kind, tick, CAST(idx % 2 AS INTEGER) AS track, idx,
+         note AS numerator, CASE type WHEN 'note_off' THEN 'C' END AS key, CASE type WHEN 'set_tempo' THEN 'm' || program END AS text FROM ev)
+"""
+
+
+@R.add("song_meta", with_views(EVENTS, META, then="SELECT song, kind, tick, track, idx, numerator, key, text FROM meta WHERE kind IN ('lyrics', 'text', 'marker') OR (kind IN ('key_signature', 'time_signature') AND track = 0)"))
+def song_meta(spark: SparkSession, sf: str) -> DataFrame:
+    """Tempo events stand for markers and note-offs for keys, dealt to two tracks."""
+    kind = F.col("type")
+    rows = midi_events(spark, sf).select(
+        "song", "tick", "idx", F.when(kind == "set_tempo", "marker").when(kind == "note_off", "key_signature").otherwise(kind).alias("type"),
+        (F.col("idx") % 2).alias("track"), F.col("note").alias("numerator"), F.lit(4).alias("denominator"),
+        F.when(kind == "note_off", "C").alias("key"), F.when(kind == "set_tempo", F.concat(F.lit("m"), "program")).alias("text"),
+    )
+    return events.song_meta(rows).drop("denominator").withColumn("idx", F.col("idx").cast("long"))
+
+
+BOUND = """
+made AS (SELECT song, program, min(off_tick) AS made FROM pairs GROUP BY song, program),
+bound AS (
+  SELECT t.song, t.idx, CASE t.type WHEN 'set_tempo' THEN 'pitchwheel' ELSE 'control_change' END AS type,
+         CASE WHEN m.made <= t.tick THEN t.in_force ELSE n.program END AS bound_program
+  FROM (SELECT * FROM forced WHERE type IN ('set_tempo', 'time_signature')) t
+  LEFT JOIN made m ON t.song = m.song AND t.in_force = m.program ASOF LEFT JOIN made n ON t.song = n.song AND t.tick <= n.made)
+"""
+
+
+@R.add("bound_controls", with_views(EVENTS, IN_FORCE, PAIRS, BOUND, then="SELECT * FROM bound WHERE bound_program IS NOT NULL"))
+def bound_controls(spark: SparkSession, sf: str) -> DataFrame:
+    """Tempo events stand for pitch bends, signatures for control changes."""
+    kind = F.col("type")
+    rows = midi_events(spark, sf).withColumn("velocity", F.lit(64))
+    rows = rows.withColumn("type", F.when(kind == "set_tempo", "pitchwheel").when(kind == "time_signature", "control_change").otherwise(kind))
+    bound = events.bound_controls(rows, events.paired_notes(rows))
+    return bound.select("song", F.col("idx").cast("long").alias("idx"), "type", F.col("bound_program").cast("int").alias("bound_program"))
+
+
 RELOCATED = """
 SELECT song, CAST(row_number() OVER (PARTITION BY song, moved ORDER BY tick, track, idx) AS INTEGER) AS idx, moved AS track, event_id
 FROM (SELECT user_id AS song, event_id, epoch_us(ts) // 1000000000 AS tick, user_id % 3 + event_id % 2 AS track, event_id AS idx,

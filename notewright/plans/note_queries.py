@@ -13,7 +13,7 @@ from notewright.sources.surrogates import notes, table
 R = Registry()
 KEYS = ("song", "seq")
 #: Seeds as SQL literals.
-CROP, SHIFT, MASK_N, MASK, DROP, DRAW = ("'crop'", "'shift'", "'maskn'", "'mask'", "'drop'", "'draw'")
+CROP, SHIFT, MASK_N, MASK, DROP, DROPOUT, DRAW = ("'crop'", "'shift'", "'maskn'", "'mask'", "'drop'", "'dropout'", "'draw'")
 
 
 @R.add("half_even_onset", on_notes("SELECT song, seq, start, CAST(round_even(start, 0) AS INTEGER) AS step FROM notes"))
@@ -285,6 +285,11 @@ def attention_drop(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.attention_drop(pairs, 0.25, ["q", "k"])
 
 
+@R.add("dropout", f"SELECT o_orderkey, CASE WHEN {unit(DROPOUT, 'o_orderkey')} >= 0.25 THEN o_totalprice / 0.75::DOUBLE ELSE 0.0::DOUBLE END AS value FROM orders")
+def dropout(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select("o_orderkey", sampling.dropout(F.col("o_totalprice"), 0.25, F.col("o_orderkey")).alias("value"))
+
+
 DRAW_SQL = with_views(
     NOTES,
     "weights AS (SELECT song, pitch, CAST(count(*) AS BIGINT) AS n FROM notes GROUP BY song, pitch)",

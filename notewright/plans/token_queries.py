@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.functions.music import DURATIONS, shrink_duration
-from notewright.operators import gates, metrics, rolls, tokens
-from notewright.plans.base import Registry, on_notes, on_roll, with_views
+from notewright.functions.music import DURATIONS, duration_subbeats, shrink_duration
+from notewright.operators import events, gates, generation, metrics, rolls, tokens
+from notewright.plans.base import NOTES, Registry, on_notes, on_roll, on_steps, with_views
+from notewright.plans.event_queries import EVENTS, IN_FORCE, PAIRS
 from notewright.plans.note_queries import LENGTHS, MARKERS, _roll, roll_sorted_with_end
-from notewright.plans.base import NOTES
-from notewright.sources.surrogates import notes, table
+from notewright.sources.surrogates import midi_events, notes, table
 
 R = Registry()
 
@@ -144,6 +144,56 @@ def program_override(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.program_override(notes(spark, sf), 40).select("song", "seq", "is_drum", "program")
 
 
+EXTRA_SQL = with_views(
+    NOTES,
+    EVENTS,
+    IN_FORCE,
+    PAIRS,
+    then="""
+SELECT song, NULL::INTEGER AS instrument, program, pitch, start FROM notes
+UNION ALL SELECT song, note AS instrument, program, note AS pitch, on_tick / 1000000.0::DOUBLE AS start FROM pairs
+""",
+)
+
+
+@R.add("extra_instruments", EXTRA_SQL)
+def extra_instruments(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = events.next_off_pairs(midi_events(spark, sf))
+    extra = pairs.select("song", F.col("note").alias("instrument"), "program", F.col("note").alias("pitch"), (F.col("on_tick") / F.lit(1000000.0)).alias("start"))
+    return tokens.with_extra_instruments(notes(spark, sf).select("song", "program", "pitch", "start"), extra)
+
+
+@R.add("duration_lookup", on_steps(f"SELECT song, seq, dur, CAST({list(DURATIONS)}[dur + 1] AS INTEGER) AS subbeats FROM steps"))
+def duration_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return rolls.quantised(notes(spark, sf)).select("song", "seq", "dur", duration_subbeats(F.col("dur")).alias("subbeats"))
+
+
+@R.add("condition_then_target", on_roll("SELECT song, step, slot, pitch FROM roll UNION ALL SELECT r.song, step + length, slot, pitch FROM roll r JOIN lengths l ON r.song = l.song"))
+def condition_then_target(spark: SparkSession, sf: str) -> DataFrame:
+    roll = _roll(spark, sf).select("song", "step", "slot", "pitch")
+    return generation.condition_then_target(roll, roll, gates.end_steps(notes(spark, sf)))
+
+
+DISPATCH = """
+WITH names AS (
+  SELECT o_orderkey, ['a_cocomulla_prompt', 'a_prompt', 'yinyang', 'seq2seq'][o_orderkey % 4 + 1] || ['_drums_nondrum', '_chord_mel', '_chords', '_chords_drums_nondrum'][o_custkey % 4 + 1] AS name FROM orders)
+SELECT o_orderkey, CASE WHEN contains(name, 'cocomulla') THEN 'cocomulla' WHEN contains(name, 'prompt') THEN 'prompt' WHEN contains(name, 'yinyang') THEN 'yinyang' ELSE 'seq2seq' END AS kind,
+       CASE WHEN contains(name, 'drums_nondrum') THEN 'drums_nondrum' WHEN contains(name, '_chord_mel') THEN '_chord_mel' ELSE '_chords' END AS data
+FROM names
+"""
+
+
+@R.add("model_dispatch", DISPATCH)
+def model_dispatch(spark: SparkSession, sf: str) -> DataFrame:
+    pick = lambda words, key: F.get(F.array(*[F.lit(w) for w in words]), (F.col(key) % 4).cast("int"))
+    name = F.concat(
+        pick(("a_cocomulla_prompt", "a_prompt", "yinyang", "seq2seq"), "o_orderkey"),
+        pick(("_drums_nondrum", "_chord_mel", "_chords", "_chords_drums_nondrum"), "o_custkey"),
+    )
+    rows = table(spark, sf, "orders").select("o_orderkey", name.alias("name"))
+    return rows.select("o_orderkey", tokens.model_kind(F.col("name")).alias("kind"), tokens.data_set(F.col("name")).alias("data"))
+
+
 ENDED = """
 SELECT song, part, step, CAST(pos AS INTEGER) AS pos, CAST(token AS INTEGER) AS token, seen AS ended, CAST(CASE WHEN seen THEN 3330 ELSE token END AS INTEGER) AS padded
 FROM (SELECT *, coalesce(max(CASE WHEN token = 3329 THEN 1 ELSE 0 END) OVER (PARTITION BY song, part, step ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS seen FROM tokens)
