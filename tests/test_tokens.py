@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notewright.functions.music import EOS, PAD_TOKEN
-from notewright.operators import generation, metrics, tokens
+from notewright.operators import generation, metrics, sampling, tokens
 
 ROLL = "song long, part int, step int, slot int, program int, pitch int, dur int, velocity int"
 
@@ -75,3 +75,19 @@ def test_generation_harness(spark):
     lengths = spark.createDataFrame([(1, 2), (2, 1)], "song long, length int")
     both = generation.condition_then_target(prompts, prompts, lengths)
     assert sorted((r.song, r.step) for r in both.collect()) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1)]
+
+
+def test_names_without_a_kind_or_set_fail(spark):
+    for column in (tokens.model_kind, tokens.data_set):
+        for name in ("'other'", "CAST(NULL AS STRING)"):
+            with pytest.raises(Exception, match="no (kind of model|set of data) in"):
+                spark.sql(f"SELECT {name} AS name").select(column(F.col("name"))).collect()
+
+
+def test_dropout_keeps_the_expectation(spark):
+    for ratio in (-0.1, 1.0):
+        with pytest.raises(ValueError):
+            sampling.dropout(F.lit(1.0), ratio)
+    mean = spark.range(20_000).select(F.avg(sampling.dropout(F.lit(1.0), 0.25, F.col("id")))).first()[0]
+    assert abs(mean - 1) < 0.02
+    assert spark.range(5).select(sampling.dropout(F.lit(2.0), 0.0, F.col("id"))).distinct().count() == 1
