@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notewright.functions.order import checkpoint_folder, settled
+
 #: Stands in for a null identifier wherever identifiers are compared: null sorts below all others.
 NULL_ID = -(2**63)
 
@@ -46,17 +46,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables, which the driver and all executors share."""
+    return checkpoint_folder(spark)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder the cluster names in
-    spark.checkpoint.dir. Where none is named, Spark in one process (tests) takes a temporary folder;
-    a cluster, whose machines don't share one, is refused."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="notewright-"))
-    return df.checkpoint(eager=True)
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    return settled(df)
 
 
 def tidy(spark: SparkSession) -> None:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import bpe, chat_format, exact_dedup, line_dedup, mixing, near_dedup, secrets, suffix_dedup, toxicity, winnow
+from notewright.llm import bpe, chat_format, exact_dedup, impact_index, line_dedup, merkle, mixing, near_dedup, secrets, suffix_dedup, token_counts, toxicity, winnow
 from notewright.llm.common import read
 
 
@@ -117,6 +117,23 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), *[c for c in out.columns if c != "row"])
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts from an empty cache, so its figures are the whole price."""
+    import public_tokenizers
+
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), model_path=public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    shown = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.dataset_manifest(read(spark, sf_dir, "documents"), shown={"text": shown}).drop("path")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_index.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
 OP1_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -194,6 +211,78 @@ FROM placed x JOIN slots s ON x.i = s.i AND x.block = s.block
 """
 
 
+# The bits of a CRC-32 follow from 256 values, one a byte (polynomial 0xEDB88320).
+OP12_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS crc
+  FROM (SELECT unnest(range(0, 256)) AS b)),
+docs AS (
+  SELECT doc_id, coalesce('s' || source, 'n') AS tree, concat(
+      coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head, text,
+    list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, x: xor(c // 256, crc[xor(c % 256, x) + 1])) AS rest
+  FROM documents, crc),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n
+  FROM (
+    SELECT doc_id, tree, sha256(concat(head, coalesce(strlen(text) || ':' || text, '-'))) AS leaf,
+           sha256(concat(head, coalesce(strlen(seen) || ':' || seen, '-'))) AS shown
+    FROM (SELECT *, CASE WHEN xor(rest, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS seen FROM docs))),
+nodes AS (
+  SELECT 0 AS level, tree, pos, n, leaf AS hash FROM leaves
+  UNION ALL
+  SELECT level + 1, tree, pos // 3, (n + 2) // 3, sha256(string_agg(hash, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY level, tree, pos // 3, n),
+tops AS (
+  SELECT 0 AS level, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, hash, tree FROM nodes WHERE n = 1
+  UNION ALL
+  SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(hash, '' ORDER BY pos)), min(tree) FROM tops WHERE n > 1 GROUP BY level, pos // 3, n),
+every AS (
+  SELECT 'in ' || tree AS tree, level, pos, n, hash FROM nodes UNION ALL SELECT 'top', level, pos, n, hash FROM tops),
+steps AS (
+  SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.hash, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS before,
+         coalesce(string_agg(b.hash, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS after
+  FROM every a JOIN every b ON a.tree = b.tree AND a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.tree, a.level, a.pos),
+climb AS (
+  SELECT doc_id, leaf, tree AS source_tree, 'in ' || tree AS tree, 0 AS level, pos, shown AS hash, '' AS proof, row_number() OVER () AS row FROM leaves
+  UNION ALL
+  SELECT doc_id, leaf, source_tree, nx.tree, nx.level, nx.pos, nx.hash, nx.proof, row FROM (
+    SELECT c.doc_id, c.leaf, c.source_tree, c.row,
+           CASE WHEN s.tree IS NULL THEN 'top' ELSE c.tree END AS tree, CASE WHEN s.tree IS NULL THEN 0 ELSE c.level + 1 END AS level,
+           CASE WHEN s.tree IS NULL THEN t.pos ELSE c.pos // 3 END AS pos,
+           CASE WHEN s.tree IS NULL THEN c.hash ELSE sha256(concat(before, c.hash, after)) END AS hash,
+           CASE WHEN s.tree IS NULL THEN c.proof ELSE concat(c.proof, before, after) END AS proof, s.tree IS NULL AND c.tree = 'top' AS over
+    FROM climb c LEFT JOIN steps s ON c.tree = s.tree AND c.level = s.level AND c.pos = s.pos
+    LEFT JOIN tops t ON t.level = 0 AND t.tree = c.source_tree) nx
+  WHERE NOT nx.over),
+ends AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY (tree = 'top')::INTEGER DESC, level DESC) AS last FROM climb)
+SELECT doc_id, leaf, (SELECT hash FROM nodes WHERE nodes.tree = source_tree AND nodes.n = 1) AS subroot, (SELECT hash FROM tops WHERE n = 1) AS root,
+       sha256(proof) AS proof_sha256, hash AS folded_root, hash = (SELECT hash FROM tops WHERE n = 1) AS verified
+FROM ends WHERE last = 1
+"""
+
+OP13_SQL = """
+WITH words AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+  FROM documents),
+corpus AS (SELECT count(*)::BIGINT AS docs, sum(len(terms))::BIGINT AS terms FROM words WHERE len(terms) > 0),
+postings AS (
+  SELECT row, doc_id, term, count(*)::BIGINT AS tf, any_value(n)::BIGINT AS n
+  FROM (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM words) GROUP BY row, doc_id, term),
+weights AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM postings, corpus GROUP BY term, docs),
+items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark),
+scores AS (
+  SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // corpus.terms))))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN postings USING (term), corpus GROUP BY item_id, row, doc_id)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+"""
+
+
 def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -206,8 +295,11 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_chat_format": op9_chat_format,
         "op10_source_mixing": op10_source_mixing,
+        "op11_token_counts": op11_token_counts,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op9_chat_format": OP9_SQL, "op10_source_mixing": OP10_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op9_chat_format": OP9_SQL, "op10_source_mixing": OP10_SQL, "op12_merkle_manifest": OP12_SQL, "op13_ranked_search": OP13_SQL}

@@ -22,7 +22,7 @@ def rows(spark, name):
 
 def test_all_are_registered():
     names = __spark_entry__.queries()
-    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11)) and "pipeline" in names
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14)) and "pipeline" in names
 
 
 def test_secret_scan(spark, texts):
@@ -150,3 +150,44 @@ def test_toxicity(spark, texts):
     for doc, r in got.items():
         assert r.held_out == (zlib.crc32(str(doc).encode()) % 5 == 0)
         assert r.score == pytest.approx(want[doc], abs=1e-9) and r.predicted == int(r.score >= 0.5)
+
+
+def test_token_counts(spark, texts):
+    import public_tokenizers as P
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    got = rows(spark, "op11_token_counts")
+    assert set(got) == set(texts)
+    for doc, text in texts.items():
+        n = len(model.encode(text))
+        assert (got[doc].n_bytes, got[doc].n_tokens, got[doc].over_limit) == (len(text.encode()), n, n > 4096)
+
+
+@pytest.mark.parametrize("name", ["op12_merkle_manifest", "op13_ranked_search"])
+def test_matches_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = __spark_entry__.queries()[name](spark, SF)
+    columns = sorted(got.columns)
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(want, key=str)
+
+
+def test_merkle_manifest(spark):
+    from test_merkle import COLUMNS, brute, even
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "lang", "n_chars", "text").collect()]
+    got = __spark_entry__.queries()["op12_merkle_manifest"](spark, SF).select(*COLUMNS).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute(docs, 3, even), key=str)
+
+
+def test_ranked_search(spark, texts):
+    from test_impact_index import brute
+
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    got = __spark_entry__.queries()["op13_ranked_search"](spark, SF).collect()
+    assert sorted(((r.item_id, r["rank"], r.doc_id, r.score) for r in got), key=str) == brute(list(texts.items()), items)
