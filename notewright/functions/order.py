@@ -39,3 +39,17 @@ def running_total(df: DataFrame, order: list[Column | str], value: Column, name:
 def global_index(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """Adds name: the row's position from 0 in the order, which must be total."""
     return running_total(df, order, F.lit(1), name)
+
+
+def prior_value(value: Column | str, keys: list[str], order: list[str]) -> Column:
+    """The last value that is not null at the row or before it, in the order within keys."""
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return F.last(value, ignorenulls=True).over(upto)
+
+
+def next_value(value: Column | str, keys: list[str], order: list[str]) -> Column:
+    """The first value that is not null at the row or after it, in the order within keys. The order is
+    gone through backwards, so a row adds to what is known; a frame that starts at the row would be
+    gone through anew for each. Equal rows of the order must be interchangeable."""
+    down = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    return F.last(value, ignorenulls=True).over(down)

@@ -64,8 +64,8 @@ def read_corpus(spark: SparkSession, path: str, preset: str | None = None) -> tu
 
 
 def write_index(songs: DataFrame, path: str) -> None:
-    """Index file: position, tab, relative path."""
-    song_index(songs).select("i", "relpath").orderBy("i").coalesce(1).write.mode("overwrite").option("sep", "\t").csv(path)
+    """Index files: position, tab, relative path. Each part holds a range of positions, in order."""
+    song_index(songs).select("i", "relpath").orderBy("i").write.mode("overwrite").option("sep", "\t").csv(path)
 
 
 def not_yet_written(wanted: DataFrame, written: DataFrame, key: str = "path") -> DataFrame:

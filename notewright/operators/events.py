@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notewright.functions.order import next_value
+
 #: Larger deltas count as 0; events that belong to track 0; a file's last sane tick.
 LARGEST_DELTA = 0x7FFFFFFF
 TRACK0_TYPES = ("set_tempo", "key_signature", "time_signature")
@@ -87,8 +89,7 @@ def next_off_pairs(events: DataFrame) -> DataFrame:
     """Notes where no two events of a key share a tick: every note-on ends at the next note-off of
     its (song, track, channel, note), with the program in force there. Window functions only."""
     notes = program_in_force(events).where(F.col("type").isin("note_on", "note_off"))
-    after = Window.partitionBy("song", "track", "channel", "note").orderBy("idx").rowsBetween(1, Window.unboundedFollowing)
-    off = F.first(F.when(F.col("type") == "note_off", F.struct("tick", "in_force")), ignorenulls=True).over(after)
+    off = next_value(F.when(F.col("type") == "note_off", F.struct("tick", "in_force")), ["song", "track", "channel", "note"], ["idx"])
     return (
         notes.withColumn("off", off)
         .where((F.col("type") == "note_on") & F.col("off").isNotNull())

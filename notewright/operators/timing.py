@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewright.functions.music import close_to
-from notewright.functions.order import global_index
+from notewright.functions.order import global_index, next_value, prior_value
 
 
 def zip_positional(left: DataFrame, right: DataFrame, keys: list[str], order: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
@@ -30,15 +30,13 @@ def time_map(perf: DataFrame, score: DataFrame, keys: list[str], order: str) ->
 def interpolated(queries: DataFrame, anchors: DataFrame, keys: list[str], x: str = "x", ax: str = "x", ay: str = "y") -> DataFrame:
     """Adds y: linear interpolation of the anchors at x, held constant outside them.
 
-    Queries and anchors are merged in order of x, so each finds its neighbours without a pair being
-    formed. Of anchors with equal x the one of smaller y counts."""
+    Queries and anchors are merged in order of x; one pass up and one pass down give each query its
+    neighbours, in time linear in the rows. Of anchors with equal x the one of smaller y counts."""
     unique = anchors.groupBy(*keys, F.col(ax).alias("at_x")).agg(F.min(ay).alias("at_y"))
     marks = unique.select(*keys, F.col("at_x").alias("merge_x"), F.struct("at_x", "at_y").alias("anchor"))
     both = queries.withColumns({"merge_x": F.col(x), "is_query": F.lit(1)}).unionByName(marks.withColumn("is_query", F.lit(0)), allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("merge_x", "is_query")
-    before = F.last("anchor", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("anchor", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    both = both.withColumns({"before": before, "after": after}).where("is_query = 1")
+    order = ["merge_x", "is_query"]
+    both = both.withColumns({"before": prior_value("anchor", keys, order), "after": next_value("anchor", keys, order)}).where("is_query = 1")
     width = F.col("after.at_x") - F.col("before.at_x")
     slope = F.try_divide(F.col("after.at_y") - F.col("before.at_y"), width)
     y = (
@@ -126,10 +124,8 @@ def _beat_at(spans: DataFrame, beats: DataFrame, at: str, name: str) -> DataFram
     merging both in order of time."""
     marks = beats.select("song", F.col("time").alias(at), F.struct("time", "beat_idx").alias("beat"), F.lit(0).alias("is_span"))
     both = spans.withColumn("is_span", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    order = Window.partitionBy("song").orderBy(at, "is_span")
-    before = F.last("beat", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("beat", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    both = both.withColumns({"before": before, "after": after}).where("is_span = 1")
+    order = [at, "is_span"]
+    both = both.withColumns({"before": prior_value("beat", ["song"], order), "after": next_value("beat", ["song"], order)}).where("is_span = 1")
     near = lambda side: F.when(close_to(F.col(f"{side}.time"), F.col(at)), F.col(f"{side}.beat_idx"))
     return both.withColumn(name, F.coalesce(near("before"), near("after"))).drop("beat", "is_span", "before", "after")
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notewright.functions.order import settled
 from notewright.operators import corpus, events, rolls
 from notewright.sources import midi
 
@@ -42,9 +43,9 @@ DEFAULT = "rwc_chords"
 def notes_of(files: DataFrame, beat_div: int = 4) -> tuple[DataFrame, DataFrame]:
     """(notes, songs) of (path, content): decoded files keyed by their position in path order.
     Files that do not decode, or whose last tick is beyond the guard, are left out."""
-    decoded = midi.read_events(files)
-    songs = corpus.song_index(decoded.select(F.col("path").alias("relpath")).distinct()).withColumnRenamed("i", "song")
-    rows = midi.event_rows(decoded.join(songs, F.col("path") == F.col("relpath")))
+    songs = corpus.song_index(files.select(F.col("path").alias("relpath")).distinct()).withColumnRenamed("i", "song")
+    rows = midi.event_rows(midi.read_events(files).join(songs, F.col("path") == F.col("relpath")))
+    rows = settled(rows.repartition("song"))  # decoded once, for all that follows
     rows = events.relocated_meta(events.absolute_ticks(rows))
     rows = rows.join(events.corrupt_songs(rows).select("song"), "song", "left_anti")
     resolution = rows.select("song", "resolution").distinct()

@@ -90,13 +90,23 @@ def _channel(status: int, data: _Bytes) -> dict:
 
 def decode_midi(content: bytes) -> tuple[int, list[dict]]:
     """(resolution, events) of one file; raises ValueError where it is not well-formed."""
+    resolution, events = midi_events(content)
+    return resolution, list(events)
+
+
+def midi_events(content: bytes) -> tuple[int, Iterator[dict]]:
+    """(resolution, events) of one file, events one at a time; raises ValueError where the file turns
+    out not to be well-formed."""
     data = _Bytes(content)
     if data.take(4) != b"MThd" or int.from_bytes(data.take(4), "big") < 6:
         raise ValueError("no MIDI header")
     _, tracks, division = struct.unpack(">HHH", data.take(6))
     if division & 0x8000 or not division:
         raise ValueError("only ticks per quarter note are supported")
-    events = []
+    return division, _track_events(data, tracks)
+
+
+def _track_events(data: _Bytes, tracks: int) -> Iterator[dict]:
     for track in range(tracks):
         if data.take(4) != b"MTrk":
             raise ValueError("a track chunk is missing")
@@ -126,9 +136,8 @@ def decode_midi(content: bytes) -> tuple[int, list[dict]]:
                 event = _channel(running, body)
             if event is None:
                 continue
-            events.append({**event, "track": track, "idx": idx, "dtick": waited})
+            yield {**event, "track": track, "idx": idx, "dtick": waited}
             waited, idx = 0, idx + 1
-    return division, events
 
 
 def read_events(files: DataFrame) -> DataFrame:
