@@ -1,40 +1,100 @@
-"""The generation harness: prompts, a sampler as a fold over steps, condition before target.
+"""The generation harness: prompts, a sampler that carries state over steps, condition before target.
 
-The sampler is a function; a model would be one, tests use a deterministic stand-in."""
+The sampler is an object with a state of bounded size; a model with its cache would be one, tests and
+queries use deterministic ones."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
+from typing import Any, Protocol
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-#: sampler(song, sample, history, step) returns the next step's tokens, given those before it.
-Sampler = Callable[[int, int, list[list[int]], int], list[int]]
 SAMPLED = "song long, sample int, step int, tokens array<int>"
 
 
+class Sampler(Protocol):
+    """begin gives the state of an empty sequence, feed the state after one more step, draw the tokens of
+    the step that comes next. A state holds what later steps need of earlier ones and no more: what it
+    holds is what a task holds, however long a song is."""
+
+    def begin(self, song: int, sample: int) -> Any: ...
+
+    def feed(self, state: Any, step: int, tokens: list[int]) -> Any: ...
+
+    def draw(self, state: Any, step: int) -> list[int]: ...
+
+
+class Windowed:
+    """A sampler from a function (song, sample, the last steps' tokens, step) -> tokens, with a state of
+    at most so many steps."""
+
+    def __init__(self, draw: Callable[[int, int, list[list[int]], int], list[int]], steps: int) -> None:
+        self.function, self.steps = draw, steps
+
+    def begin(self, song: int, sample: int) -> tuple[int, int, deque]:
+        return song, sample, deque(maxlen=self.steps)
+
+    def feed(self, state: tuple[int, int, deque], step: int, tokens: list[int]) -> tuple[int, int, deque]:
+        state[2].append(tokens)
+        return state
+
+    def draw(self, state: tuple[int, int, deque], step: int) -> list[int]:
+        return self.function(state[0], state[1], list(state[2]), step)
+
+
 def condition_then_target(condition: DataFrame, target: DataFrame, lengths: DataFrame) -> DataFrame:
     """One sequence a song: the condition's steps, then the target's, moved behind them."""
     moved = target.join(lengths.select("song", "length"), "song").withColumn("step", F.col("step") + F.col("length")).drop("length")
     return condition.unionByName(moved)
 
 
-def sample_steps(prompts: DataFrame, sampler: Sampler, *, steps: int, samples: int = 1) -> DataFrame:
+def sampling_function(sampler: Sampler, steps: int):
+    """A table function over rows (song, sample, step, tokens) partitioned by song and sample and ordered
+    by step: gives back the first steps of each sequence as they come and goes on to steps steps. Register
+    it with spark.udtf.register for SQL."""
+
+    class Continue:
+        def __init__(self) -> None:
+            self.of: tuple[int, int] | None = None
+            self.state: Any = None
+            self.step = 0
+
+        def eval(self, row: Row) -> Iterator[tuple]:
+            if self.of is None:
+                self.of = (row["song"], row["sample"])
+                self.state = sampler.begin(*self.of)
+            if self.step < steps:
+                yield self._next(list(row["tokens"] or []))
+
+        def terminate(self) -> Iterator[tuple]:
+            while self.of is not None and self.step < steps:
+                yield self._next([int(t) for t in sampler.draw(self.state, self.step)])
+
+        def _next(self, tokens: list[int]) -> tuple:
+            self.state = sampler.feed(self.state, self.step, tokens)
+            self.step += 1
+            return (*self.of, self.step - 1, tokens)
+
+    return F.udtf(Continue, returnType=SAMPLED)
+
+
+def sample_steps(prompts: DataFrame, sampler: Sampler | Callable[[int, int, list[list[int]], int], list[int]], *, steps: int, samples: int = 1) -> DataFrame:
     """(song, sample, step, tokens): continues each prompt (song, step, tokens) to steps steps, samples
-    times. Each song and sample is one fold that carries its history."""
+    times. A plain function (song, sample, earlier steps' tokens, step) -> tokens is a sampler that sees
+    all steps; `Windowed` bounds what it sees.
+
+    A song and sample are a partition of a table function, whose rows stream through it in order of step
+    while it holds the sampler's state: no sequence is gathered, and each step is given out as it is
+    drawn. Steps count from 0 in the order given; a prompt longer than steps is cut there; null tokens
+    are an empty step; a song without rows has no prompt and is not continued."""
     wanted = prompts.select(
-        F.col("song").cast("long").alias("song"), F.col("step").cast("int").alias("step"), F.col("tokens").cast("array<int>").alias("tokens"),
-        F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"),
+        F.col("song").cast("long").alias("song"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"),
+        F.col("step").cast("int").alias("step"), F.col("tokens").cast("array<int>").alias("tokens"),
     )
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("step")
-        song, sample = int(rows["song"].iloc[0]), int(rows["sample"].iloc[0])
-        history = [list(map(int, t)) for t in rows["tokens"]][:steps]
-        for step in range(len(history), steps):
-            history.append(list(sampler(song, sample, history, step)))
-        return pd.DataFrame({"song": song, "sample": sample, "step": range(len(history)), "tokens": history})
-
-    return wanted.groupBy("song", "sample").applyInPandas(fold, SAMPLED)
+    if not hasattr(sampler, "begin"):
+        sampler = Windowed(sampler, steps)
+    table = wanted.asTable().partitionBy("song", "sample").orderBy("step")
+    return sampling_function(sampler, steps)(table)

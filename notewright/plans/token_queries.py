@@ -96,6 +96,42 @@ def prompt_steps(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.prompt(_roll(spark, sf), 32)
 
 
+# Prompts of a customer's orders, one token a step; a token follows from the one before it.
+SAMPLED = """
+WITH RECURSIVE kept AS (
+  SELECT o_custkey AS song, sample, (nth - 1)::INTEGER AS step, (o_orderkey % 128)::INTEGER AS token
+  FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders), (SELECT unnest([0, 1]) AS sample) WHERE nth <= 12),
+grown AS (
+  SELECT song, sample, max(step) AS step, arg_max(token, step) AS token, false AS drawn FROM kept GROUP BY song, sample
+  UNION ALL
+  SELECT song, sample, step + 1, (token * 5 + 7 + step + 1 + sample) % 128, true FROM grown WHERE step < 11)
+SELECT song, sample, step, token FROM kept UNION ALL SELECT song, sample, step, token FROM grown WHERE drawn
+"""
+
+
+class LastToken:
+    """A stand-in for a model: its state is the last token and the number of the sample."""
+
+    def begin(self, song: int, sample: int) -> tuple[int, int]:
+        return 0, sample
+
+    def feed(self, state: tuple[int, int], step: int, tokens: list[int]) -> tuple[int, int]:
+        return tokens[-1], state[1]
+
+    def draw(self, state: tuple[int, int], step: int) -> list[int]:
+        return [(state[0] * 5 + 7 + step + state[1]) % 128]
+
+
+@R.add("sampled_steps", SAMPLED)
+def sampled_steps(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    prompts = table(spark, sf, "orders").select(F.col("o_custkey").alias("song"), nth.alias("step"), F.array((F.col("o_orderkey") % 128).cast("int")).alias("tokens"))
+    out = generation.sample_steps(prompts, LastToken(), steps=12, samples=2)
+    return out.select("song", "sample", "step", F.col("tokens")[0].alias("token"))
+
+
 NAMED = """
 decoded AS (
   SELECT song, part, step, slot AS nth, program, pitch, dur FROM roll)

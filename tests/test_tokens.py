@@ -77,6 +77,31 @@ def test_generation_harness(spark):
     assert sorted((r.song, r.step) for r in both.collect()) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1)]
 
 
+def test_a_long_song_streams_through_a_bounded_state(spark):
+    """The sampler holds four steps; the table function gives steps out as they come."""
+    seen = lambda song, sample, last, step: [len(last), sum(t[-1] for t in last) % 1000]
+    prompt = spark.range(30_000).select(F.lit(7).alias("song"), F.col("id").alias("step"), F.array(F.col("id").cast("int") % 1000).alias("tokens"))
+    out = generation.sample_steps(prompt, generation.Windowed(seen, 4), steps=40_000).collect()
+    got = [r.tokens for r in sorted(out, key=lambda r: r.step)]
+    want = [[i % 1000] for i in range(30_000)]
+    while len(want) < 40_000:
+        want.append([4, sum(t[-1] for t in want[-4:]) % 1000])
+    assert got == want
+
+
+def test_sampling_edges(spark):
+    schema = "song long, step int, tokens array<int>"
+    count = lambda song, sample, before, step: [len(before)]
+    prompts = spark.createDataFrame([(1, s, [s]) for s in range(6)] + [(2, 0, None), (None, 0, [5])], schema)
+    rows = {(r.song, r.step): r.tokens for r in generation.sample_steps(prompts, count, steps=3).collect()}
+    assert rows == {(1, 0): [0], (1, 1): [1], (1, 2): [2], (2, 0): [], (2, 1): [1], (2, 2): [2], (None, 0): [5], (None, 1): [1], (None, 2): [2]}
+    assert generation.sample_steps(prompts.limit(0), count, steps=3).count() == 0
+    spark.udtf.register("continued", generation.sampling_function(generation.Windowed(count, 2), 4))
+    prompts.withColumn("sample", F.lit(0)).createOrReplaceTempView("prompt_rows")
+    sql = "SELECT song, count(*) AS n FROM continued(TABLE(SELECT song, sample, step, tokens FROM prompt_rows) PARTITION BY (song, sample) ORDER BY step) GROUP BY song"
+    assert {r.song: r.n for r in spark.sql(sql).collect()} == {1: 4, 2: 4, None: 4}
+
+
 def test_names_without_a_kind_or_set_fail(spark):
     for column in (tokens.model_kind, tokens.data_set):
         for name in ("'other'", "CAST(NULL AS STRING)"):
