@@ -1,8 +1,8 @@
 """A Merkle manifest of a dataset, with its nodes in an external store.
 
 Leaves are sorted by source and identifier and numbered; runs of consecutive nodes are the rows of a
-store, one Parquet table partitioned by level. Each level is made from the one before, read in order
-of its coordinates (source and position), and a second tree over the sources' roots closes the
+store, one Parquet table partitioned by level. Each written level is made from the one before, read in
+order of its coordinates (source and position), and a second tree over the sources' roots closes the
 manifest. Proofs are extracted from the top down: a level's runs meet the paths of their parents in a
 merge join by coordinate, so a path that many leaves share is built once."""
 
@@ -22,7 +22,9 @@ LEAF = ("doc_id", "source", "lang", "n_chars", "text")
 TOP = "top"
 #: A node's siblings in its run, as bytes of their digests, before and after it.
 STEP = "struct<left:binary,right:binary>"
-RUN = "tree string, run long, n long, kids array<struct<pos:long,hash:binary,leaf:binary,shown:binary,doc_id:long>>, level int"
+#: Levels that a row of the store holds: the reads, writes and joins of a manifest are so many fewer.
+HEIGHT = 3
+RUN = "tree string, run long, n long, levels array<array<binary>>, steps int, top binary, kids array<struct<leaf:binary,shown:binary,doc_id:long>>, level int"
 
 
 def digest(*parts: Column) -> Column:
@@ -69,8 +71,11 @@ def numbered(leaves: DataFrame, order: list[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Store:
-    """The nodes of trees as runs, in a Parquet table partitioned by level: run r of a level holds the
-    nodes from arity * r on, n being the number of nodes that the tree has there."""
+    """The nodes of trees, in a Parquet table partitioned by level. A row of the table is a run of
+    arity^HEIGHT consecutive nodes with the HEIGHT levels above them that it holds alone: levels[0] are
+    the digests of its nodes, levels[1] of their parents, and so on below the run's own top. n is the
+    number of nodes that the tree has at the run's level; kids is what the leaves carry. The parents of
+    a level's runs are the nodes HEIGHT levels further up, so level counts by HEIGHT."""
 
     folder: str
     levels: int
@@ -80,60 +85,86 @@ class Store:
         return spark.read.schema(RUN).parquet(self.folder).where(F.col("level") == level)
 
 
+def _above(nodes: Column, arity: int) -> Column:
+    """The digests of the parents of consecutive nodes."""
+    number = F.ceil(F.size(nodes) / arity).cast("int")
+    members = lambda i: F.aggregate(F.slice(nodes, i * arity + 1, arity), F.lit(""), lambda s, h: F.concat(s, hex_of(h)))
+    return F.transform(F.sequence(F.lit(0), number - 1), lambda i: F.unhex(digest(members(i))))
+
+
+def _steps(n: Column, arity: int) -> Column:
+    """How many levels a run of a tree of n nodes has above it, HEIGHT at most, before one node is left."""
+    out = F.lit(HEIGHT)
+    for steps in reversed(range(HEIGHT)):
+        out = F.when(n <= arity**steps, steps).otherwise(out)
+    return out
+
+
 def write_store(nodes: DataFrame, folder: str, arity: int) -> Store:
     """Writes runs level by level until every tree has a single node.
 
-    nodes: tree, pos, n, hash, leaf, shown, doc_id. A run's members are next to each other in the
-    order that a level is written in, so the exchange by run moves what crosses a partition's edge and
-    folds a fixed number of rows; no tree is ever gathered. A level has a third of the rows of the one
-    before (at arity 3), and what a driver learns of it is whether it has a run with a parent."""
-    spark, level = nodes.sparkSession, 0
+    nodes: tree, pos, n, hash, leaf, shown, doc_id. A run's members are next to each other in the order
+    that the level below was read in, so the exchange by run folds a fixed number of rows and no tree is
+    ever gathered. A written level has a 27th of the rows of the one before (at arity 3), and what the
+    driver learns of it is whether it has a run with a parent."""
+    spark, level, members = nodes.sparkSession, 0, arity**HEIGHT
     while True:
         kid = F.struct("pos", "hash", "leaf", "shown", "doc_id")
-        runs = nodes.groupBy("tree", F.expr(f"pos div {arity}").alias("run"), "n").agg(F.sort_array(F.collect_list(kid)).alias("kids"))
+        runs = nodes.groupBy("tree", F.expr(f"pos div {members}").alias("run"), "n").agg(F.sort_array(F.collect_list(kid)).alias("kids"))
+        runs = runs.withColumn("h0", F.transform("kids", lambda k: k["hash"]))
+        for i in range(HEIGHT):
+            runs = runs.withColumn(f"h{i + 1}", _above(F.col(f"h{i}"), arity))
+        steps = _steps(F.col("n"), arity)
+        levels = F.slice(F.array(*[f"h{i}" for i in range(HEIGHT)]), F.lit(1), F.greatest(steps, F.lit(1)))
+        top = F.element_at(F.array(*[f"h{i}" for i in range(HEIGHT + 1)]), steps + 1)[0]
+        carried = F.transform("kids", lambda k: F.struct(k["leaf"].alias("leaf"), k["shown"].alias("shown"), k["doc_id"].alias("doc_id")))
+        runs = runs.select("tree", "run", "n", levels.alias("levels"), steps.alias("steps"), top.alias("top"), carried.alias("kids"))
         runs.sortWithinPartitions("tree", "run").write.parquet(f"{folder}/level={level}")
         store = Store(folder, level + 1, arity)
-        below = store.level(spark, level).where(F.col("n") > 1)
+        below = store.level(spark, level).where(F.col("n") > members)
         if below.isEmpty():
             return store
         none = F.lit(None)
         nodes = below.select(
-            "tree", F.col("run").alias("pos"), F.ceil(F.col("n") / arity).cast("long").alias("n"), F.unhex(_parent(F.col("kids"))).alias("hash"),
+            "tree", F.col("run").alias("pos"), F.ceil(F.col("n") / members).cast("long").alias("n"), F.col("top").alias("hash"),
             none.cast("binary").alias("leaf"), none.cast("binary").alias("shown"), none.cast("long").alias("doc_id"),
         )
         level += 1
 
 
-def _parent(kids: Column) -> Column:
-    """The hex digest of a run."""
-    return digest(F.aggregate(kids, F.lit(""), lambda s, k: F.concat(s, hex_of(k["hash"]))))
+def roots(spark: SparkSession, store: Store) -> DataFrame:
+    """(tree, root) of every tree, from its single run, at whichever level that is."""
+    single = spark.read.schema(RUN).parquet(store.folder).where(F.col("n") <= store.arity**HEIGHT)
+    return single.select("tree", F.col("top").alias("root"))
 
 
-def roots(spark: SparkSession, store: Store) -> DataFrame:
-    """(tree, root) of every tree: its single node, at whichever level that is."""
-    single = spark.read.schema(RUN).parquet(store.folder).where(F.col("n") == 1)
-    return single.select("tree", F.col("kids")[0]["hash"].alias("root"))
+def _own_path(at: Column, arity: int) -> Column:
+    """The siblings that the node at a place of a run has, by level, up to the run's top."""
+    joined = lambda hashes: F.aggregate(hashes, F.lit(b""), lambda s, h: F.concat(s, h))
+
+    def step(nodes: Column, level: Column) -> Column:
+        place = F.floor(at / F.pow(F.lit(float(arity)), level)).cast("int")
+        rank = place % arity
+        before, after = F.slice(nodes, place - rank + 1, rank), F.slice(nodes, place + 2, arity - 1 - rank)
+        return F.struct(joined(before).alias("left"), joined(after).alias("right"))
+
+    return F.transform(F.slice("levels", F.lit(1), F.col("steps")), step)
 
 
 def paths(spark: SparkSession, store: Store, above: DataFrame) -> DataFrame:
     """The leaves (tree, leaf, shown, doc_id) with path, the steps from leaf to root, and the columns
     of above (tree, path, ...), whose path each tree's own goes on with."""
     carried = [c for c in above.columns if c not in ("tree", "path")]
-    parents = None
+    members, parents = store.arity**HEIGHT, None
     for level in reversed(range(store.levels)):
         runs = store.level(spark, level).drop("level")
-        single = runs.where(F.col("n") == 1).join(above, "tree").select("tree", F.col("kids")[0].alias("kid"), "path", *carried)
+        met = runs.where(F.col("n") <= members).join(above, "tree")
         if parents is not None:
-            met = runs.where(F.col("n") > 1).join(parents, (runs["tree"] == F.col("of")) & (runs["run"] == F.col("at")))
-            side = lambda k, first: F.aggregate(
-                F.filter("kids", lambda o: o["pos"] < k["pos"] if first else o["pos"] > k["pos"]), F.lit(b""), lambda s, o: F.concat(s, o["hash"])
-            )
-            step = lambda k: F.struct(side(k, True).alias("left"), side(k, False).alias("right"))
-            full = F.transform("kids", lambda k: F.struct(k.alias("kid"), F.concat(F.array(step(k)), F.col("path")).alias("path")))
-            met = met.select("tree", *carried, F.inline(full)).select("tree", "kid", "path", *carried)
-            single = single.unionByName(met)
-        parents = single.select(F.col("tree").alias("of"), F.col("kid.pos").alias("at"), "path", *carried)
-    return single.select("tree", "kid.leaf", "kid.shown", "kid.doc_id", "path", *carried)
+            met = met.unionByName(runs.where(F.col("n") > members).join(parents, ["tree", "run"]))
+        whole = met.select("tree", "run", "levels", "steps", "path", *carried, F.posexplode("kids").alias("at", "kid"))
+        whole = whole.withColumn("path", F.concat(_own_path(F.col("at"), store.arity), F.col("path")))
+        parents = whole.select("tree", (F.col("run") * members + F.col("at")).alias("run"), "path", *carried)
+    return whole.select("tree", "kid.leaf", "kid.shown", "kid.doc_id", "path", *carried)
 
 
 def folded(leaf: Column, path: Column) -> Column:

@@ -111,7 +111,14 @@ def test_the_store_proves_again(spark, tmp_path):
     rows = [(i, f"s{i % 2}", "en", i, f"t{i}") for i in range(60)]
     folder = str(tmp_path / "store")
     merkle.dataset_manifest(spark.createDataFrame(rows, SCHEMA), folder=folder).collect()
-    store = merkle.Store(f"{folder}/sources", 5, 3)
-    assert [store.level(spark, k).select(F.sum(F.size("kids"))).first()[0] for k in range(5)] == [60, 20, 8, 4, 2]
+    store = merkle.Store(f"{folder}/sources", 2, 3)
+    inner = [store.level(spark, 0).select(F.sum(F.size(F.get("levels", F.lit(i))))).first()[0] for i in range(3)]
+    assert inner == [60, 20, 8] and [store.level(spark, k).count() for k in range(2)] == [4, 2]
     tops = merkle.roots(spark, store).collect()
     assert {r.tree: r.root.hex() for r in tops} == {f"ss{i}": brute([r for r in rows if r[1] == f"s{i}"])[0][2] for i in range(2)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 9, 10, 26, 27, 28, 30, 81, 82, 84, 730, 731])
+def test_sizes_about_the_edges_of_runs(spark, n):
+    rows = [(i, "a", "en", i, f"t{i}") for i in range(n)] + [(n + i, f"b{i}", "en", 0, "x") for i in range(n % 31)]
+    check(merkle.dataset_manifest(spark.createDataFrame(rows, SCHEMA), shown=seen()).collect(), brute(rows, 3, even))
