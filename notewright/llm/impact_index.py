@@ -7,16 +7,17 @@ bitmaps; the best are found by going down the sum's slices from the most signifi
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from notewright.llm.common import NULL_ID, by_bytes, col, cut, ident, let_go, text_of
+from notewright.llm.common import NULL_ID, by_bytes, col, cut, ident, let_go, shared_folder, text_of
 
 #: Bytes that terms are made of: ASCII letters and digits, and all bytes above 0x7F.
 TERM_BYTE = [chr(b).isalnum() if b < 128 else True for b in range(256)]
@@ -32,10 +33,15 @@ ITEMS_AT_ONCE = 1 << 11
 #: Fixed values of the score: the impact's scale, its saturation, the share of a document's length.
 SCALE, SATURATION, SLOPE = 10**9, 8, 90
 
-#: kind 0: a block's documents, places holding their identifiers; kind 1: a term's postings, places
-#: holding their numbers in the block (32 bits) and slices the bitmaps over them, lowest bit first.
-INDEX_DDL = "kind int, block long, term string, df int, places binary, slices array<binary>"
-INDEX = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("term", pa.string()), ("df", pa.int32()), ("places", pa.binary()), ("slices", pa.list_(pa.binary()))])
+#: Pairs of a term and an item (about 20 bytes each) up to which terms, with their weights and items,
+#: are broadcast; beyond, postings move to them.
+BROADCAST_PAIRS = 1 << 17
+
+#: kind 0: a block's documents, places holding their identifiers (64 bits each); kind 1: a term's
+#: postings, places holding their numbers in the block (16 bits each) and slices the bitmaps over them,
+#: one after another, lowest bit first, each of (df + 7) div 8 bytes.
+INDEX_DDL = "kind int, block long, term string, df int, places binary, slices binary"
+INDEX = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("term", pa.string()), ("df", pa.int32()), ("places", pa.binary()), ("slices", pa.binary())])
 
 
 @dataclass(frozen=True)
@@ -63,17 +69,16 @@ def impacts(tf: np.ndarray, n: np.ndarray, corpus: Corpus) -> np.ndarray:
     return (SCALE * tf) // (1000 * tf + SATURATION * m)
 
 
-def sliced(values: np.ndarray, sizes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Bitmaps of each bit of values, lowest first, and where each run's bytes begin: runs of the given
-    sizes start on bytes of their own, so a run's bitmap is a slice of bytes."""
-    wide = (sizes + 7) // 8
-    starts = np.concatenate([[0], np.cumsum(wide)])
+def sliced(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of each bit of values, one a row, lowest first, and where each run's bytes begin: runs of
+    the given sizes start on bytes of their own, so a run's bitmaps are a slice of columns."""
+    starts = np.concatenate([[0], np.cumsum((sizes + 7) // 8)])
     at = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 8 * np.repeat(starts[:-1], sizes)
-    out = []
-    for bit in range(int(values.max()).bit_length() if len(values) else 0):
-        room = np.zeros(8 * starts[-1], np.uint8)
+    out = np.empty((int(values.max()).bit_length(), starts[-1]), np.uint8)
+    room = np.zeros(8 * starts[-1], np.uint8)
+    for bit in range(len(out)):
         room[at] = (values >> bit) & 1
-        out.append(np.packbits(room, bitorder="little"))
+        out[bit] = np.packbits(room, bitorder="little")
     return out, starts
 
 
@@ -82,17 +87,21 @@ class Block:
 
     def __init__(self) -> None:
         self.ids: list[int] = []
-        self.counts: list[Counter] = []
         self.lengths: list[int] = []
+        self.terms: list[np.ndarray] = []
+        self.occurrences: list[np.ndarray] = []
+        self.vocabulary: dict[bytes, int] = {}
         self.postings = 0
 
     def add(self, doc: int, text: bytes) -> None:
         words = text.translate(AS_TERM).split()
         if words:
+            counts, number_of, known = Counter(words), self.vocabulary.setdefault, self.vocabulary
             self.ids.append(doc)
             self.lengths.append(len(words))
-            self.counts.append(Counter(words))
-            self.postings += len(self.counts[-1])
+            self.terms.append(np.fromiter((number_of(t, len(known)) for t in counts), np.int32, len(counts)))
+            self.occurrences.append(np.fromiter(counts.values(), np.int32, len(counts)))
+            self.postings += len(counts)
 
     def full(self) -> bool:
         return len(self.ids) >= BLOCK_DOCS or self.postings >= BLOCK_POSTINGS
@@ -101,27 +110,24 @@ class Block:
         """The block's rows; its documents are numbered by ascending identifier."""
         if not self.ids:
             return
-        order = np.argsort(np.array(self.ids, np.int64), kind="stable")
-        ids = np.array(self.ids, np.int64)[order]
-        vocabulary: dict[bytes, int] = {}
-        number_of = vocabulary.setdefault
-        term = np.concatenate([np.fromiter((number_of(t, len(vocabulary)) for t in self.counts[i]), np.int64, len(self.counts[i])) for i in order])
-        tf = np.concatenate([np.fromiter(self.counts[i].values(), np.int64, len(self.counts[i])) for i in order])
-        held = np.array([len(self.counts[i]) for i in order])
-        place = np.repeat(np.arange(len(ids), dtype=np.uint32), held)
-        impact = impacts(tf, np.repeat(np.array(self.lengths, np.int64)[order], held), corpus)
-        by_term = np.argsort(term, kind="stable")
-        sizes = np.bincount(term, minlength=len(vocabulary))
-        slices, starts = sliced(impact[by_term], sizes)
+        ids = np.array(self.ids, np.int64)
+        order = np.argsort(ids, kind="stable")
+        place_of = np.empty(len(ids), np.uint16)
+        place_of[order] = np.arange(len(ids))
+        held = [len(t) for t in self.terms]
+        term, place = np.concatenate(self.terms), np.repeat(place_of, held)
+        tf, n = np.concatenate(self.occurrences).astype(np.int64), np.repeat(np.array(self.lengths, np.int64), held)
+        by_term = np.lexsort((place, term))
+        sizes = np.bincount(term, minlength=len(self.vocabulary))
+        slices, starts = sliced(impacts(tf[by_term], n[by_term], corpus), sizes)
         places, ends = place[by_term], np.concatenate([[0], np.cumsum(sizes)])
-        raw = [s.tobytes() for s in slices]
-        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((0, number, None, len(ids), ids.tobytes(), None), INDEX, strict=True)], schema=INDEX)
-        words = [t.decode() for t in vocabulary]
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((0, number, None, len(ids), ids[order].tobytes(), None), INDEX, strict=True)], schema=INDEX)
+        words = [t.decode() for t in self.vocabulary]
         for at in range(0, len(words), 4096):
             some = range(at, min(at + 4096, len(words)))
             columns = (
                 [1] * len(some), [number] * len(some), words[at : at + 4096], sizes[at : at + 4096],
-                [places[ends[t] : ends[t + 1]].tobytes() for t in some], [[s[starts[t] : starts[t + 1]] for s in raw] for t in some],
+                [places[ends[t] : ends[t + 1]].tobytes() for t in some], [slices[:, starts[t] : starts[t + 1]].tobytes() for t in some],
             )
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, INDEX, strict=True)], schema=INDEX)
 
@@ -129,7 +135,7 @@ class Block:
 def build_index(docs: DataFrame, corpus: Corpus, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index (INDEX_DDL) of every whole text. Each task makes blocks of the documents it reads, so
     nothing moves; the rows of the index are few to a block, whatever a text's length. Write it to a
-    table, or settle it, before it is searched: blocks follow the partitions of docs."""
+    table before it is searched (write_index): blocks follow the partitions of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -147,6 +153,16 @@ def build_index(docs: DataFrame, corpus: Corpus, *, id_col: str = "doc_id", text
     return by_bytes(docs.select(ident(id_col).alias("did"), text_of(text_col).cast("binary").alias("text"))).mapInArrow(run, INDEX_DDL)
 
 
+def write_index(docs: DataFrame, corpus: Corpus, folder: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes the index to a Parquet table in a folder that all executors share, and opens it."""
+    build_index(docs, corpus, id_col=id_col, text_col=text_col).write.parquet(folder)
+    return open_index(docs.sparkSession, folder)
+
+
+def open_index(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(INDEX_DDL).parquet(folder)
+
+
 # Numbers of all documents of a block are lists of bitmaps, lowest bit first; a bitmap is an integer
 # whose bit i belongs to document i.
 
@@ -178,15 +194,13 @@ def times(slices: list[int], weight: int) -> list[int]:
     return out
 
 
-def widened(places: bytes, slices: list[bytes], size: int) -> list[int]:
+def widened(places: bytes, slices: bytes, size: int) -> list[int]:
     """A term's bitmaps over its own documents, spread over those of the block."""
-    at = np.frombuffer(places, np.uint32)
-    out = []
-    for s in slices:
-        room = np.zeros(size, np.uint8)
-        room[at] = np.unpackbits(np.frombuffer(s, np.uint8), count=len(at), bitorder="little")
-        out.append(int.from_bytes(np.packbits(room, bitorder="little").tobytes(), "little"))
-    return out
+    at = np.frombuffer(places, np.uint16)
+    own = np.unpackbits(np.frombuffer(slices, np.uint8).reshape(-1, (len(at) + 7) // 8), axis=1, count=len(at), bitorder="little")
+    room = np.zeros((len(own), size), np.uint8)
+    room[:, at] = own
+    return [int.from_bytes(x.tobytes(), "little") for x in np.packbits(room, axis=1, bitorder="little")]
 
 
 def positions(bitmap: int) -> Iterator[int]:
@@ -238,7 +252,8 @@ def search(index: DataFrame, items: DataFrame, corpus: Corpus, *, k: int = 10, i
     """``item_id``, ``rank`` (from 1), ``doc_id`` and ``score``: the k best documents of each item, by
     descending score above 0, then ascending doc_id (null first).
 
-    A term's weight follows from its document frequency, which the index sums up. Items are dealt into
+    A term's weight follows from its document frequency, which the index sums up. Where the items have
+    few terms (counted before), their weights go to the postings, else postings of the items' terms move. Items are dealt into
     parts of about ITEMS_AT_ONCE. A block's postings meet the weights and items of their terms (one row
     a term and part, however many items have it) and come together by block and part, of bounded size.
     A block yields at most k documents an item; the ranking prunes by task before it moves them. Items
@@ -252,7 +267,8 @@ def search(index: DataFrame, items: DataFrame, corpus: Corpus, *, k: int = 10, i
     found = postings.join(words.select("term"), "term", "left_semi").groupBy("term").agg(F.sum("df").cast("long").alias("df"))
     weight = F.floor(1000 * F.log((2.0 * corpus.documents + 2) / (2.0 * F.col("df") + 1))).cast("long")
     weights = cut(asked.join(found, "term").select("term", "part", "items", weight.alias("weight")).where("weight > 0"))
-    met = postings.join(weights, "term").select("block", "part", "kind", "places", "slices", "weight", "items")
+    pairs = weights.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]
+    met = postings.join(F.broadcast(weights) if pairs <= BROADCAST_PAIRS else weights, "term").select("block", "part", "kind", "places", "slices", "weight", "items")
     none = F.lit(None)
     every = F.explode(F.sequence(F.lit(0), F.lit(max(1, parts) - 1))).alias("part")
     heads = index.where("kind = 0").select("block", every, "kind", "places", "slices", none.cast("long").alias("weight"), none.cast(weights.schema["items"].dataType).alias("items"))
@@ -287,5 +303,5 @@ def ranked_search(docs: DataFrame, items: DataFrame, *, k: int = 10) -> DataFram
     very long texts are read in whole; an empty table gives an empty result; other columns are not
     read. Texts are read twice, once to count and once to index, and never move."""
     corpus = corpus_counts(docs)
-    index = cut(build_index(docs, corpus))
+    index = write_index(docs, corpus, f"{shared_folder(docs.sparkSession)}/impact-index-{uuid.uuid4().hex}")
     return search(index, items, corpus, k=k)
