@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.operators import attention, metrics
+from notewright.functions.music import gelu
+from notewright.operators import attention, matrices, metrics, parameters
 from notewright.plans.base import Registry, with_views
 from notewright.sources.surrogates import table
 
@@ -176,3 +177,79 @@ def early_stop(spark: SparkSession, sf: str) -> DataFrame:
 def shift_right(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     return metrics.shifted_right(rows, ["o_custkey"], "o_orderkey", "o_totalprice", F.lit(-1.0)).drop("o_totalprice")
+
+
+# The weight at (i, j) of a linear map from 64 inputs to 48 outputs.
+LINEAR = """
+WITH x AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+w AS (SELECT i, j, ((i * 7 + j * 3) % 11 - 5) / 10.0::DOUBLE AS w FROM (SELECT unnest(range(0, 64)) AS i), (SELECT unnest(range(0, 48)) AS j))
+SELECT vec_id, CAST(j AS INTEGER) AS dim, round(sum(x * w), 5) + 0.0 AS value FROM x JOIN w USING (i) GROUP BY vec_id, j
+"""
+
+
+@R.add("linear_map", LINEAR)
+def linear_map(spark: SparkSession, sf: str) -> DataFrame:
+    import numpy as np
+
+    weight = matrices.from_array(spark, np.fromfunction(lambda i, j: ((i * 7 + j * 3) % 11 - 5) / 10.0, (64, 48)), 32)
+    out = matrices.linear(table(spark, sf, "embeddings"), "vec_id", "embedding", weight, side=32)
+    return out.select("vec_id", F.posexplode("embedding").alias("dim", "value")).withColumn("value", F.round("value", 5) + 0.0)
+
+
+@R.add("gram_matrix", "SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(sum(CAST(embedding[i] AS DOUBLE) * CAST(embedding[j] AS DOUBLE)), 4) + 0.0 AS value FROM embeddings, (SELECT unnest(range(1, 65)) AS i), (SELECT unnest(range(1, 65)) AS j) GROUP BY i, j")
+def gram_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """The products of every two dimensions, summed over all vectors: the inner index is the vectors'."""
+    blocks = matrices.from_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding", 128).drop("ids")
+    cells = matrices.product(matrices.transposed(blocks), blocks).select("i", "j", "cols", F.posexplode("data").alias("at", "value"))
+    place = lambda block, at: (F.col(block) * 128 + at).cast("int").alias(block)
+    return cells.select(place("i", F.floor(F.col("at") / F.col("cols"))), place("j", F.col("at") % F.col("cols")), (F.round("value", 4) + 0.0).alias("value"))
+
+
+# The error function by its series of positive terms.
+GELU = """
+WITH x AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
+z AS (SELECT *, abs(x) / sqrt(2.0::DOUBLE) AS z FROM x)
+SELECT vec_id, CAST(dim AS INTEGER) AS dim,
+       round(x * 0.5 * (1 + CASE WHEN z = 0 THEN 0 ELSE sign(x) * 2 / sqrt(pi()) * exp(-z * z) * z
+         * list_sum(list_transform(range(0, 120), lambda n: exp(n * ln(2 * z * z) - ((n + 1) * ln(2.0::DOUBLE) + lgamma(n + 1.5) - 0.5 * ln(pi()))))) END), 6) + 0.0 AS value
+FROM z
+"""
+
+
+@R.add("gelu", GELU)
+def gelu_values(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "x"))
+    return rows.select("vec_id", "dim", (F.round(gelu(F.col("x").cast("double")), 6) + 0.0).alias("value"))
+
+
+# A supplier's parts are a layer's heads; returned lines prune theirs, by month.
+PRUNED = """
+WITH heads AS (SELECT DISTINCT l_suppkey AS layer, l_partkey AS head FROM lineitem),
+asked AS (SELECT l_suppkey AS layer, l_partkey AS head, min(month(l_shipdate)) AS pruned_in FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
+SELECT layer, head, pruned_in IS NULL AS kept, CAST(pruned_in AS INTEGER) AS pruned_in,
+       CASE WHEN pruned_in IS NULL THEN count(*) FILTER (WHERE pruned_in IS NULL) OVER (PARTITION BY layer ORDER BY head) - 1 END AS new_index
+FROM heads LEFT JOIN asked USING (layer, head)
+"""
+
+
+@R.add("pruned_heads", PRUNED)
+def pruned_heads(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("layer"), F.col("l_partkey").alias("head"), F.month("l_shipdate").alias("round"), "l_returnflag")
+    return matrices.pruned_indexes(lines.select("layer", "head").distinct(), lines.where("l_returnflag = 'R'").select("layer", "head", "round"))
+
+
+LOADED = """
+SELECT 'v' || vec_id AS name, label % 3 <> 0 AS trainable, CASE WHEN label % 2 = 0 THEN -CAST(embedding[64] AS DOUBLE) ELSE CAST(embedding[64] AS DOUBLE) END AS value FROM embeddings
+"""
+
+
+@R.add("parameter_load", LOADED)
+def parameter_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as a model's named arrays in blocks of 24; a set with those of even labels, negated, and
+    with names that the model lacks is loaded over them."""
+    cut = F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda b: F.struct(b.cast("long").alias("block"), F.slice("values", b * 24 + 1, 24).alias("data"))))
+    named = table(spark, sf, "embeddings").withColumn("values", F.col("embedding").cast("array<double>"))
+    model = named.select(F.concat(F.lit("v"), "vec_id").alias("name"), F.array(F.lit(64).cast("long")).alias("shape"), (F.col("label") % 3 != 0).alias("trainable"), "label", cut.alias("b")).select("name", "shape", "trainable", "label", "b.*")
+    negated = model.where("label % 2 = 0").withColumn("data", F.transform("data", lambda x: -x)).drop("label")
+    given = negated.unionByName(negated.withColumn("name", F.concat(F.lit("old."), "name")))
+    return parameters.load(model.drop("label"), given).where("block = 2").select("name", "trainable", F.element_at("data", -1).alias("value"))

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
 from notewright.sources.midi import EVENT, midi_events
+from notewright.sources.store import opened
 
 SUFFIXES = (".mid", ".MID")
 #: Bytes that a partition holds at most (unless one file is larger), and what a file counts besides its
@@ -39,11 +40,6 @@ ARROW = {T.IntegerType(): pa.int32(), T.LongType(): pa.int64(), T.StringType():
 FILE_COLUMNS = ("path", "size", "status", "resolution")
 
 
-def opened(folder: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a folder given as a path or a URI, and the folder's path there."""
-    return fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
-
-
 def listed(folder: str, recursive: bool = True) -> list[tuple[str, int]]:
     """(path, bytes) of the files below a folder that are named exactly *.mid or *.MID, by path. Names
     that begin with _ or a dot, and what lies in folders of such names, are not listed."""
