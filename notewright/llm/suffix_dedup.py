@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.common import POWERS, col, ident, mix64, rolling, shuffle_partitions, text_of, window_min
+from notewright.llm.common import POWERS, by_bytes, col, ident, mix64, rolling, shuffle_partitions, text_of, window_min
 
 #: String starts handled at once: bounds the memory of a very long text. Places in a chunk take 20 bits.
 CHUNK = 1 << 19
@@ -150,7 +150,7 @@ def _anchors(texts: DataFrame, length: int, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return texts.mapInArrow(run, ANCHORED)
+    return by_bytes(texts).mapInArrow(run, ANCHORED)
 
 
 def _rows(rows: list[tuple], kinds: tuple, names: tuple) -> pa.RecordBatch:
@@ -420,7 +420,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             raw = pa.array([zlib.compress(t.encode(), 1) for t in batch.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw], names=["did", "th", "packed"])
 
-    moved = texts.mapInArrow(packed, "did long, th long, packed binary")
+    moved = by_bytes(texts).mapInArrow(packed, "did long, th long, packed binary")
     needing = marked.where(F.octet_length("needs") > 0).select("did", "th", "needs")
     unique = moved.join(needing, ["did", "th"]).select("did", "th", "packed", "needs")
     runs = unique.mapInArrow(lambda b: _suffix_runs(b, length, buckets), "dest int, run binary")
@@ -449,6 +449,6 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 )
 
     done = moved.join(spans, ["did", "th"], "left").select("did", "packed", "spans")
-    result = done.mapInArrow(finish, "did long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    result = by_bytes(done).mapInArrow(finish, "did long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     real = F.when(F.col("did") != F.lit(-(2**63)), F.col("did"))
     return result.select(real.alias("doc_id"), "n_bytes", "spans", "kept")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notewright.llm.common import col, ident, rolling, shuffle_partitions, text_of, window_min
+from notewright.llm.common import by_bytes, col, ident, rolling, shuffle_partitions, text_of, window_min
 
 #: Window starts handled at once: bounds the memory a very long text takes.
 CHUNK = 1 << 20
@@ -94,7 +94,7 @@ def fingerprint_documents(
             T.StructField("fingerprint", T.StringType()),
         ]
     )
-    return docs.select(col(id_col), text_of(text_col).alias("text")).mapInArrow(run, out)
+    return by_bytes(docs.select(col(id_col), text_of(text_col).alias("text"))).mapInArrow(run, out)
 
 
 def _bucket(key: Column, bounds: list[int]) -> Column:
@@ -192,7 +192,7 @@ def fingerprint_edits(
         if out:
             yield _packed(out)
 
-    return dealt.mapInArrow(run, EDITED)
+    return by_bytes(dealt).mapInArrow(run, EDITED)
 
 
 def _compare(one: tuple, after: tuple, k: int, w: int) -> tuple:
