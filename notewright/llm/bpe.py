@@ -22,9 +22,15 @@ from notewright.llm.common import by_bytes, col, held, text_of
 #: Words of at most so many bytes contract together; longer ones have a query that takes all places
 #: of a pair at once and keeps one state, as their rows would otherwise pile up merge by merge.
 SHORT_BYTES = 64
-#: Bytes of words and ids that a worker remembers, words encoded and ids decoded by one query, bytes
-#: of long words in one query, bytes of text taken at once: bounds on memory (a single longer word
-#: or text goes alone).
+#: Words of more bytes are cut into pieces of PIECE_BYTES, whose ids are joined (see Codec._joined), over
+#: so many tokens to either side of a cut at first.
+LONGEST_BYTES = 1024
+PIECE_BYTES = 60
+SEAM = 3
+#: Rows that the states of a query's short words add up to, about; bytes of words and ids that a worker
+#: remembers, words encoded and ids decoded by one query, bytes of long words in one query, bytes of
+#: text taken at once: bounds on memory (a single longer text goes alone).
+STATE_ROWS = 2_000_000
 REMEMBERED = 96 << 20
 WORDS_AT_ONCE = 20_000
 IDS_AT_ONCE = 200_000
@@ -115,11 +121,12 @@ class Codec:
         self.db.register("given", table)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.db.unregister("given")
+        self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.words: dict[str, bytes] = {}
         self.size = 0
 
-    def _contract(self, words: list[str], parts: list[bytes], query: str, shift: int) -> None:
-        """Encodes words, given with their bytes, by one recursive query."""
+    def _contract(self, parts: list[bytes], query: str, shift: int) -> list[bytes]:
+        """The ids of each part, by one recursive query."""
         sizes = np.array([len(e) for e in parts])
         flat = self.single[np.frombuffer(b"".join(parts), np.uint8)]
         position = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -128,29 +135,85 @@ class Codec:
         ids = self.db.sql(query).to_arrow_table().column("ids").combine_chunks()
         self.db.unregister("start")
         values, offsets = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy()
-        for i, word in enumerate(words):
-            self.words[word] = values[offsets[i] : offsets[i + 1]].tobytes()
-            self.size += sizes[i] + len(self.words[word]) + ENTRY
+        return [values[offsets[i] : offsets[i + 1]].tobytes() for i in range(len(parts))]
+
+    def _ids(self, parts: list[bytes], cut: bool = True) -> list[bytes]:
+        """The ids of each part, by queries of bounded size; with cut, very long parts by pieces."""
+        out: list[bytes] = [b""] * len(parts)
+        kinds: dict[str, list[int]] = {ENCODE: [], ENCODE_LONG: []}
+        held = {ENCODE: 0, ENCODE_LONG: 0}
+        limits = {ENCODE: STATE_ROWS, ENCODE_LONG: LONG_AT_ONCE}
+
+        def settle(query: str) -> None:
+            if kinds[query]:
+                found = self._contract([parts[i] for i in kinds[query]], query, 20 if query is ENCODE else 32)
+                for i, ids in zip(kinds[query], found, strict=True):
+                    out[i] = ids
+                kinds[query], held[query] = [], 0
+
+        for i, part in enumerate(parts):
+            if cut and len(part) > LONGEST_BYTES:
+                out[i] = self._joined(part)
+                continue
+            query = ENCODE if len(part) <= SHORT_BYTES else ENCODE_LONG
+            cost = len(part) ** 2 // 2 if query is ENCODE else len(part)
+            if held[query] + cost > limits[query] or len(kinds[query]) >= WORDS_AT_ONCE:
+                settle(query)
+            kinds[query].append(i)
+            held[query] += cost
+        settle(ENCODE)
+        settle(ENCODE_LONG)
+        return out
+
+    def _joined(self, data: bytes) -> bytes:
+        """The ids of a very long word, from those of its pieces.
+
+        A sequence of ids is the encoding of its bytes if every two neighbours are the encoding of
+        theirs: whether a pair merges depends on what stands next to it alone. So the ids on both sides
+        of a cut are made anew over a few tokens to the left and right, and stay where the new ones go
+        with their neighbours; else the stretch doubles. What the cuts need is asked for all at once
+        first, then settled from the left; no query sees more than a stretch."""
+        pieces = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
+        known: dict[bytes, list[int]] = {}
+
+        def learn(parts: list[bytes]) -> None:
+            fresh = [p for p in dict.fromkeys(parts) if p not in known]
+            for p, ids in zip(fresh, self._ids(fresh, cut=False), strict=True):
+                known[p] = np.frombuffer(ids, "<u4").tolist()
+
+        def of(part: bytes) -> list[int]:
+            if part not in known:
+                learn([part])
+            return known[part]
+
+        spelt = lambda ids: b"".join([self.tokens[i] for i in ids])
+        stay = lambda a, b: of(self.tokens[a] + self.tokens[b]) == [a, b]
+        learn(pieces)
+        beside = [(known[a], known[b]) for a, b in zip(pieces, pieces[1:], strict=False)]
+        learn([spelt(a[-SEAM:]) + spelt(b[:SEAM]) for a, b in beside])
+        middles = [known[spelt(a[-SEAM:]) + spelt(b[:SEAM])] for a, b in beside]
+        ends = [(a[-SEAM - 1], m[0]) for (a, _), m in zip(beside, middles, strict=True) if len(a) > SEAM]
+        ends += [(m[-1], b[SEAM]) for (_, b), m in zip(beside, middles, strict=True) if len(b) > SEAM]
+        learn([self.tokens[x] + self.tokens[y] for x, y in dict.fromkeys(ends)])
+        out = list(known[pieces[0]])
+        for piece in pieces[1:]:
+            right, reach = known[piece], SEAM
+            while True:
+                kept = max(0, len(out) - reach)
+                middle = of(spelt(out[kept:]) + spelt(right[:reach]))
+                if (kept == 0 or stay(out[kept - 1], middle[0])) and (len(right) <= reach or stay(middle[-1], right[reach])):
+                    break
+                reach *= 2
+            out[kept:] = middle
+            out += right[reach:]
+        return np.array(out, "<u4").tobytes()
 
     def _learn(self, fresh: list[str]) -> None:
-        """Encodes words not met before, in queries of bounded size."""
-        short: tuple[list[str], list[bytes]] = ([], [])
-        long: tuple[list[str], list[bytes]] = ([], [])
-        held_bytes = 0
-        for word in fresh:
-            data = word.encode()
-            kind = short if len(data) <= SHORT_BYTES else long
-            if kind is long and long[0] and held_bytes + len(data) > LONG_AT_ONCE:
-                self._contract(*long, ENCODE_LONG, 32)
-                long, held_bytes = ([], []), 0
-                kind = long
-            held_bytes += len(data) if kind is long else 0
-            kind[0].append(word)
-            kind[1].append(data)
-        if long[0]:
-            self._contract(*long, ENCODE_LONG, 32)
-        for at in range(0, len(short[0]), WORDS_AT_ONCE):
-            self._contract(short[0][at : at + WORDS_AT_ONCE], short[1][at : at + WORDS_AT_ONCE], ENCODE, 20)
+        """Encodes words not met before."""
+        parts = [w.encode() for w in fresh]
+        for word, part, ids in zip(fresh, parts, self._ids(parts), strict=True):
+            self.words[word] = ids
+            self.size += len(part) + len(ids) + ENTRY
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
         """The text's words, in lists of bounded length."""
@@ -251,7 +314,8 @@ def encode_documents(
 
     Null text counts as empty (no ids); null identifiers pass through; repeated rows are encoded
     each; an empty table gives an empty result; other columns are not read. ranks_path must be
-    readable on every executor. One pass, no shuffle; words of any length are encoded in whole.
+    readable on every executor. One pass, no shuffle. A word of any length is encoded in whole, in
+    queries of bounded size: what a task holds of it are its bytes, its pieces and its ids.
     """
     id_type = docs.schema[id_col].dataType
     fields = [T.StructField(id_col, id_type), T.StructField("n_tokens", T.LongType())]

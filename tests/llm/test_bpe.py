@@ -40,10 +40,23 @@ def test_long_words(known):
     rng = random.Random(2)
     words = ["".join(rng.choice(letters) for _ in range(rng.randint(65, 700))) for letters in ("ab", "eta", "etaoinshrdlu", "é漢字xyz") for _ in range(15)]
     words += ["z" * 5001, "ab" * 3000, "".join(rng.choice("etaoinsr") for _ in range(4000))]
+    words += ["".join(rng.choice(letters) for _ in range(rng.randint(1025, 6000))) for letters in ("a", "ab", "eta", "the", "etaoinshrdlu", "é漢字xyz", "abcdefghijklmnopqrstuvwxyz") for _ in range(6)]
     codec = bpe.Codec.of(PATH, P.PATTERN)
     assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(words)] == [known.encode_ordinary(w) for w in words]
 
 
+def test_words_of_millions_of_letters(known):
+    """Equal to the library, in a worker's bounded memory."""
+    rng = random.Random(3)
+    common = "".join(rng.choices("etaoinshrdlucmfw", weights=range(16, 0, -1), k=1_000_000))
+    words = [common, "a" * 1_000_000, "ab" * 500_000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5_000_000))]
+    codec = bpe.Codec.of(PATH, P.PATTERN)
+    for word in words:
+        want = known.encode_ordinary(word)
+        assert np.frombuffer(codec.encode([word])[0], "<u4").tolist() == want
+        codec.words.clear()
+
+
 def test_operator(make, edge, known):
     out = bpe.encode_documents(make([*edge, edge[3]]), ranks_path=PATH, pattern=P.PATTERN, with_digests=True)
     texts = dict(edge)
