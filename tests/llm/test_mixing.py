@@ -1,3 +1,4 @@
+import heapq
 import random
 import re
 from collections import Counter
@@ -9,13 +10,35 @@ from hypothesis import strategies as st
 from notewright.llm import mixing as M
 
 
+def pfair_slots(weights, blocks):
+    """The source of each slot, one slot after another, and the horizon: the first slot that falls to a
+    source without a block left. What is left from there on follows by deadline."""
+    total = sum(weights)
+    coming, ready, placed, order = [(0, s) for s in range(len(weights))], [], [0] * len(weights), []
+    due = lambda s: (-(-(placed[s] + 1) * total // weights[s]), s)
+    while True:
+        while coming and coming[0][0] <= len(order):
+            heapq.heappush(ready, due(heapq.heappop(coming)[1]))
+        s = heapq.heappop(ready)[1]
+        if placed[s] == blocks[s]:
+            break
+        order.append(s)
+        placed[s] += 1
+        heapq.heappush(coming, (placed[s] * total // weights[s], s))
+    horizon = len(order)
+    while left := [due(s) for s in range(len(weights)) if placed[s] < blocks[s]]:
+        order.append(min(left)[1])
+        placed[order[-1]] += 1
+    return order, horizon
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.floats(0.001, 1.0), min_size=1, max_size=25))
 def test_schedule_keeps_every_window_and_lag(weights):
     """Every block within its window, and less than one block from the target throughout."""
     whole = M.whole_weights(weights)
     total = sum(whole)
-    slots, horizon = M.pfair_slots(whole, [2000 * w // total + 1 for w in whole])
+    slots, horizon = pfair_slots(whole, [2000 * w // total + 1 for w in whole])
     placed = [0] * len(whole)
     for slot, source in enumerate(slots[:horizon]):
         j, w = placed[source], whole[source]
@@ -29,7 +52,7 @@ def test_deviation_from_the_target_does_not_grow():
     """Six sources weighted by count to the power of 0.7, over 200,000 slots."""
     counts = [2_000_000, 170_000, 90_000, 33_000, 5_000, 1_111]
     target = [n**0.7 / sum(m**0.7 for m in counts) for n in counts]
-    slots, horizon = M.pfair_slots(M.whole_weights([n**0.7 for n in counts]), [200_000] * 6)
+    slots, horizon = pfair_slots(M.whole_weights([n**0.7 for n in counts]), [200_000] * 6)
     placed, worst = [0] * 6, 0.0
     for slot, source in enumerate(slots[:200_000]):
         placed[source] += 1
@@ -79,14 +102,34 @@ def test_matches_slot_by_slot(spark, counts):
         assert abs(len({r.block for r in got if r.source == s and r.in_mix}) - slots * n**0.7 / total) < 1
 
 
-def test_blocks_grow_where_the_schedule_would(spark):
-    """The schedule is bounded by max_slots and one slot for each source; no row is left out."""
-    counts = {"a": 3000, "b": 500, None: 3}
-    df = rows(spark, counts)
-    plan = M.plan_mix(df, max_slots=40)
-    assert plan.block_rows == 88 and len(plan.slots) <= 43
-    got = M.mix_sources(df, max_slots=40).collect()
-    assert len({r.position for r in got}) == len(got) == 3503 and all(r.position == r.slot * 88 + r.place for r in got)
+@pytest.mark.parametrize("seed", range(6))
+def test_chunks_make_the_one_schedule(spark, seed, monkeypatch):
+    """Slots filled in chunks side by side are those filled one after another, whatever was supposed."""
+    rng = random.Random(seed)
+    k = rng.choice([1, 2, 5, 20])
+    weights = [rng.choice([1, 7, 10**3, 10**6, 10**9, rng.randrange(1, 10**7)]) for _ in range(k)]
+    if seed % 2:
+        monkeypatch.setattr(M, "WARM", 0)
+        monkeypatch.setattr(M, "CHUNK", 16)
+    blocks = [min(2000, 3000 * w // sum(weights)) + rng.randrange(3) for w in weights]
+    blocks = [max(1, b) for b in blocks]
+    plan = M.Plan([str(i) for i in range(k)], weights, blocks, 8, 0)
+    order, horizon = pfair_slots(weights, blocks)
+    got = {r.slot: (r.number, r.block) for r in M.schedule(spark, plan).collect()}
+    placed = Counter()
+    for slot, source in enumerate(order[:horizon]):
+        assert got[slot] == (source, placed[source])
+        placed[source] += 1
+    number, block = got[horizon]  # the first slot whose source has no block left
+    assert block == blocks[number] == placed[number]
+
+
+def test_blocks_stay_as_they_are_at_any_size(spark):
+    """Large whole numbers: sums beyond 64 bits, and a source of the least weight."""
+    plan = M.Plan(["a", "b", "c"], [10**15, 10**15 + 1, 1], [3 * 10**3, 10, 1], 8, 0)
+    order, horizon = pfair_slots(plan.weights, plan.blocks)
+    got = sorted((r.slot, r.number) for r in M.schedule(spark, plan).where(f"slot < {horizon}").collect())
+    assert [n for _, n in got] == order[:horizon]
 
 
 def test_order_does_not_depend_on_partitions(spark):
