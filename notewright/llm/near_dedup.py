@@ -107,13 +107,14 @@ def dart_signature(parts: np.ndarray, weights: np.ndarray | None, k: int) -> np.
 def _throw(parts: np.ndarray, weights: np.ndarray, limit: float, k: int) -> np.ndarray:
     best = np.full(k, EMPTY)
     columns = np.ceil(weights).astype(np.int64)
+    ends = np.cumsum(columns)
     rows = max(1, math.ceil(limit))
-    # Elements are taken in groups, so that a long document or a high limit stays bounded.
+    # Cells are taken in groups, so that a long document, a heavy element or a high limit stays bounded.
     group = max(1, 200_000 // rows)
-    for at in range(0, len(parts), group):
-        wide = columns[at : at + group]
-        owner = np.repeat(np.arange(at, at + len(wide)), wide)
-        column = np.arange(len(owner)) - np.repeat(np.cumsum(wide) - wide, wide)
+    for at in range(0, int(ends[-1]), group):
+        cells = np.arange(at, min(at + group, ends[-1]))
+        owner = np.searchsorted(ends, cells, side="right")
+        column = cells - (ends[owner] - columns[owner])
         cell = mix64(parts[owner] + column.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
         cell = mix64(cell[:, None] ^ (np.arange(rows, dtype=np.uint64) * np.uint64(0xAF251AF3B0F025B5) + np.uint64(1))[None, :])
         count = np.searchsorted(POISSON, (cell >> np.uint64(11)).astype(np.float64) / 2.0**53, side="right")
@@ -252,14 +253,16 @@ def _meeting(members: DataFrame) -> DataFrame:
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
-    """(band, main) of the buckets that hold several labels and a member that left without leading;
-    main is the label of most members."""
+    """(band, main, size) of the buckets that hold several labels and a member that left without leading;
+    main is the label of most members, size their number."""
     kinds = placed.groupBy("band", "label").agg(F.count("*").alias("n"), F.min("leads").alias("leads"))
-    buckets = kinds.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("kinds"), F.min("leads").alias("leads"))
-    return buckets.where((F.col("kinds") > 1) & ~F.col("leads")).select(_hidden("band"), "main")
+    buckets = kinds.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("kinds"), F.sum("n").alias("size"), F.min("leads").alias("leads"))
+    return buckets.where((F.col("kinds") > 1) & ~F.col("leads")).select(_hidden("band"), "main", "size")
 
 
-def _bridged(exits: DataFrame, labels: DataFrame, signed: DataFrame, lists: DataFrame, threshold: float, coordinates: int, first: int = 64) -> DataFrame:
+def _bridged(
+    exits: DataFrame, labels: DataFrame, signed: DataFrame, lists: DataFrame, threshold: float, coordinates: int, errors: float | None, first: int = 64
+) -> DataFrame:
     """The labels (did, label), joined by the links between members of a bucket that never met there.
 
     exits(band, did, left, leads, near): the round in which a member left its bucket, whether it led
@@ -267,12 +270,15 @@ def _bridged(exits: DataFrame, labels: DataFrame, signed: DataFrame, lists: Data
     waiting; so two members are untested where the first to leave did not lead. Each such pair of
     different labels is compared, unless the triangle inequality (1 - similarity is a metric) or more
     different bits in their signatures than similar texts have (see most_different_bits) rule a link
-    out: the members outside the bucket's largest label, with 64, 512, ... of all its members at a
-    time. The signatures leave few pairs, so a large bucket makes no square of rows."""
-    words, most = -(-coordinates // 32), most_different_bits(threshold, coordinates)
+    out: the members outside the bucket's largest label, with about 64, 512, ... of all its members at a
+    time, by a hash of the member. The signatures leave few pairs, so a large bucket makes no square of
+    rows; without errors they rule nothing out, and every pair that the triangle inequality leaves is
+    compared."""
+    words, most = -(-coordinates // 32), most_different_bits(threshold, coordinates, errors or 0.0)
     placed = exits.join(labels, "did")
-    turn = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("did"), "did"))
-    placed = placed.join(_mixed(placed), "band").withColumn("outer", F.col("label") != F.col("main")).withColumn("turn", turn).drop("main")
+    share = F.pmod(F.xxhash64("did", F.lit("turn")), F.lit(1 << 32)) / float(1 << 32)
+    turn = F.floor(share * F.col("size")).cast("long") + 1
+    placed = placed.join(_mixed(placed), "band").withColumn("outer", F.col("label") != F.col("main")).withColumn("turn", turn).drop("main", "size")
     placed = cut(placed.join(signed.select(_hidden("did"), "bits"), "did"))
     low, high = 0, first
     while not placed.where(F.col("turn") > low).isEmpty():
@@ -284,7 +290,8 @@ def _bridged(exits: DataFrame, labels: DataFrame, signed: DataFrame, lists: Data
             | (F.col("left") == F.col("left_b")) & ~F.col("leads") & ~F.col("leads_b")
         )
         differ = reduce(Column.__add__, [F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(words)])
-        close = (F.abs(F.col("near") - F.col("near_b")) <= 1 - threshold + 1e-9) & (differ <= most)
+        close = F.abs(F.col("near") - F.col("near_b")) <= 1 - threshold + 1e-9
+        close = close if errors is None else close & (differ <= most)
         pairs = placed.where("outer").join(others, (F.col("band") == F.col("band_b")) & (F.col("label") != F.col("label_b")) & close & untested)
         pairs = cut(pairs.select(F.least("did", "did_b").alias("a"), F.greatest("did", "did_b").alias("b")).distinct())
         found = cut(_similarities(pairs, lists).where(F.col("sim") >= threshold).select("a", "b"))
@@ -295,7 +302,7 @@ def _bridged(exits: DataFrame, labels: DataFrame, signed: DataFrame, lists: Data
             new = lambda df: df.join(merged, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
             labels = cut(new(labels))
             placed = new(placed)
-            placed = cut(placed.join(_mixed(placed).drop("main"), "band"))
+            placed = cut(placed.join(_mixed(placed).drop("main", "size"), "band"))
         low, high = high, high * 8
         tidy(placed.sparkSession)
     return labels
@@ -312,6 +319,7 @@ def near_duplicates(
     rows: int = 5,
     steep_bands: int = 100,
     steep_rows: int = 12,
+    errors: float | None = 4.5,
 ) -> DataFrame:
     """One row per input row: ``doc_id``, ``class_id`` (the smallest identifier of its class),
     ``kept`` (whether it is that one, see below) and ``text_hash`` (xxhash64, which with doc_id tells rows that
@@ -326,6 +334,10 @@ def near_duplicates(
     have none, but not a text are documents of their own. An empty table gives an empty result; other
     columns are not read.
 
+    errors says how far (in standard errors) the signatures of two members of a bucket that never met may
+    differ for the pair to be compared: at 4.5 one link in 290,000 among those is not; with None every
+    such pair is compared, whatever it costs.
+
     Plan: equal shingle sets fold to one node, so a group of copies of any size is one row of the
     band table. Documents that share a band with any other are candidates (at the defaults a pair
     of similarity 0.8 does with probability 1 - (1 - 0.8^5)^20 = 0.9996). Candidates' element lists
@@ -394,7 +406,7 @@ def near_duplicates(
     else:
         labels = met.select("did").join(components(links).withColumnRenamed("node", "did"), "did", "left")
         labels = cut(labels.select("did", F.coalesce("label", "did").alias("label")))
-        labels = _bridged(reduce(DataFrame.unionByName, exits), labels, signed, lists, threshold, steep_bands * steep_rows)
+        labels = _bridged(reduce(DataFrame.unionByName, exits), labels, signed, lists, threshold, steep_bands * steep_rows, errors)
         reps = cut(reps.join(labels, "did", "left").select("key", "least", F.coalesce("label", "did").alias("label")))
         leasts = reps.groupBy("label").agg(F.min("least").alias("class")).select(_hidden("label"), "class")
         classes = reps.join(leasts, "label").select("key", "class")

@@ -161,3 +161,34 @@ def test_texts_that_share_an_identifier(spark, make):
     assert set(kept) >= {rows[0], rows[2], rows[6]} and len({t for _, t in kept if t.startswith(three)}) == 1 and len(set(kept)) == 4
     left = {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert left == set(kept)
+
+
+def test_heavy_elements_take_bounded_memory():
+    """A text of six words said two million times over: cells are counted, not elements."""
+    import tracemalloc
+
+    parts = np.arange(6, dtype=np.uint64) + np.uint64(99)
+    weights = np.full(6, 350_000)
+    tracemalloc.start()
+    heavy = N.dart_signature(parts, weights, 100)
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()
+    assert len(heavy) == 100 and (heavy != N.EMPTY).all()
+    light = N.dart_signature(parts, np.full(6, 7.5), 100)
+    assert light.tolist() == N.dart_signature(parts, np.full(6, 7.5), 100).tolist() and light.tolist() != heavy.tolist()
+
+
+def test_the_exact_setting_compares_every_pair(make):
+    """Without the signatures' filter the classes are the same, and those of brute force."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(80)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(80), rng.randrange(0, 6)):
+            words[at] = f"x{rng.randrange(1000)}"
+        rows.append((i, " ".join(words)))
+    want = brute(rows)
+    for errors in (None, 4.5):
+        out = N.near_duplicates(make(rows), steep_bands=8, steep_rows=2, errors=errors)
+        assert {r.doc_id: r.class_id for r in out.collect()} == want
