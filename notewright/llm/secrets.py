@@ -35,10 +35,12 @@ MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
 BREAK = re.compile(r"\\r\\n|\\n|\r\n|\n|\r")
 PART = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 ANY_HEX = re.compile(r"(?:[0-9a-fA-F]{2}){20,}")
-#: Lines of base64 that follow one another without armour: full ones of one length, then a rest.
+#: Lines of base64 that follow one another without armour: full ones of one length (of so many
+#: characters at least), then a rest.
 LINE = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{4,}={0,2}")
 GAP = re.compile(r" ?\r? ?\n|\r")
-FULL_LINE = range(48, 129)
+FULL_LINE = 16
+LINE_ENDS = re.compile(r"[A-Za-z0-9+/]{16} ?(?:[\r\n]|\\[rn])")
 
 
 def unbase64(part: str) -> bytes | None:
@@ -186,7 +188,7 @@ def wrapped(text: str) -> Iterator[tuple[int, int, str]]:
             if len(group) > 1:
                 yield group[0].start(), group[-1].end(), "".join(x.group() for x in group)
             group = []
-        if size in FULL_LINE and "=" not in m.group():
+        if size >= FULL_LINE and "=" not in m.group():
             group = [m]
     if len(group) > 1:
         yield group[0].start(), group[-1].end(), "".join(x.group() for x in group)
@@ -229,7 +231,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         for m in PART.finditer(body):
             if holds_secret(unbase64(m.group())):
                 spans.append(("key", start + m.start(), start + m.end()))
-    if len(runs) > 1 or runs and BREAK.match(text, runs[0].end()):
+    if len(runs) > 1 or runs and BREAK.match(text, runs[0].end()) or LINE_ENDS.search(text):
         spans += [("key", start, end) for start, end, body in wrapped(text) if holds_secret(unbase64(body))]
     return sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

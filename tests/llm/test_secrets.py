@@ -68,6 +68,16 @@ def test_other_forms():
     assert is_signed_token(unsigned) and ("token", 2, 2 + len(JWT)) in scan("x=" + JWT + "." + JWT)
 
 
+def test_lines_of_any_length():
+    """Keys wrapped without armour, in short lines and in very long ones."""
+    body = base64.b64encode(der(0x30, der(2, b"\x00") + b"".join(der(2, bytes([1]) * 200) for _ in range(8)))).decode()
+    for width in (16, 20, 47, 48, 76, 128, 129, 500, 1000):
+        text = "\n".join(body[i : i + width] for i in range(0, len(body), width))
+        assert ("key", 4, 4 + len(text)) in scan("key " + text + " end"), width
+    words = "\n".join(["internationalise"] * 50)
+    assert kinds(words) == []
+
+
 def test_hostile_texts_take_linear_time():
     """5 MB of what patterns could start over on: seconds, not hours."""
     size = 5_000_000
