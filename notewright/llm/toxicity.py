@@ -328,7 +328,9 @@ def fit_toxicity(
     the clean words that resemble one and the training rows' three features each come to the driver.
 
     Null labels and null identifiers are not learned from; a document labelled twice is toxic if
-    any label says so. Without labels of both kinds the model has no terms and scores all texts low.
+    any label says so; of several texts under one identifier one is learned from, that of the least hash,
+    so rows are bounded as identifiers are. Without labels of both kinds the model has no terms and
+    scores all texts low.
     """
     picked = (
         labels.where(col(id_col).isNotNull() & col(label_col).isNotNull() & ~held_out(col(id_col)))
@@ -339,7 +341,8 @@ def fit_toxicity(
     )
     texts = docs.select(col(id_col).cast("long").alias("did"), text_of(text_col).alias("text"))
     # picked has max_rows rows at most.
-    train = cut(_weighed(texts.join(F.broadcast(picked), "did").select("text", "toxic")))
+    known = texts.join(F.broadcast(picked), "did").groupBy("did", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    train = cut(_weighed(known.select("text", "toxic")))
     n = {bool(r["toxic"]): r["n"] for r in train.groupBy("toxic").agg(F.round(F.sum("weight"), 6).alias("n")).collect()}
     if len(n) < 2:
         return Model({}, {}, frozenset())
