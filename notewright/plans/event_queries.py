@@ -272,3 +272,90 @@ def merge_text(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role")
     lists = [rows.where(F.col("role") == r) for r in ("system", "user", "assistant")]
     return timing.merged_by_time(lists, "turn", "conv_id").select("conv_id", "turn", "role", F.col("at").alias("nth"))
+
+
+# An order is a song: its lines change the tempo, its first line (by number) gives the meter, and it ends
+# some seconds after its last change. In one meter a beat is the k-th whole number that the running total
+# of beats comes to, so the counterpart inverts that total, segment by segment.
+ORDER_BEATS = """
+lines AS (
+  SELECT l_orderkey AS song, l_linenumber * 3.7::DOUBLE AS time, 10.0::DOUBLE + l_quantity AS qpm, l_linenumber AS nr,
+         2 + CAST(l_quantity AS INTEGER) % 8 AS num, CASE WHEN l_returnflag = 'R' THEN 8 ELSE 4 END AS den
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity, l_partkey, l_suppkey) AS nth FROM lineitem) WHERE nth = 1),
+meters AS (SELECT song, arg_min(num, nr) AS num, arg_min(den, nr) AS den, 4.1::DOUBLE + max(time) AS ends FROM lines GROUP BY song),
+tempi AS (
+  SELECT song, time, qpm FROM lines UNION ALL SELECT song, 0, 120 FROM meters),
+segments AS (
+  SELECT t.song, num, den, time AS t0, least(coalesce(lead(time) OVER w, ends), ends) AS t1,
+         qpm * den / 4 / CASE WHEN num % 3 = 0 AND num <> 3 THEN 3 ELSE 1 END AS bpm
+  FROM tempi t JOIN meters m ON t.song = m.song WINDOW w AS (PARTITION BY t.song ORDER BY time)),
+totals AS (
+  SELECT *, round(sum((t1 - t0) * bpm / 60) OVER (PARTITION BY song ORDER BY t0), 9) AS upto FROM segments),
+spans AS (SELECT *, coalesce(lag(upto) OVER (PARTITION BY song ORDER BY t0), 0) AS since FROM totals),
+order_beats AS (
+  SELECT song, num, den, bpm, CAST(k AS INTEGER) AS k, t0 + (k - since) * 60 / bpm AS time
+  FROM (SELECT *, unnest(range(CAST(ceil(since) AS BIGINT), CAST(ceil(upto) AS BIGINT))) AS k FROM spans))
+"""
+
+
+def _order_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tempo changes, the meter from 0 on, and the end of each order."""
+    from pyspark.sql import Window
+
+    first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_quantity", "l_partkey", "l_suppkey")
+    lines = table(spark, sf, "lineitem").withColumn("nth", F.row_number().over(first)).where("nth = 1").select(
+        F.col("l_orderkey").alias("song"), (F.col("l_linenumber") * 3.7).alias("time"), (10.0 + F.col("l_quantity")).alias("qpm"), "l_linenumber",
+        (2 + F.col("l_quantity").cast("int") % 8).alias("numerator"), F.when(F.col("l_returnflag") == "R", 8).otherwise(4).alias("denominator"),
+    )
+    meters = lines.groupBy("song").agg(*[F.min_by(c, "l_linenumber").alias(c) for c in ("numerator", "denominator")]).withColumn("time", F.lit(0.0))
+    return lines.select("song", "time", "qpm"), meters, lines.groupBy("song").agg((4.1 + F.max("time")).alias("end"))
+
+
+@R.add("order_beats", with_views(ORDER_BEATS, then="SELECT song, k AS beat_idx, round(time + 0.0000017::DOUBLE, 5) AS time, CASE WHEN k = 0 THEN -1 ELSE round(bpm, 5) END AS bpm, CASE WHEN k = 0 THEN -1 ELSE num END AS num, CASE WHEN k = 0 THEN -1 ELSE den END AS den FROM order_beats"))
+def order_beats(spark: SparkSession, sf: str) -> DataFrame:
+    return timing.song_beats(*_order_lines(spark, sf)).withColumns({"time": F.round(F.col("time") + NUDGE, 5), "bpm": F.round("bpm", 5)})
+
+
+@R.add("order_downbeats", with_views(ORDER_BEATS, then="SELECT song, 1 AS k, k AS beat_idx, round(time + 0.0000017::DOUBLE, 5) AS time FROM order_beats b WHERE b.k % CASE WHEN num % 3 = 0 AND num <> 3 THEN num // 3 ELSE num END = 0"))
+def order_downbeats(spark: SparkSession, sf: str) -> DataFrame:
+    tempi, meters, ends = _order_lines(spark, sf)
+    return timing.downbeats(timing.song_beats(tempi, meters, ends), meters).withColumn("time", F.round(F.col("time") + NUDGE, 5))
+
+
+# Lines are events whose ticks often coincide; the counterpart walks through a key's events one by one.
+TIES = """
+WITH RECURSIVE events AS (
+  SELECT l_suppkey AS song, l_linenumber % 2 AS track, l_linenumber % 3 AS channel, 60 + l_partkey % 5 AS note, CAST(tick AS BIGINT) AS tick, sounds, CAST(l_quantity AS INTEGER) % 100 AS velocity,
+         row_number() OVER (PARTITION BY l_suppkey, l_linenumber % 2 ORDER BY tick, l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS idx
+  FROM (SELECT *, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) // 40 AS tick, l_orderkey % 2 = 0 AS sounds FROM lineitem)),
+keyed AS (SELECT *, row_number() OVER (PARTITION BY song, track, channel, note ORDER BY idx) AS i FROM events),
+walk AS (
+  SELECT DISTINCT song, track, channel, note, 0::BIGINT AS i, []::STRUCT(idx BIGINT, tick BIGINT, velocity INTEGER)[] AS sounding,
+         []::STRUCT(idx BIGINT, tick BIGINT, velocity INTEGER)[] AS closed, 0::BIGINT AS tick, 0::BIGINT AS since FROM keyed
+  UNION ALL
+  SELECT k.song, k.track, k.channel, k.note, k.i,
+         CASE WHEN sounds THEN list_append(sounding, {'idx': k.idx, 'tick': k.tick, 'velocity': k.velocity})
+              WHEN len(list_filter(sounding, lambda x: x.tick < k.tick)) > 0 THEN list_filter(sounding, lambda x: x.tick = k.tick) ELSE [] END,
+         CASE WHEN sounds THEN [] ELSE list_filter(sounding, lambda x: x.tick < k.tick) END, k.tick, k.idx
+  FROM walk w JOIN keyed k ON w.song = k.song AND w.track = k.track AND w.channel = k.channel AND w.note = k.note AND k.i = w.i + 1),
+ended AS (SELECT song, track, channel, note, tick, since, unnest(closed) AS c FROM walk)
+SELECT song, CAST(track AS INTEGER) AS track, CAST(channel AS INTEGER) AS channel, CAST(note AS INTEGER) AS note, c.velocity AS velocity, 0 AS program, c.tick AS on_tick, tick AS off_tick,
+       CAST(row_number() OVER (PARTITION BY song, track ORDER BY since, c.idx) - 1 AS INTEGER) AS seq
+FROM ended
+"""
+
+
+@R.add("note_pairs_ties", TIES)
+def note_pairs_ties(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    tick = F.expr("datediff(cast(l_shipdate as date), date'1992-01-01') div 40")
+    rows = table(spark, sf, "lineitem").withColumns({"tick": tick, "track": F.col("l_linenumber") % 2})
+    order = Window.partitionBy("l_suppkey", "track").orderBy("tick", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    sounds = F.col("l_orderkey") % 2 == 0
+    made = rows.select(
+        F.col("l_suppkey").alias("song"), "track", (F.row_number().over(order) - 1).alias("idx"), F.when(sounds, "note_on").otherwise("note_off").alias("type"),
+        (F.col("l_linenumber") % 3).alias("channel"), (60 + F.col("l_partkey") % 5).alias("note"), F.when(sounds, F.col("l_quantity").cast("int") % 100).alias("velocity"),
+        F.lit(None).cast("int").alias("program"), "tick",
+    )
+    return events.paired_notes(made)
