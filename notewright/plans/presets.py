@@ -54,6 +54,20 @@ def notes_of(files: DataFrame, beat_div: int = 4) -> tuple[DataFrame, DataFrame]
     return notes.withColumns(scaled).drop("resolution"), songs
 
 
+def data_root(spark: SparkSession, folder: str) -> str:
+    """Where the files of a preset's folder lie: the session's notewright.data.<folder>, for collections
+    that are kept apart, else notewright.data.root."""
+    root = spark.conf.get(f"notewright.data.{folder}", None) or spark.conf.get("notewright.data.root", None)
+    if not root:
+        raise ValueError(f"set notewright.data.root, or notewright.data.{folder}, to the folder of the files")
+    return root
+
+
+def build_named(spark: SparkSession, name: str = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """build with the root that the session's settings name."""
+    return build(spark, data_root(spark, PRESETS[name].folder), name)
+
+
 def build(spark: SparkSession, root: str, name: str = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(roll, songs) of a preset over the MIDI files below root."""
     preset = PRESETS[name]

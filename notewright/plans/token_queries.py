@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from notewright.functions.music import DURATIONS, duration_subbeats, shrink_duration
 from notewright.operators import events, gates, generation, metrics, rolls, tokens
-from notewright.plans.base import NOTES, Registry, on_notes, on_roll, on_steps, with_views
+from notewright.plans.base import NOTES, Registry, on_notes, on_roll, on_steps, unit, with_views
 from notewright.plans.event_queries import EVENTS, IN_FORCE, PAIRS
 from notewright.plans.note_queries import LENGTHS, MARKERS, _roll, roll_sorted_with_end
 from notewright.sources.surrogates import midi_events, notes, table
@@ -132,6 +132,41 @@ def sampled_steps(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("song", "sample", "step", F.col("tokens")[0].alias("token"))
 
 
+# A vector's label gives the scores of 64 tokens at each of 6 places; 63 ends the step.
+LOCAL = f"""
+WITH weights AS (
+  SELECT vec_id AS song, place, tok, exp((label * 7 + tok * 13 + place * 5) % 17 / 4.0::DOUBLE / 0.8) AS w
+  FROM embeddings, (SELECT unnest(range(0, 6)) AS place), (SELECT unnest(range(0, 64)) AS tok)),
+summed AS (
+  SELECT *, sum(w) OVER (PARTITION BY song, place ORDER BY tok) AS upto, sum(w) OVER (PARTITION BY song, place) AS total, {unit("'local'", "song", "0", "1", "place")} AS u FROM weights),
+drawn AS (SELECT song, place, min(tok) FILTER (WHERE upto > u * total) AS token FROM summed GROUP BY song, place)
+SELECT song, CAST(place AS INTEGER) AS place,
+       CAST(CASE WHEN coalesce(max(CASE WHEN token = 63 THEN 1 ELSE 0 END) OVER (PARTITION BY song ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 3330 ELSE token END AS INTEGER) AS token
+FROM drawn
+"""
+
+
+class LabelScores:
+    """A stand-in for a model: scores follow from the last step's first token and the place."""
+
+    def begin(self, song: int, sample: int) -> int:
+        return 0
+
+    def feed(self, state: int, step: int, tokens: list[int]) -> int:
+        return tokens[0]
+
+    def scores(self, state: int, step: int, drawn: list[int]) -> list[float]:
+        return [(state * 7 + tok * 13 + len(drawn) * 5) % 17 / 4.0 for tok in range(64)]
+
+
+@R.add("local_sampling", LOCAL)
+def local_sampling(spark: SparkSession, sf: str) -> DataFrame:
+    prompts = table(spark, sf, "embeddings").select(F.col("vec_id").alias("song"), F.lit(0).alias("step"), F.array("label").alias("tokens"))
+    sampler = generation.PlaceByPlace(LabelScores(), places=6, temperature=0.8, end=63)
+    out = generation.sample_steps(prompts, sampler, steps=2).where("step = 1")
+    return out.select("song", F.posexplode("tokens").alias("place", "token"))
+
+
 NAMED = """
 decoded AS (
   SELECT song, part, step, slot AS nth, program, pitch, dur FROM roll)

@@ -105,6 +105,19 @@ def test_a_preset_as_stages(spark, root):
     assert shown(roll) == shown(want[0]) and shown(songs) == shown(want[1]) and roll.count() > 10
 
 
+def test_roots_come_from_settings(spark, root):
+    with pytest.raises(ValueError, match="notewright.data.root"):
+        presets.build_named(spark, "la")
+    spark.conf.set("notewright.data.root", "/nowhere")
+    spark.conf.set("notewright.data.MIDIs", root)
+    try:
+        assert presets.data_root(spark, "MIDI") == "/nowhere"
+        assert shown(presets.build_named(spark, "la")[0]) == shown(presets.build(spark, root, "la")[0])
+    finally:
+        spark.conf.unset("notewright.data.root")
+        spark.conf.unset("notewright.data.MIDIs")
+
+
 def test_a_tap_changes_what_follows_and_nothing_else(spark, root):
     graph = stages.preset_stages(spark, root, "la")
     louder = graph.tapped("pairs", lambda df: df.withColumn("velocity", F.lit(99)))

@@ -89,6 +89,42 @@ def test_a_long_song_streams_through_a_bounded_state(spark):
     assert got == want
 
 
+class Uneven:
+    """Scores that favour the token after the last one drawn."""
+
+    def begin(self, song, sample):
+        return song
+
+    def feed(self, state, step, tokens):
+        return tokens[0]
+
+    def scores(self, state, step, drawn):
+        return [3.0 * (t == (drawn[-1] if drawn else state) + 1) for t in range(3331)]
+
+
+def test_tokens_are_drawn_place_by_place(spark):
+    sampler = generation.PlaceByPlace(Uneven(), places=5, temperature=0, end=9)
+    assert sampler.draw(sampler.feed(sampler.begin(1, 0), 0, [3]), 1) == [4, 5, 6, 7, 8]
+    assert sampler.draw(sampler.feed(sampler.begin(1, 0), 0, [7]), 1) == [8, 9, PAD_TOKEN, PAD_TOKEN, PAD_TOKEN]
+    barred = generation.PlaceByPlace(Uneven(), places=4, temperature=1.0, hook=lambda step, place, s: generation.only_allowed(s, step, place, cap=1))
+    for song in range(30):
+        drawn = barred.draw(barred.begin(song, 0), 0)
+        assert drawn == barred.draw(barred.begin(song, 0), 0)
+        assert drawn[0] == EOS or (drawn[0] < 128 <= drawn[1] < 3200 and drawn[2:] == [EOS, PAD_TOKEN])
+    firsts = [generation.PlaceByPlace(Uneven(), places=1, temperature=0.2).draw((((i, 0)), 5), 0)[0] for i in range(200)]
+    assert sum(t == 6 for t in firsts) > 190
+
+
+def test_the_hook_bars_what_the_mask_bars(spark):
+    import numpy as np
+
+    for kw in ({}, {"rule": "reference"}, {"instruments": [3, 9]}, {"rhythm": 4}, {"cap": 2}):
+        for step, place in ((0, 0), (0, 1), (5, 0), (0, 4)):
+            mask = metrics.sampling_allowed(F.lit(step), F.lit(place), F.col("id").cast("int"), **kw)
+            want = {r.id for r in spark.range(3331).where(mask).collect()}
+            assert set(np.flatnonzero(generation.only_allowed(np.zeros(3331), step, place, **kw) == 0).tolist()) == want
+
+
 def test_sampling_edges(spark):
     schema = "song long, step int, tokens array<int>"
     count = lambda song, sample, before, step: [len(before)]
