@@ -96,7 +96,7 @@ def test_oracles(spark):
 
     names = [n for n in __spark_entry__.oracle_sql() if re.match(r"op\d+_", n)]
     assert {"op1_line_dedup", "op5_exact_dedup", "op9_chat_format"} <= set(names)
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "benchmark"):
         duckdb.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     for name in names:
         got = __spark_entry__.queries()[name](spark, SF)
