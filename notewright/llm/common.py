@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,14 +92,21 @@ _HELD: dict = {}
 def held(key: object, make: Callable[[], object]) -> object:
     """The worker's object of this key, made if it isn't the one held."""
     if key not in _HELD:
-        _HELD.clear()
+        let_go()
         _HELD[key] = make()
     return _HELD[key]
 
 
 def let_go() -> None:
-    """Frees what the worker holds, for operators that keep nothing."""
-    _HELD.clear()
+    """Frees what the worker holds, for operators that keep nothing, and gives the memory back to the
+    system: a worker that is used again would else keep the size of its largest model."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
 
 
 class Powers:
