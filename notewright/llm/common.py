@@ -11,16 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.functions.order import checkpoint_folder, settled
+from notewright.functions.order import BATCH_BYTES, BATCH_CONF, UNBOUNDED, by_bytes, checkpoint_folder, settled  # noqa: F401
 
 #: Stands in for a null identifier wherever identifiers are compared: null sorts below all others.
 NULL_ID = -(2**63)
 
-#: Bytes of an Arrow batch that goes to a Python worker, and the session's name for that bound.
-BATCH_BYTES = 4 << 20
-BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
-UNBOUNDED = str(2**31 - 2)
-
 M64 = 0xFFFFFFFFFFFFFFFF
 #: An odd multiplier and its inverse modulo 2^64, so that prefix sums give rolling hashes.
 BASE = 0x9E3779B97F4A7C15
@@ -53,9 +48,22 @@ def shared_folder(spark: SparkSession) -> str:
     return checkpoint_folder(spark)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    return settled(df)
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder, of at most so many parts."""
+    return settled(df if parts is None else df.coalesce(parts))
+
+
+def fewest(df: DataFrame, rows: int) -> int:
+    """How many tasks tables of about as many rows as df are dealt to: one for each so many rows, and
+    two a core at least. Each task of a loop's many small stages costs time, and room on the driver."""
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
+def merging(df: DataFrame) -> DataFrame:
+    """The right side of a join by merging, whatever its size. A side that grows with the input is else
+    collected and kept by the driver while it is below the broadcast threshold, and a loop of such
+    joins keeps many at a time."""
+    return df.hint("merge")
 
 
 def tidy(spark: SparkSession) -> None:
@@ -66,15 +74,6 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def by_bytes(df: DataFrame) -> DataFrame:
-    """The rows, for a function over Arrow batches: where the session sets no bound of its own, a batch
-    holds BATCH_BYTES at most (or a single longer row), so long texts don't add up in a worker."""
-    conf = df.sparkSession.conf
-    if conf.get(BATCH_CONF, UNBOUNDED) == UNBOUNDED:
-        conf.set(BATCH_CONF, str(BATCH_BYTES))
-    return df
-
-
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64: spreads entropy over all bits."""
     h = h ^ (h >> np.uint64(31))

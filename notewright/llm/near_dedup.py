@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notewright.llm.common import POWERS, by_bytes, cut, ident, let_go, mix64, text_of, tidy
+from notewright.llm.common import POWERS, by_bytes, cut, fewest, ident, let_go, merging, mix64, text_of, tidy
 from notewright.llm.graph import components
 
 #: Bytes of text hashed at once (more only for a single longer word).
 PIECE = 1 << 18
+#: Rows of texts whose nodes and links a task takes at least.
+ROWS = 4_000
 #: Bytes of a word (ASCII letters, digits, underscore, and all bytes above 0x7F).
 WORD_BYTE = np.array([chr(b).isalnum() or b == 0x5F or b > 0x7F for b in range(256)])
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -223,11 +225,11 @@ def weighted_jaccard(a: bytes, b: bytes) -> float:
     return shared / (len(both) - shared)
 
 
-def _similarities(pairs: DataFrame, lists: DataFrame) -> DataFrame:
-    """The pairs (a, b) with their similarity, sim."""
+def _similarities(pairs: DataFrame, lists: DataFrame, parts: int) -> DataFrame:
+    """The pairs (a, b) with their similarity, sim, in so many tasks at most."""
     joined = (
-        pairs.join(lists.select(F.col("did").alias("a"), F.col("parts").alias("parts_a")), "a")
-        .join(lists.select(F.col("did").alias("b"), F.col("parts").alias("parts_b")), "b")
+        pairs.join(merging(lists.select(F.col("did").alias("a"), F.col("parts").alias("parts_a"))), "a")
+        .join(merging(lists.select(F.col("did").alias("b"), F.col("parts").alias("parts_b"))), "b")
         .select("a", "b", "parts_a", "parts_b")
     )
 
@@ -237,7 +239,7 @@ def _similarities(pairs: DataFrame, lists: DataFrame) -> DataFrame:
             sims = [weighted_jaccard(x, y) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
-    return by_bytes(joined).mapInArrow(run, "a long, b long, sim double")
+    return by_bytes(joined.coalesce(parts)).mapInArrow(run, "a long, b long, sim double")
 
 
 def _hidden(name: str) -> Column:
@@ -249,7 +251,7 @@ def _hidden(name: str) -> Column:
 def _meeting(members: DataFrame) -> DataFrame:
     """(band, did, n) of the buckets of n > 1 members."""
     sizes = members.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    return members.join(sizes.select(_hidden("band"), "n"), "band").select("band", "did", "n")
+    return members.join(merging(sizes.select(_hidden("band"), "n")), "band").select("band", "did", "n")
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
@@ -261,7 +263,7 @@ def _mixed(placed: DataFrame) -> DataFrame:
 
 
 def _bridged(
-    exits: DataFrame, labels: DataFrame, signed: DataFrame, lists: DataFrame, threshold: float, coordinates: int, errors: float | None, first: int = 64
+    exits: DataFrame, labels: DataFrame, signed: DataFrame, lists: DataFrame, threshold: float, coordinates: int, errors: float | None, parts: int, first: int = 64
 ) -> DataFrame:
     """The labels (did, label), joined by the links between members of a bucket that never met there.
 
@@ -275,11 +277,11 @@ def _bridged(
     rows; without errors they rule nothing out, and every pair that the triangle inequality leaves is
     compared."""
     words, most = -(-coordinates // 32), most_different_bits(threshold, coordinates, errors or 0.0)
-    placed = exits.join(labels, "did")
+    placed = cut(exits.join(merging(labels), "did"), parts)
     share = F.pmod(F.xxhash64("did", F.lit("turn")), F.lit(1 << 32)) / float(1 << 32)
     turn = F.floor(share * F.col("size")).cast("long") + 1
-    placed = placed.join(_mixed(placed), "band").withColumn("outer", F.col("label") != F.col("main")).withColumn("turn", turn).drop("main", "size")
-    placed = cut(placed.join(signed.select(_hidden("did"), "bits"), "did"))
+    placed = placed.join(merging(_mixed(placed)), "band").withColumn("outer", F.col("label") != F.col("main")).withColumn("turn", turn).drop("main", "size")
+    placed = cut(placed.join(merging(signed.select(_hidden("did"), "bits")), "did"), parts)
     low, high = 0, first
     while not placed.where(F.col("turn") > low).isEmpty():
         others = placed.where((F.col("turn") > low) & (F.col("turn") <= high))
@@ -292,17 +294,17 @@ def _bridged(
         differ = reduce(Column.__add__, [F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(words)])
         close = F.abs(F.col("near") - F.col("near_b")) <= 1 - threshold + 1e-9
         close = close if errors is None else close & (differ <= most)
-        pairs = placed.where("outer").join(others, (F.col("band") == F.col("band_b")) & (F.col("label") != F.col("label_b")) & close & untested)
-        pairs = cut(pairs.select(F.least("did", "did_b").alias("a"), F.greatest("did", "did_b").alias("b")).distinct())
-        found = cut(_similarities(pairs, lists).where(F.col("sim") >= threshold).select("a", "b"))
+        pairs = placed.where("outer").join(merging(others), (F.col("band") == F.col("band_b")) & (F.col("label") != F.col("label_b")) & close & untested)
+        pairs = cut(pairs.select(F.least("did", "did_b").alias("a"), F.greatest("did", "did_b").alias("b")).distinct(), parts)
+        found = cut(_similarities(pairs, lists, parts).where(F.col("sim") >= threshold).select("a", "b"))
         if not found.isEmpty():
             of = lambda c: labels.select(F.col("did").alias(c), F.col("label").alias("label_" + c))
-            joined = found.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
-            merged = components(joined).select(F.col("node").alias("label"), F.col("label").alias("to"))
-            new = lambda df: df.join(merged, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
-            labels = cut(new(labels))
+            joined = found.join(merging(of("a")), "a").join(merging(of("b")), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
+            merged = components(joined, parts).select(F.col("node").alias("label"), F.col("label").alias("to"))
+            new = lambda df: df.join(merging(merged), "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+            labels = cut(new(labels), parts)
             placed = new(placed)
-            placed = cut(placed.join(_mixed(placed).drop("main", "size"), "band"))
+            placed = cut(placed.join(merging(_mixed(placed).drop("main", "size")), "band"), parts)
         low, high = high, high * 8
         tidy(placed.sparkSession)
     return labels
@@ -354,46 +356,48 @@ def near_duplicates(
     """
     source = docs.select(ident(id_col).alias("did"), F.xxhash64(text_of(text_col)).alias("th"), text_of(text_col).alias("text"))
     sketches = cut(_sketch(source, bands, rows, shingle))
+    # Tables of nodes and links are far smaller than the texts, and each round makes several of them.
+    parts = fewest(sketches, ROWS)
     # Nodes are numbered: from here on did is a node's number, and least its smallest (did, th).
     nodes = sketches.groupBy("key").agg(F.min(F.struct("did", "th")).alias("least"), F.first("bands").alias("bands"))
-    nodes = cut(nodes.withColumn("did", F.monotonically_increasing_id()))
+    nodes = cut(nodes.withColumn("did", F.monotonically_increasing_id()), parts)
     known = _meeting(nodes.select("did", F.explode("bands").alias("band"))).select("did").distinct()
-    known = nodes.join(known, "did").select(F.col("did").alias("node"), F.col("least.did").alias("did"), F.col("least.th").alias("th"))
-    lists = _element_lists(source, shingle).join(known, ["did", "th"]).select(F.col("node").alias("did"), "parts")
-    lists = cut(lists.dropDuplicates(["did"]))
+    known = nodes.join(merging(known), "did").select(F.col("did").alias("node"), F.col("least.did").alias("did"), F.col("least.th").alias("th"))
+    lists = _element_lists(source, shingle).join(merging(known), ["did", "th"]).select(F.col("node").alias("did"), "parts")
+    lists = cut(lists.dropDuplicates(["did"]), parts)
     signed = cut(_signed(lists, steep_bands, steep_rows))
     # One query, in which both uses of the meetings share their exchanges.
     meet = _meeting(signed.select("did", F.explode("bands").alias("band")))
     met = meet.groupBy("did").agg(F.sum("n").alias("met"))
-    start = cut(meet.select("band", "did").join(met.select(_hidden("did"), "met"), "did").select("band", "did", "met"))
-    met = cut(start.select("did", "met").distinct())
+    start = cut(meet.select("band", "did").join(merging(met.select(_hidden("did"), "met")), "did").select("band", "did", "met"), parts)
+    met = cut(start.select("did", "met").distinct(), parts)
     waiting = start.select("band", "did", "met", F.col("did").alias("label"), F.lit(1.0).alias("near"))
     del meet, start
     tidy(docs.sparkSession)
     links, lead, exits = None, 1, []
     while not waiting.isEmpty():
         first = Window.partitionBy("band").orderBy(F.desc("met"), "did")
-        leaders = cut(waiting.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= lead).drop("rank"))
+        leaders = cut(waiting.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= lead).drop("rank"), parts)
         heads = leaders.select(_hidden("band"), F.col("did").alias("b"), F.col("met").alias("met_b"), F.col("label").alias("label_b"))
         after = (F.col("met_b") > F.col("met")) | (F.col("met_b") == F.col("met")) & (F.col("b") < F.col("did"))
-        led = waiting.join(heads.withColumnRenamed("band", "band_b"), (F.col("band") == F.col("band_b")) & after & (F.col("label") != F.col("label_b")))
-        led = cut(led.select("band", F.col("did").alias("a"), "b", "met_b"))
-        scored = cut(_similarities(led.select("a", "b").distinct(), lists))
+        led = waiting.join(merging(heads.withColumnRenamed("band", "band_b")), (F.col("band") == F.col("band_b")) & after & (F.col("label") != F.col("label_b")))
+        led = cut(led.select("band", F.col("did").alias("a"), "b", "met_b"), parts)
+        scored = cut(_similarities(led.select("a", "b").distinct(), lists, parts))
         found = scored.where(F.col("sim") >= threshold).select("a", "b")
         # The first round's similarities to the one leader stay with the members that go on.
-        tried = led.join(scored if links is None else scored.where(F.col("sim") >= threshold), ["a", "b"])
+        tried = led.join(merging(scored if links is None else scored.where(F.col("sim") >= threshold)), ["a", "b"])
         outcome = tried.select("band", F.col("a").alias("did"), "sim", F.lit(False).alias("leads")).unionByName(
             leaders.select("band", "did", F.lit(1.0).alias("sim"), F.lit(True).alias("leads"))
         )
         outcome = outcome.groupBy("band", "did").agg(F.max("sim").alias("sim"), F.max("leads").alias("leads"))
-        marked = waiting.join(outcome, ["band", "did"], "left").withColumn("leaves", F.coalesce(F.col("leads") | (F.col("sim") >= threshold), F.lit(False)))
+        marked = waiting.join(merging(outcome), ["band", "did"], "left").withColumn("leaves", F.coalesce(F.col("leads") | (F.col("sim") >= threshold), F.lit(False)))
         if links is None:
             # A member linked to a leader takes its label, so that links it need not be tested for again.
             linked = tried.where(F.col("sim") >= threshold)
             stars = linked.groupBy(F.col("a").alias("did")).agg(F.max_by("b", F.struct("met_b", "b")).alias("star"))
-            marked = marked.join(stars, "did", "left").withColumn("label", F.coalesce("star", "label")).withColumn("near", F.col("sim"))
+            marked = marked.join(merging(stars), "did", "left").withColumn("label", F.coalesce("star", "label")).withColumn("near", F.col("sim"))
             del linked, stars
-        marked = cut(marked.select("band", "did", "met", "label", "near", "leads", "leaves"))
+        marked = cut(marked.select("band", "did", "met", "label", "near", "leads", "leaves"), parts)
         exits.append(marked.where("leaves").select("band", "did", F.lit(len(exits)).alias("left"), "leads", "near"))
         waiting = marked.where(~F.col("leaves")).select("band", "did", "met", "label", "near")
         links = found if links is None else links.unionByName(found)
@@ -404,13 +408,13 @@ def near_duplicates(
     if links is None:
         classes = reps.select("key", F.col("least").alias("class"))
     else:
-        labels = met.select("did").join(components(links).withColumnRenamed("node", "did"), "did", "left")
-        labels = cut(labels.select("did", F.coalesce("label", "did").alias("label")))
-        labels = _bridged(reduce(DataFrame.unionByName, exits), labels, signed, lists, threshold, steep_bands * steep_rows, errors)
-        reps = cut(reps.join(labels, "did", "left").select("key", "least", F.coalesce("label", "did").alias("label")))
+        labels = met.select("did").join(merging(components(links, parts).withColumnRenamed("node", "did")), "did", "left")
+        labels = cut(labels.select("did", F.coalesce("label", "did").alias("label")), parts)
+        labels = _bridged(reduce(DataFrame.unionByName, exits), labels, signed, lists, threshold, steep_bands * steep_rows, errors, parts)
+        reps = cut(reps.join(merging(labels), "did", "left").select("key", "least", F.coalesce("label", "did").alias("label")), parts)
         leasts = reps.groupBy("label").agg(F.min("least").alias("class")).select(_hidden("label"), "class")
-        classes = reps.join(leasts, "label").select("key", "class")
-    result = sketches.select("did", "th", "key").join(classes.select(_hidden("key"), "class"), "key")
+        classes = reps.join(merging(leasts), "label").select("key", "class")
+    result = sketches.select("did", "th", "key").join(merging(classes.select(_hidden("key"), "class")), "key")
     real = lambda c: F.when(F.col(c) != F.lit(-(2**63)), F.col(c))
     kept = (F.col("did") == F.col("class.did")) & (F.col("th") == F.col("class.th"))
     return result.select(real("did").alias("doc_id"), real("class.did").alias("class_id"), kept.alias("kept"), F.col("th").alias("text_hash"))

@@ -192,3 +192,16 @@ def test_the_exact_setting_compares_every_pair(make):
     for errors in (None, 4.5):
         out = N.near_duplicates(make(rows), steep_bands=8, steep_rows=2, errors=errors)
         assert {r.doc_id: r.class_id for r in out.collect()} == want
+
+
+def test_joins_leave_the_driver_alone(spark, capsys):
+    """No side of a join goes to the driver, however small, and small tables take few tasks."""
+    members = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "band long, did long")
+    lists = spark.createDataFrame([(1, bytearray(b"abcd")), (2, bytearray(b"abcd"))], "did long, parts binary")
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    N._meeting(members).explain()
+    N._similarities(pairs, lists, 2).explain()
+    plans = capsys.readouterr().out
+    assert plans.count("SortMergeJoin") == 3 and "Broadcast" not in plans
+    labels = components(pairs.repartition(9), 2)
+    assert labels.rdd.getNumPartitions() <= 2 and {tuple(r) for r in labels.collect()} == {(1, 1), (2, 1)}
