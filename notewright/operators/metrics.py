@@ -48,13 +48,18 @@ def one_hot(rows: DataFrame, item: str, size: int) -> DataFrame:
 
 
 def layer_norm(vectors: DataFrame, vector: str, epsilon: float = 1e-12) -> DataFrame:
-    """Adds normed: the vector less its mean over the root of its variance plus epsilon."""
+    """Adds normed: the vector less its mean over the root of its variance plus epsilon.
+
+    Columns that are merged into one projection are put into lambdas as expressions, so a mean or a
+    variance would be summed up anew for every element. Here each is the element of an array of one,
+    over which a lambda goes once."""
     values = F.col(vector).cast("array<double>")
-    n = F.size(values)
+    n = F.size(vector)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    with_mean = vectors.withColumn("mean", total(values) / n)
-    with_var = with_mean.withColumn("var", total(F.transform(values, lambda x: (x - F.col("mean")) * (x - F.col("mean")))) / n)
-    return with_var.withColumn("normed", F.transform(values, lambda x: (x - F.col("mean")) / F.sqrt(F.col("var") + epsilon))).drop("mean", "var")
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    var = lambda xs, mean: F.try_divide(total(F.transform(xs, lambda x: (x - mean) * (x - mean))), n)
+    scaled = lambda xs, mean: once(F.sqrt(var(xs, mean) + epsilon), lambda root: F.transform(xs, lambda x: (x - mean) / root))
+    return vectors.withColumn("normed", once(values, lambda xs: once(F.try_divide(total(xs), n), lambda mean: scaled(xs, mean))))
 
 
 def best_checkpoints(log: DataFrame, n: int = 10, loss: str = "val_loss", tie: str = "step") -> DataFrame:
