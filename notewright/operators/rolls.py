@@ -78,11 +78,11 @@ def with_end_markers(roll: DataFrame, lengths: DataFrame, parts: int, cap: int)
     """Adds the marker 254 in the first free slot of every step of every part that is not full."""
     every = lengths.select("song", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("step"))
     every = every.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(parts)])))
-    counts = roll.groupBy("song", "part", "step").agg(F.count("*").cast("int").alias("slot"))
+    # Steps and slots are counted together: a join on the step would deal both sides anew.
+    both = every.select("song", "part", "step", F.lit(0).alias("n")).unionByName(roll.select("song", "part", "step", F.lit(1).alias("n")))
     markers = (
-        every.join(counts, ["song", "part", "step"], "left")
-        .withColumn("slot", F.coalesce("slot", F.lit(0)))
-        .where(F.col("slot") < cap)
+        both.groupBy("song", "part", "step").agg(F.sum("n").cast("int").alias("slot"), F.min("n").alias("least"))
+        .where((F.col("least") == 0) & (F.col("slot") < cap))
         .select("song", "part", "step", "slot", F.lit(END_OF_STEP).alias("program"), *[F.lit(None).cast("int").alias(c) for c in ROLL[5:]])
     )
     return roll.select(*ROLL).unionByName(markers)
@@ -106,14 +106,16 @@ def build_rolls(
     gate: bool = True,
     fixed_length: int | None = None,
     seed: int = 0,
+    dealt: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(roll, songs) of the songs that pass every gate and have a note in every part that is not
     ``empty``. roll(song, part, step, slot, program, pitch, dur, velocity) includes end markers;
     songs(song, length, shift_min, shift_max).
 
-    Everything is local to a song: one exchange on song up front serves all windows and joins."""
+    Everything is local to a song: one exchange on song up front serves all windows and joins; notes
+    that are dealt by song already need none."""
     parts = parse_parts(selectors)
-    notes = notes.repartition("song")
+    notes = notes if dealt else notes.repartition("song")
     lengths = end_steps(notes, fixed_length)
     if gate:
         lengths = lengths.join(quantisation_gate(notes).select("song"), "song", "left_semi")

@@ -66,7 +66,7 @@ def beats_per_minute(qpm: Column, numerator: Column, denominator: Column) -> Col
 
 
 def _anchors(signatures: DataFrame, ends: DataFrame, start: float) -> DataFrame:
-    """(song, time, numerator, denominator, k): where beats are counted from anew, that is at start, in
+    """(song, time, numerator, denominator, k, next_at): where beats are counted from anew, that is at start, in
     the meter in force there (else the first to come), and at every later signature."""
     meters = signatures.select("song", F.col("time").cast("double").alias("time"), F.col("numerator").cast("int").alias("numerator"), F.col("denominator").cast("int").alias("denominator"))
     meter = F.struct("time", "numerator", "denominator")
@@ -76,7 +76,7 @@ def _anchors(signatures: DataFrame, ends: DataFrame, start: float) -> DataFrame:
     first = ends.join(found, "song", "left").select("song", F.lit(start).alias("time"), held["numerator"].alias("numerator"), held["denominator"].alias("denominator"))
     order = Window.partitionBy("song").orderBy("time", "given", "numerator", "denominator")
     later = meters.where(~past).join(ends.select("song"), "song", "left_semi").withColumn("given", F.lit(1))
-    return first.withColumn("given", F.lit(0)).unionByName(later).withColumn("k", F.row_number().over(order)).drop("given")
+    return first.withColumn("given", F.lit(0)).unionByName(later).withColumns({"k": F.row_number().over(order), "next_at": F.lead("time").over(order)}).drop("given")
 
 
 def song_beats(tempi: DataFrame, signatures: DataFrame, ends: DataFrame, start: float = 0.0) -> DataFrame:
@@ -93,8 +93,8 @@ def song_beats(tempi: DataFrame, signatures: DataFrame, ends: DataFrame, start:
     anchors = _anchors(signatures.withColumn("song", song), ends, start)
     given = tempi.select(song, F.col("time").cast("double").alias("time"), F.col("qpm").cast("double").alias("qpm"))
     changes = given.unionByName(ends.select("song", F.lit(float("-inf")).alias("time"), F.lit(120.0).alias("qpm")))
-    marks = changes.select("song", "time", "qpm", F.lit(None).cast("struct<k:int,at:double,numerator:int,denominator:int>").alias("anchor"), F.lit(0).alias("kind"))
-    spans = anchors.select("song", "time", F.lit(None).cast("double").alias("qpm"), F.struct("k", F.col("time").alias("at"), "numerator", "denominator").alias("anchor"), F.col("k").alias("kind"))
+    marks = changes.select("song", "time", "qpm", F.lit(None).cast("struct<k:int,at:double,numerator:int,denominator:int,next_at:double>").alias("anchor"), F.lit(0).alias("kind"))
+    spans = anchors.select("song", "time", F.lit(None).cast("double").alias("qpm"), F.struct("k", F.col("time").alias("at"), "numerator", "denominator", "next_at").alias("anchor"), F.col("k").alias("kind"))
     by_time = Window.partitionBy("song").orderBy("time", "kind", "qpm")
     so_far = by_time.rowsBetween(Window.unboundedPreceding, 0)
     rows = (
@@ -102,7 +102,7 @@ def song_beats(tempi: DataFrame, signatures: DataFrame, ends: DataFrame, start:
         .withColumns({"qpm": F.last("qpm", ignorenulls=True).over(so_far), "anchor": F.last("anchor", ignorenulls=True).over(so_far)})
         .withColumn("until", F.least(F.coalesce(F.lead("time").over(by_time), F.col("end")), F.col("end")))
         .where(F.col("anchor").isNotNull() & (F.col("time") < F.col("end")))
-        .select("song", "time", "until", F.col("kind").alias("kind"), "qpm", "end", *[F.col(f"anchor.{c}").alias(c) for c in ("k", "at", "numerator", "denominator")])
+        .select("song", "time", "until", F.col("kind").alias("kind"), "qpm", "end", *[F.col(f"anchor.{c}").alias(c) for c in ("k", "at", "numerator", "denominator", "next_at")])
         .withColumn("bpm", beats_per_minute(F.col("qpm"), F.col("numerator"), F.col("denominator")))
     )
     in_span = Window.partitionBy("song", "k").orderBy("time", "kind", "qpm")
@@ -111,8 +111,7 @@ def song_beats(tempi: DataFrame, signatures: DataFrame, ends: DataFrame, start:
     rows = rows.where(F.ceil("since") < F.ceil("upto"))
     beats = rows.withColumn("n", F.explode(F.sequence(F.ceil("since"), F.ceil("upto") - 1)))
     beats = beats.withColumn("beat", F.when(F.col("n") == 0, F.col("at")).otherwise(F.col("time") + (F.col("n") - F.col("since")) * 60 / F.col("bpm")))
-    following = anchors.select("song", (F.col("k") - 1).alias("k"), F.col("time").alias("next_at"))
-    beats = beats.join(following, ["song", "k"], "left").where((F.col("n") == 0) | F.col("next_at").isNull() | ~close_to(F.col("beat"), F.col("next_at")))
+    beats = beats.where((F.col("n") == 0) | F.col("next_at").isNull() | ~close_to(F.col("beat"), F.col("next_at")))
     index = (F.row_number().over(Window.partitionBy("song").orderBy("beat", "k", "n")) - 1).alias("beat_idx")
     numbered = beats.where(F.col("beat") < F.col("end")).select("song", index, F.col("beat").alias("time"), "bpm", "numerator", "denominator")
     shown = lambda c, default: F.when(F.col("beat_idx") == 0, -1).otherwise(F.coalesce(F.col(c), F.lit(default)))
@@ -130,13 +129,14 @@ def _beat_at(spans: DataFrame, beats: DataFrame, at: str, name: str) -> DataFram
     return both.withColumn(name, F.coalesce(near("before"), near("after"))).drop("beat", "is_span", "before", "after")
 
 
-def downbeats(beats: DataFrame, signatures: DataFrame, start: float = 0.0) -> DataFrame:
+def downbeats(beats: DataFrame, signatures: DataFrame, start: float = 0.0, tasks: int | None = None) -> DataFrame:
     """(song, k, beat_idx, time): beats from each signature to the next, every numerator-th, or every
     third of it in compound meters.
 
     A 4/4 signature is assumed at start where none begins there. A span begins at the first beat
     close to its signature, else at the first beat, or for the last signature where the span
-    before ends. Each span lists its own beats' indexes, so no span meets a beat that isn't its own."""
+    before ends. Each span lists its own beats' indexes, so no span meets a beat that isn't its own. They meet by song and
+    index, in so many tasks where a number is given."""
     counted = beats.groupBy("song").agg((F.max("beat_idx") + 1).alias("n_beats"))
     first = signatures.groupBy("song").agg(F.min("time").alias("first"))
     implied = counted.join(first, "song", "left").where(F.col("first").isNull() | (F.col("first") > start)).select(
@@ -157,7 +157,8 @@ def downbeats(beats: DataFrame, signatures: DataFrame, start: float = 0.0) -> Da
     compound = (F.col("numerator") % 3 == 0) & (F.col("numerator") != 3)
     stride = F.when(compound, F.expr("numerator div 3")).otherwise(F.col("numerator")).cast("int")
     own = met.select("song", "k", F.explode(F.sequence(F.col("begin").cast("int"), F.col("stop").cast("int") - 1, stride)).alias("beat_idx"))
-    return own.join(beats, ["song", "beat_idx"]).where(F.col("time") >= start).select("song", "k", "beat_idx", "time")
+    met = [own, beats] if tasks is None else [side.repartition(tasks, "song", "beat_idx") for side in (own, beats)]
+    return met[0].join(met[1], ["song", "beat_idx"]).where(F.col("time") >= start).select("song", "k", "beat_idx", "time")
 
 
 def merged_by_time(frames: list[DataFrame], time: str, tie: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notewright.functions.order import tasks_for
 from notewright.operators import events, gates, timing
 from notewright.plans.base import Registry, with_views
 from notewright.sources.surrogates import midi_events, table
@@ -224,11 +225,13 @@ placed AS (
 
 @R.add("downbeat_interval", with_views(BEATS, then="SELECT b.song, CAST(k AS INTEGER) AS k, beat_idx, time FROM beats b JOIN placed p ON b.song = p.song AND beat_idx >= start_idx AND beat_idx < stop_idx WHERE (beat_idx - start_idx) % stride = 0"))
 def downbeat_interval(spark: SparkSession, sf: str) -> DataFrame:
-    songs = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("song"))
+    suppliers = table(spark, sf, "supplier")
+    tasks = tasks_for(suppliers, 128)
+    songs = suppliers.select(F.col("s_suppkey").alias("song")).repartition(tasks, "song")
     beats = songs.withColumn("beat_idx", F.explode(F.sequence(F.lit(0), F.lit(127)))).withColumn("time", F.col("beat_idx") * 0.5)
     given = songs.where(F.col("song") % 4 != 0).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(2))))
     given = given.select("song", ((8 + F.col("j") * 32) * 0.5).alias("time"), (3 + (F.col("song") + F.col("j")) % 7).cast("int").alias("numerator"))
-    return timing.downbeats(beats, given)
+    return timing.downbeats(beats, given, tasks=tasks)
 
 
 # Quarters a minute: 60, 120 from a, 240 from b. Odd songs have signatures of 4/4, 6/8 from c, 3/4 from d.
@@ -298,12 +301,17 @@ order_beats AS (
 """
 
 
+#: About how many beats a line gives rise to, for dealing orders to tasks.
+LINE_BEATS = 4
+
+
 def _order_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tempo changes, the meter from 0 on, and the end of each order."""
     from pyspark.sql import Window
 
     first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_quantity", "l_partkey", "l_suppkey")
-    lines = table(spark, sf, "lineitem").withColumn("nth", F.row_number().over(first)).where("nth = 1").select(
+    read = table(spark, sf, "lineitem")
+    lines = read.repartition(tasks_for(read, LINE_BEATS), "l_orderkey").withColumn("nth", F.row_number().over(first)).where("nth = 1").select(
         F.col("l_orderkey").alias("song"), (F.col("l_linenumber") * 3.7).alias("time"), (10.0 + F.col("l_quantity")).alias("qpm"), "l_linenumber",
         (2 + F.col("l_quantity").cast("int") % 8).alias("numerator"), F.when(F.col("l_returnflag") == "R", 8).otherwise(4).alias("denominator"),
     )
@@ -319,7 +327,8 @@ def order_beats(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("order_downbeats", with_views(ORDER_BEATS, then="SELECT song, 1 AS k, k AS beat_idx, round(time + 0.0000017::DOUBLE, 5) AS time FROM order_beats b WHERE b.k % CASE WHEN num % 3 = 0 AND num <> 3 THEN num // 3 ELSE num END = 0"))
 def order_downbeats(spark: SparkSession, sf: str) -> DataFrame:
     tempi, meters, ends = _order_lines(spark, sf)
-    return timing.downbeats(timing.song_beats(tempi, meters, ends), meters).withColumn("time", F.round(F.col("time") + NUDGE, 5))
+    beats = timing.song_beats(tempi, meters, ends)
+    return timing.downbeats(beats, meters, tasks=tasks_for(table(spark, sf, "lineitem"), LINE_BEATS)).withColumn("time", F.round(F.col("time") + NUDGE, 5))
 
 
 # Lines are events whose ticks often coincide; the counterpart walks through a key's events one by one.
@@ -350,7 +359,8 @@ def note_pairs_ties(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     tick = F.expr("datediff(cast(l_shipdate as date), date'1992-01-01') div 40")
-    rows = table(spark, sf, "lineitem").withColumns({"tick": tick, "track": F.col("l_linenumber") % 2})
+    lines = table(spark, sf, "lineitem")
+    rows = lines.repartition(tasks_for(lines), "l_suppkey").withColumns({"tick": tick, "track": F.col("l_linenumber") % 2})
     order = Window.partitionBy("l_suppkey", "track").orderBy("tick", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     sounds = F.col("l_orderkey") % 2 == 0
     made = rows.select(

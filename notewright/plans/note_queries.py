@@ -124,7 +124,7 @@ def random_sides(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("reject_empty_part", on_notes('SELECT song FROM (SELECT *, floor(max("end") OVER (PARTITION BY song)) AS length FROM notes) WHERE round_even(start, 0) >= 0 AND round_even(start, 0) < length GROUP BY song HAVING bool_or(is_drum) AND bool_or(NOT is_drum)'))
 def reject_empty_part(spark: SparkSession, sf: str) -> DataFrame:
-    return rolls.build_rolls(notes(spark, sf), selectors=["drum", "nondrum"], cap=CAP, gate=False)[1].select("song")
+    return rolls.build_rolls(notes(spark, sf), dealt=True, selectors=["drum", "nondrum"], cap=CAP, gate=False)[1].select("song")
 
 
 @R.add("instrument_rank", with_views(NOTES, STEPS, RANKS, then="SELECT DISTINCT song, track, rank FROM ranked"))
@@ -134,12 +134,12 @@ def instrument_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("roll_capped", on_steps(f"SELECT song, step, CAST(nth - 1 AS INTEGER) AS slot, program, pitch, dur, velocity FROM (SELECT *, row_number() OVER (PARTITION BY song, step ORDER BY seq) AS nth FROM steps) WHERE nth <= {CAP}"))
 def roll_capped(spark: SparkSession, sf: str) -> DataFrame:
-    return rolls.capped(rolls.quantised(notes(spark, sf).repartition("song")), F.lit(True), CAP, dedup=False)
+    return rolls.capped(rolls.quantised(notes(spark, sf)), F.lit(True), CAP, dedup=False)
 
 
 @R.add("roll_capped_dedup", on_roll("SELECT song, step, CAST(slot AS INTEGER) AS slot, program, pitch, dur, velocity FROM slots"))
 def roll_capped_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return rolls.capped(rolls.quantised(notes(spark, sf).repartition("song")), F.lit(True), CAP, dedup=True)
+    return rolls.capped(rolls.quantised(notes(spark, sf)), F.lit(True), CAP, dedup=True)
 
 
 def _roll(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,7 +184,7 @@ FROM room r JOIN paired USING (song) JOIN lengths l ON l.song = r.song GROUP BY
 
 @R.add("corpus_drums_nondrum", BUILT_SQL)
 def corpus_drums_nondrum(spark: SparkSession, sf: str) -> DataFrame:
-    roll, songs = rolls.build_rolls(notes(spark, sf), selectors=["drum", "nondrum"], cap=CAP)
+    roll, songs = rolls.build_rolls(notes(spark, sf), dealt=True, selectors=["drum", "nondrum"], cap=CAP)
     slots = roll.where("program <> 254").groupBy("song").agg(F.count("*").alias("slots"))
     return songs.join(slots, "song")
 
