@@ -33,6 +33,22 @@ def test_rows_are_dealt_by_number(spark, name, capsys, monkeypatch):
     assert exchanges and all("REPARTITION_BY_NUM" in line for line in exchanges), exchanges
 
 
+def planned(df, capsys) -> list[str]:
+    df.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df.explain()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return capsys.readouterr().out.splitlines()
+
+
+@pytest.mark.parametrize("name", ["self_parts", "swap_parts", "step_counts"])
+def test_rolls_in_parts_are_dealt_by_number(spark, name, capsys, monkeypatch):
+    monkeypatch.setattr(order, "DEALT", 500)
+    exchanges = [line for line in planned(queries()[name](spark, SF), capsys) if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 1 and "REPARTITION_BY_NUM" in exchanges[0], exchanges
+
+
 def test_markers_only_within_the_length(spark):
     roll = spark.createDataFrame([(1, 0, 0, 0, 1, 60, 1, 9), (1, 0, 0, 1, 1, 61, 1, 9), (1, 0, 5, 0, 1, 60, 1, 9)], "song long, part int, step int, slot int, program int, pitch int, dur int, velocity int")
     marked = rolls.with_end_markers(roll, spark.createDataFrame([(1, 2)], "song long, length int"), 1, 2)
