@@ -78,14 +78,13 @@ def with_end_markers(roll: DataFrame, lengths: DataFrame, parts: int, cap: int)
     """Adds the marker 254 in the first free slot of every step of every part that is not full."""
     every = lengths.select("song", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("step"))
     every = every.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(parts)])))
-    # Steps and slots are counted together: a join on the step would deal both sides anew.
-    both = every.select("song", "part", "step", F.lit(0).alias("n")).unionByName(roll.select("song", "part", "step", F.lit(1).alias("n")))
-    markers = (
-        both.groupBy("song", "part", "step").agg(F.sum("n").cast("int").alias("slot"), F.min("n").alias("least"))
-        .where((F.col("least") == 0) & (F.col("slot") < cap))
-        .select("song", "part", "step", "slot", F.lit(END_OF_STEP).alias("program"), *[F.lit(None).cast("int").alias(c) for c in ROLL[5:]])
-    )
-    return roll.select(*ROLL).unionByName(markers)
+    # Every marker stands among its step's slots and counts them, so the roll is made once: counts apart
+    # from the slots would make it twice, in the same tasks.
+    blank = every.select("song", "part", "step", *[F.lit(None).cast("int").alias(c) for c in ROLL[3:]], F.lit(True).alias("marker"))
+    both = roll.select(*ROLL, F.lit(False).alias("marker")).unionByName(blank)
+    both = both.withColumn("held", F.count_if(~F.col("marker")).over(Window.partitionBy("song", "part", "step")).cast("int"))
+    own = {"slot": F.when(F.col("marker"), F.col("held")).otherwise(F.col("slot")), "program": F.when(F.col("marker"), END_OF_STEP).otherwise(F.col("program"))}
+    return both.where(~F.col("marker") | (F.col("held") < cap)).withColumns(own).select(*ROLL)
 
 
 def pitch_shift_range(seen: DataFrame) -> DataFrame:

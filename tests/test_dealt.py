@@ -49,6 +49,27 @@ def test_rolls_in_parts_are_dealt_by_number(spark, name, capsys, monkeypatch):
     assert len(exchanges) == 1 and "REPARTITION_BY_NUM" in exchanges[0], exchanges
 
 
+@pytest.mark.parametrize("name", ["roll_sorted_with_end", "tokenize", "tokenize_velocity", "detokenize", "ended_flags", "all_ended"])
+def test_marked_roll_is_made_once(spark, name, capsys, monkeypatch):
+    """Lines are read for the roll and for the songs' lengths, and rows of songs are dealt once for each."""
+    monkeypatch.setattr(order, "DEALT", 500)
+    plan = planned(queries()[name](spark, SF), capsys)
+    exchanges = [line for line in plan if "Exchange hashpartitioning(song" in line]
+    assert len(exchanges) == 2 and all("REPARTITION_BY_NUM" in line for line in exchanges), exchanges
+    assert sum("FileScan parquet" in line for line in plan) == 2
+    assert [line for line in plan if "Exchange" in line and "hashpartitioning(song" not in line and "hashpartitioning(step" not in line] == []
+
+
+def test_markers_of_every_part_stand_after_its_slots(spark):
+    kinds = "song long, part int, step int, slot int, program int, pitch int, dur int, velocity int"
+    roll = spark.createDataFrame([(1, 0, 0, 0, 1, 60, 1, 9), (1, 1, 1, 0, 2, 61, 1, 9), (1, 1, 1, 1, 3, 62, 1, 9), (2, 0, 0, 0, 4, 63, 1, 9)], kinds)
+    marked = rolls.with_end_markers(roll, spark.createDataFrame([(1, 2), (3, 1)], "song long, length int"), 2, 2)
+    assert marked.dtypes == roll.dtypes
+    assert sorted(map(tuple, marked.where("program <> 254").collect())) == sorted(map(tuple, roll.collect()))
+    found = sorted((r.song, r.part, r.step, r.slot) for r in marked.where("program = 254 AND pitch IS NULL AND dur IS NULL AND velocity IS NULL").collect())
+    assert found == [(1, 0, 0, 1), (1, 0, 1, 0), (1, 1, 0, 0), (3, 0, 0, 0), (3, 1, 0, 0)]
+
+
 def test_markers_only_within_the_length(spark):
     roll = spark.createDataFrame([(1, 0, 0, 0, 1, 60, 1, 9), (1, 0, 0, 1, 1, 61, 1, 9), (1, 0, 5, 0, 1, 60, 1, 9)], "song long, part int, step int, slot int, program int, pitch int, dur int, velocity int")
     marked = rolls.with_end_markers(roll, spark.createDataFrame([(1, 2)], "song long, length int"), 1, 2)
