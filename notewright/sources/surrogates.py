@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """note(song, track, is_drum, program, pitch, velocity, start, end, len, seq) from lineitem, dealt by song."""
-    s, ln, q = F.col("l_suppkey"), F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    s, ln, q = F.col("song"), F.col("l_linenumber"), F.col("l_quantity").cast("int")
     dd = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date"))
     odd = F.when(s % 8 == 0, 20).when(s % 8 == 4, 11).when(s % 8 == 2, 17)
     start = (
@@ -23,11 +23,13 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(dd % 256 + (q % 16) / F.lit(16.0))
     )
     arrival = Window.partitionBy("song").orderBy("l_linenumber", "l_orderkey", "l_partkey", "l_shipdate", "l_quantity")
-    lines = table(spark, sf_dir, "lineitem")
+    # The lines' own columns are dealt and what follows from them is added after that: a reading task
+    # holds all that it deals out in memory where there are many tasks to deal to.
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "song")
     return (
-        lines.withColumns({"song": s, "len": q, "start": start})
-        .repartition(tasks_for(lines), "song")
+        lines.repartition(tasks_for(lines), "song")
         .withColumn("seq", F.row_number().over(arrival).cast("long"))
+        .withColumns({"len": q, "start": start})
         .select(
             "song",
             (ln - 1).alias("track"),

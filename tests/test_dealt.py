@@ -1,5 +1,7 @@
 """Tasks that hold as many rows whatever the table's size."""
 
+import re
+
 import pytest
 
 from notewright.functions import order
@@ -49,6 +51,16 @@ def test_rolls_in_parts_are_dealt_by_number(spark, name, capsys, monkeypatch):
     assert len(exchanges) == 1 and "REPARTITION_BY_NUM" in exchanges[0], exchanges
 
 
+@pytest.mark.parametrize("name", ["self_parts", "swap_parts", "step_counts"])
+def test_only_columns_of_the_lines_are_dealt(spark, name, capsys, monkeypatch):
+    """What is made from a line is made after the exchange, so a reading task holds six columns a line."""
+    monkeypatch.setattr(order, "DEALT", 500)
+    plan = planned(queries()[name](spark, SF), capsys)
+    at = next(i for i, line in enumerate(plan) if "Exchange hashpartitioning" in line)
+    dealt = re.sub(r"#\d+L?", "", plan[at + 1].split("[")[1].split("]")[0]).split(", ")
+    assert sorted(dealt) == ["l_linenumber", "l_orderkey", "l_partkey", "l_quantity", "l_shipdate", "l_suppkey AS song"]
+
+
 @pytest.mark.parametrize("name", ["roll_sorted_with_end", "tokenize", "tokenize_velocity", "detokenize", "ended_flags", "all_ended"])
 def test_marked_roll_is_made_once(spark, name, capsys, monkeypatch):
     """Lines are read for the roll and for the songs' lengths, and rows of songs are dealt once for each."""
