@@ -133,3 +133,11 @@ def test_mixing_keeps_every_row(spark):
     order = C.mix_order(docs).collect()
     assert len(got) == len(order) == sum(counts.values())
     assert got == [r.doc_id for r in sorted(order, key=lambda r: r.position)]
+
+
+def test_near_duplicates_leave_without_the_driver(spark, make, edge):
+    """The rows that go grow with the input: however few they are, they aren't broadcast."""
+    out = C.drop_near_duplicates(spark, make(edge), SF)
+    assert {r.doc_id for r in out.collect()} == {d for d, _ in edge} - {2, 5}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
