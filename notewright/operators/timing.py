@@ -118,47 +118,51 @@ def song_beats(tempi: DataFrame, signatures: DataFrame, ends: DataFrame, start:
     return numbered.select("song", "beat_idx", "time", shown("bpm", 0.0).cast("double").alias("bpm"), shown("numerator", 4).alias("num"), shown("denominator", 4).alias("den"))
 
 
-def _beat_at(spans: DataFrame, beats: DataFrame, at: str, name: str) -> DataFrame:
-    """Adds name: the index of the beat close to the span's time at, found among its two neighbours by
-    merging both in order of time."""
-    marks = beats.select("song", F.col("time").alias(at), F.struct("time", "beat_idx").alias("beat"), F.lit(0).alias("is_span"))
-    both = spans.withColumn("is_span", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    order = [at, "is_span"]
-    both = both.withColumns({"before": prior_value("beat", ["song"], order), "after": next_value("beat", ["song"], order)}).where("is_span = 1")
-    near = lambda side: F.when(close_to(F.col(f"{side}.time"), F.col(at)), F.col(f"{side}.beat_idx"))
-    return both.withColumn(name, F.coalesce(near("before"), near("after"))).drop("beat", "is_span", "before", "after")
-
-
-def downbeats(beats: DataFrame, signatures: DataFrame, start: float = 0.0, tasks: int | None = None) -> DataFrame:
+def _later(value: str, order: Window) -> Column:
+    """The first value that is not null in the rows after the row, in the order."""
+    return F.expr(f"lead({value}, 1) IGNORE NULLS").over(order)
+
+
+def downbeats(beats: DataFrame, signatures: DataFrame, start: float = 0.0) -> DataFrame:
     """(song, k, beat_idx, time): beats from each signature to the next, every numerator-th, or every
     third of it in compound meters.
 
     A 4/4 signature is assumed at start where none begins there. A span begins at the first beat
     close to its signature, else at the first beat, or for the last signature where the span
-    before ends. Each span lists its own beats' indexes, so no span meets a beat that isn't its own. They meet by song and
-    index, in so many tasks where a number is given."""
-    counted = beats.groupBy("song").agg((F.max("beat_idx") + 1).alias("n_beats"))
-    first = signatures.groupBy("song").agg(F.min("time").alias("first"))
-    implied = counted.join(first, "song", "left").where(F.col("first").isNull() | (F.col("first") > start)).select(
-        "song", F.lit(start).alias("time"), F.lit(4).alias("numerator"), F.lit(-1).alias("given")
+    before ends. Each span lists its own beats' indexes, so no span meets a beat that isn't its own. Indexes
+    count a song's beats from 0. Beats and signatures are merged by time, then beats and lists by index: beats are
+    made once, and where both are dealt by song nothing is dealt anew."""
+    song = Window.partitionBy("song")
+    implied = F.explode(F.when(F.col("beat_idx") == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
+    rows = beats.select("song", F.col("time").cast("double").alias("time"), F.col("beat_idx").cast("int").alias("idx"), implied.alias("implied"))
+    own = lambda c, other: F.when(F.col("implied"), other).otherwise(c)
+    rows = rows.select(
+        "song", own(F.col("time"), F.lit(start)).alias("at"), own(F.col("idx"), F.lit(None)).alias("idx"), own(F.lit(None), -1).cast("int").alias("given"), own(F.lit(None), 4).cast("int").alias("numerator")
     )
-    order = Window.partitionBy("song").orderBy("given", "time")
-    spans = (
-        signatures.select("song", "time", "numerator", F.lit(0).alias("given")).unionByName(implied)
-        .withColumns({"k": F.row_number().over(order), "until": F.lead("time").over(order)})
-        .select("song", "k", F.col("time").alias("from_time"), "until", "numerator")
-    )
-    met = _beat_at(_beat_at(spans, beats, "from_time", "here"), beats, "until", "there").join(counted, "song")
-    by_k = Window.partitionBy("song").orderBy("k")
-    begin = F.coalesce("here", F.lit(0))
-    met = met.withColumn("ends", F.when(F.col("until").isNotNull(), F.coalesce("there", begin))).withColumn("ended", F.lag("ends", 1, 0).over(by_k))
-    begin = F.when(F.col("until").isNull(), F.coalesce("here", "ended")).otherwise(begin)
-    met = met.select("song", "k", "numerator", begin.alias("begin"), F.coalesce("ends", "n_beats").alias("stop")).where(F.col("begin") < F.col("stop"))
+    marks = signatures.select("song", F.col("time").cast("double").alias("at"), F.lit(None).cast("int").alias("idx"), F.lit(0).alias("given"), F.col("numerator").cast("int").alias("numerator"))
+    is_mark = F.col("given").isNotNull()
+    rows = rows.unionByName(marks).withColumns({"first": F.min(F.when(F.col("given") == 0, F.col("at"))).over(song), "n_beats": F.max("idx").over(song) + 1})
+    rows = rows.where(~is_mark | (F.col("given") == 0) | F.col("first").isNull() | (F.col("first") > start)).withColumn("beat_at", F.when(~is_mark, F.col("at")))
+    by_time = song.orderBy("at", is_mark, "given")
+    upto, before = by_time.rowsBetween(Window.unboundedPreceding, 0), by_time.rowsBetween(Window.unboundedPreceding, -1)
+    # Of a mark: the beat close to it, found among its two neighbours; then its number, what the next one has, and where the one before ends.
+    sides = {f"{c}_{side}": what(c) for c in ("idx", "beat_at") for side, what in (("before", lambda c: F.last(c, ignorenulls=True).over(upto)), ("after", lambda c: _later(c, by_time)))}
+    near = lambda side: F.when(close_to(F.col(f"beat_at_{side}"), F.col("at")), F.col(f"idx_{side}"))
+    rows = rows.withColumns(sides).withColumn("mark", F.when(is_mark, F.struct(F.coalesce(near("before"), near("after")).alias("here")))).drop(*sides, "beat_at", "first")
+    rows = rows.withColumns({"k": F.sum(is_mark.cast("int")).over(upto).cast("int"), "next": _later("mark", by_time)})
+    is_last, begin = F.col("next").isNull(), F.coalesce("mark.here", F.lit(0))
+    rows = rows.withColumn("ends", F.when(is_mark & ~is_last, F.coalesce("next.here", begin)))
+    rows = rows.withColumn("ended", F.coalesce(F.last("ends", ignorenulls=True).over(before), F.lit(0)))
+    begin = F.when(is_last, F.coalesce("mark.here", "ended")).otherwise(begin)
     compound = (F.col("numerator") % 3 == 0) & (F.col("numerator") != 3)
     stride = F.when(compound, F.expr("numerator div 3")).otherwise(F.col("numerator")).cast("int")
-    own = met.select("song", "k", F.explode(F.sequence(F.col("begin").cast("int"), F.col("stop").cast("int") - 1, stride)).alias("beat_idx"))
-    met = [own, beats] if tasks is None else [side.repartition(tasks, "song", "beat_idx") for side in (own, beats)]
-    return met[0].join(met[1], ["song", "beat_idx"]).where(F.col("time") >= start).select("song", "k", "beat_idx", "time")
+    stop = F.coalesce("ends", "n_beats")
+    listed = F.when(~is_mark, F.array("idx")).when(begin < stop, F.sequence(begin, stop - 1, stride))
+    rows = rows.select("song", F.when(is_mark, F.col("k")).alias("k"), F.when(~is_mark, F.col("at")).alias("at"), "idx", F.explode(listed).alias("beat_idx"))
+    by_index = song.orderBy("beat_idx", F.col("k").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(by_index)
+    found = rows.withColumns({"time": last("at"), "idx": last("idx")}).where(F.col("k").isNotNull() & (F.col("idx") == F.col("beat_idx")) & (F.col("time") >= start))
+    return found.select("song", "k", "beat_idx", "time")
 
 
 def merged_by_time(frames: list[DataFrame], time: str, tie: str) -> DataFrame:

@@ -231,7 +231,7 @@ def downbeat_interval(spark: SparkSession, sf: str) -> DataFrame:
     beats = songs.withColumn("beat_idx", F.explode(F.sequence(F.lit(0), F.lit(127)))).withColumn("time", F.col("beat_idx") * 0.5)
     given = songs.where(F.col("song") % 4 != 0).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(2))))
     given = given.select("song", ((8 + F.col("j") * 32) * 0.5).alias("time"), (3 + (F.col("song") + F.col("j")) % 7).cast("int").alias("numerator"))
-    return timing.downbeats(beats, given, tasks=tasks)
+    return timing.downbeats(beats, given)
 
 
 # Quarters a minute: 60, 120 from a, 240 from b. Odd songs have signatures of 4/4, 6/8 from c, 3/4 from d.
@@ -328,7 +328,7 @@ def order_beats(spark: SparkSession, sf: str) -> DataFrame:
 def order_downbeats(spark: SparkSession, sf: str) -> DataFrame:
     tempi, meters, ends = _order_lines(spark, sf)
     beats = timing.song_beats(tempi, meters, ends)
-    return timing.downbeats(beats, meters, tasks=tasks_for(table(spark, sf, "lineitem"), LINE_BEATS)).withColumn("time", F.round(F.col("time") + NUDGE, 5))
+    return timing.downbeats(beats, meters).withColumn("time", F.round(F.col("time") + NUDGE, 5))
 
 
 # Lines are events whose ticks often coincide; the counterpart walks through a key's events one by one.

@@ -93,3 +93,43 @@ def test_beats_give_way_to_the_next_signature(spark):
     meters = spark.createDataFrame([(1, 0.0, 4, 4), (1, 1.5, 3, 4)], "song long, time double, numerator int, denominator int")
     beats = timing.song_beats(tempi, meters, spark.createDataFrame([(1, 4.0)], "song long, end double"))
     assert [r.time for r in beats.orderBy("beat_idx").collect()] == [0.0, 1.0, 1.5, 2.5, 3.5]
+
+
+def test_downbeats_make_beats_once(spark, capsys):
+    """Beside what order_beats reads, only the meters are read, and nothing is dealt by beat."""
+    plans = {name: planned(queries()[name](spark, SF), capsys) for name in ("order_beats", "order_downbeats")}
+    reads = {name: sum("FileScan parquet" in line for line in plan) for name, plan in plans.items()}
+    assert reads["order_downbeats"] == reads["order_beats"] + 1
+    assert not any("Exchange hashpartitioning" in line and "beat_idx" in line for line in plans["order_downbeats"])
+
+
+def spans_by_walk(times, signatures):
+    """(k, beat_idx) of a song by the definition."""
+    given = sorted(signatures)
+    if times and (not given or given[0][0] > 0):
+        given = [(0.0, 4), *given]
+    close = lambda at: next((i for i, t in enumerate(times) if abs(t - at) <= 1e-8 + 1e-5 * abs(at)), None)
+    out, ended = [], 0
+    for k, (at, numerator) in enumerate(given):
+        here, is_last = close(at), k + 1 == len(given)
+        begin = here if here is not None else ended if is_last else 0
+        there = None if is_last else close(given[k + 1][0])
+        stop = len(times) if is_last else there if there is not None else begin
+        out += [(k + 1, i) for i in range(begin, stop, numerator // 3 if numerator % 3 == 0 and numerator != 3 else numerator)]
+        ended = stop
+    return out
+
+
+def test_downbeats_by_walk(spark):
+    """Signatures on beats, close to them and between them; spans that overlap; songs without either."""
+    times = [i * 0.5 for i in range(40)]
+    songs = {
+        1: [(2.25, 3), (8.0, 6), (12.3, 2)], 2: [], 3: [(0.0, 3), (4.0, 9), (4.25, 2), (10.0, 5)], 4: [(-1.0, 2), (0.0, 3)], 5: [(6.0 + 1e-6, 4), (9.0 - 1e-6, 3)],
+        6: [(1.0, 2), (1.25, 3), (15.0, 2), (16.25, 1), (18.0, 12)], 7: [(30.0, 2)],
+    }
+    beats = spark.createDataFrame([(s, i, t) for s in songs for i, t in enumerate(times)], "song long, beat_idx int, time double").repartition(3)
+    signatures = spark.createDataFrame([(s, t, n) for s, given in songs.items() for t, n in given] + [(8, 1.0, 4)], "song long, time double, numerator int")
+    out = timing.downbeats(beats, signatures)
+    assert out.dtypes == [("song", "bigint"), ("k", "int"), ("beat_idx", "int"), ("time", "double")]
+    want = sorted((s, k, i, times[i]) for s, given in songs.items() for k, i in spans_by_walk(times, given))
+    assert sorted(map(tuple, out.collect())) == want
